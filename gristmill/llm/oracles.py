@@ -115,8 +115,27 @@ SELECT d.*, rate, copy, md5('{seed}s|' || coalesce(CAST(d.doc_id AS VARCHAR), ''
 FROM {source} d JOIN copies USING (doc_id)"""
 
 
+def near_duplicates_sql(source: str = "documents") -> str:
+    """All pairs that share a 5-word window, their exact similarity, and the closure of those from 0.8 on."""
+    split = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {split} AS w FROM {source}),
+sized AS (SELECT doc_id, w, least(5, len(w)) AS n FROM docs WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(i AS BIGINT):CAST(i + n - 1 AS BIGINT)], ' ') AS g FROM (SELECT *, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM sized)),
+sizes AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, '|' ORDER BY g)) AS same FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * n >= 4 * (x.size + y.size - n)),
+reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+groups AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY same) AS copy_of FROM sizes)
+SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, coalesce(copy_of, d.doc_id) AS copy_of, coalesce(n, 0) AS n_links
+FROM {source} d LEFT JOIN groups USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN copies USING (doc_id)"""
+
+
 ORACLES = {
     "op1_license_scan": _license_sql(),
+    "op3_ngram_jaccard_join": near_duplicates_sql(),
     "op5_line_dedup": line_dedup_sql(),
     "op6_warc_archive": _WARC,
     "op7_quality_rules": quality_sql(),

@@ -9,10 +9,10 @@ kernel counts as 0 unless the unit has all characters of the landmark, but for
 one, in order. The Nyström map of the landmarks' kernel matrix turns the values
 into vectors, on which a squared-hinge support vector machine is trained. As a
 labelled text doesn't say which sentence is toxic, training picks the strongest
-unit of each toxic text and takes all units of the others as clean, in rounds.
+units of each toxic text and takes all units of the others as clean, in rounds.
 
-A sentence scores as its strongest unit and a text as its strongest sentence; a
-logistic curve turns that into a probability.
+A sentence is as strong as its strongest unit. A logistic curve over the values
+of a text's three strongest distinct units gives its probability.
 
 Defined results: texts without letters (null, empty) score as texts in which no
 unit is near a landmark; rows with null or repeated doc_id are scored each for
@@ -35,6 +35,8 @@ from .sampling import labelled_texts, remainder
 #: Labelled rows that are learnt from, at most, by label.
 MAX_ROWS = {1: 1500, 0: 4500}
 LANDMARKS = 32
+#: Landmarks are sought until each toxic text has so many.
+COVER = 4
 LENGTH, DECAY = 3, 0.7
 WIDEST = 48
 MARK = ord("^")
@@ -160,7 +162,7 @@ class Landmarks:
 
 
 def choose_landmarks(words: list[set[str]], toxic: np.ndarray, most: int = LANDMARKS) -> list[bytes]:
-    """Word beginnings (3 to 10 characters), each time that which most toxic texts have that have none so far, less those of clean texts."""
+    """Word beginnings (3 to 10 characters), each time that with the largest share of the toxic texts that have too few so far, less its share of clean texts."""
     found = defaultdict(set)
     clean = Counter()
     for i, own in enumerate(words):
@@ -171,18 +173,20 @@ def choose_landmarks(words: list[set[str]], toxic: np.ndarray, most: int = LANDM
         else:
             clean.update(begins)
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    strong = {x: s for x, s in found.items() if len(s) >= 2 and len(s) / n_toxic > 20 * clean[x] / n_clean}
-    out: list[bytes] = []
+    strong = {x: s for x, s in found.items() if len(s) >= 2 and len(s) / n_toxic > 4 * clean[x] / n_clean}
+    out: list[str] = []
+    need = Counter({i: COVER for i in np.flatnonzero(toxic)})
     while strong and len(out) < most:
         # of beginnings found in as many texts the longest, which says most
-        best = max(strong, key=lambda x: (len(strong[x]) - 3 * clean[x], len(x), x))
+        best = max(strong, key=lambda x: (len(strong[x]) / n_toxic - 3 * clean[x] / n_clean, len(x), x))
         hit = strong[best]
-        if len(hit) < 2:
+        if len(hit) < 2 or len(hit) / n_toxic <= 3 * clean[best] / n_clean:
             break
-        out.append(b"^" + best.encode())
-        rest = {x: s - hit for x, s in strong.items()}
-        strong = {x: s for x, s in rest.items() if s}
-    return out
+        out.append(best)
+        need.subtract(hit)
+        strong = {x: {i for i in s if need[i] > 0} for x, s in strong.items() if not x.startswith(best) and not best.startswith(x)}
+        strong = {x: s for x, s in strong.items() if s}
+    return [b"^" + x.encode() for x in out]
 
 
 class Model:
@@ -240,30 +244,35 @@ class Model:
         n, d = len(toxic), self.map.shape[1]
         phi = np.concatenate([phi, np.zeros((1, d))])
         strength = (phi[:-1] ** 2).sum(1)
-        none = ~np.isin(np.arange(n), of)
         for _ in range(4):
             order = np.lexsort((-strength, of))
-            first = order[np.unique(of[order], return_index=True)[1]]
+            rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+            first = order[rank < 2]
             positive = first[toxic[of[first]]]
             negative = np.append(np.flatnonzero(~toxic[of]), len(phi) - 1)
             x = np.concatenate([phi[positive], phi[negative]])
             y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-            c = np.where(y > 0, 1 / max(1, len(positive)), 1 / len(negative))
+            c = np.full(len(y), 1 / max(1, len(positive)))
             c[-1] = 0.2
             self.w, self.b = _squared_hinge(x, y, c)
             strength = phi[:-1] @ self.w + self.b
-        best = np.full(n, self.b)
-        np.maximum.at(best, of, strength)
-        best[none] = self.b
-        self.curve = _logistic(best, toxic)
+        self.curve = _logistic(self._strongest(n, of, strength), toxic)
+
+    def _strongest(self, n: int, of: np.ndarray, strength: np.ndarray) -> np.ndarray:
+        """The values of each text's three strongest units; the bias, which is that of any other unit, where there are fewer."""
+        out = np.full((n, 3), self.b)
+        order = np.lexsort((-strength, of))
+        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        top = order[rank < 3]
+        out[of[top], rank[rank < 3]] = np.maximum(strength[top], self.b)
+        return out
 
     def score(self, t: K.Texts) -> np.ndarray:
         if self.marks is None:
             return np.zeros(t.n)
-        best = np.full(t.n, self.b)
         of, phi = self._occurrences(Units(t))
-        np.maximum.at(best, of, phi @ self.w + self.b)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] * best + self.curve[1], -30, 30)))
+        top = self._strongest(t.n, of, phi @ self.w + self.b)
+        return 1 / (1 + np.exp(-np.clip(top @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, reg: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -281,17 +290,17 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, reg: float = 1e-
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, fitted to smoothed labels so that classes weigh alike."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and offset of a logistic curve, fitted to smoothed labels; a toxic text weighs as two others."""
+    weight = np.where(y, 2.0, 1.0)
     goal = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    z = np.stack([x, np.ones(len(x))], 1)
-    w = np.zeros(2)
+    z = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w = np.zeros(z.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(h, z.T @ (weight * (goal - p)) - 1e-6 * w), -5, 5)
-    return float(w[0]), float(w[1])
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(h, z.T @ (weight * (goal - p)) - 0.5 * w), -5, 5)
+    return w
 
 
 def _score(model):
