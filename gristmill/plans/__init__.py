@@ -1,6 +1,6 @@
 """Registered queries: the operators over derived package tables, with their checks."""
 
-from . import version_queries
+from . import planning_queries, source_queries, version_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "version_queries"]
+__all__ = ["ORACLES", "QUERIES", "planning_queries", "source_queries", "version_queries"]
