@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import written
+from .storage import Scratch
 
 SHARD_KEYS = 1 << 16
 #: Documents of one shard that one task probes at most.
@@ -190,12 +190,15 @@ def line_index(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> tuple
     """The shards over keys in enough documents, and their number. docs: id, text."""
     keys = docs.mapInArrow(_emit_keys(min_chars), "id long, h1 long, h2 long")
     frequent = keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
-    frequent = written(frequent, "frequent-lines")
+    scratch = Scratch(docs.sparkSession)
+    frequent = scratch.written(frequent, "frequent-lines")
     shards = max(1, -(-frequent.count() // SHARD_KEYS))
     # h1 is unsigned in the tasks: the remainder of a negative one needs the two halves
     unsigned = (F.shiftrightunsigned("h1", 1) % shards * 2 + F.col("h1").bitwiseAND(F.lit(1))) % shards
     index = frequent.withColumn("shard", unsigned.cast("int")).groupBy("shard").applyInPandas(_build_shard, SHARD_SCHEMA)
-    return written(index, "line-shards"), shards
+    index = scratch.written(index, "line-shards")
+    scratch.drop(keep=index)
+    return index, shards
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

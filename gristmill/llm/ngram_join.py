@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .storage import written
+from .storage import Scratch
 
 BANDS, ROWS, HASHES, STEP = 24, 4, 128, 16
 BLOCK = 256
@@ -43,7 +43,7 @@ BLOCK_GRAMS = 1 << 20
 BROADCAST_IDS = 250_000
 NULL_ID = -(1 << 63)
 _MULTIPLIERS = K.mix(np.arange(1, HASHES + 1, dtype=K.U) * K.U(0xC2B2AE3D27D4EB4F)) | K.U(1)
-SKETCH = "id long, set_a long, set_b long, n_grams long, signature binary"
+SKETCH = "id long, set_a long, set_b long, n_grams long, buckets binary, low binary"
 
 
 def _gram_lists(t: K.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,32 +84,30 @@ def _sketch(n: int):
                     set_a[filled] = np.add.reduceat(K.mix(own + K.U(11)), cut)
                     set_b[filled] = np.add.reduceat(K.mix(own * K.U(0xD6E8FEB86659FD93) + K.U(7)), cut)
                     size += np.bincount(text, minlength=t.n)
+                buckets = np.zeros((t.n, BANDS), K.U)
+                for r in range(ROWS):
+                    buckets = K.mix(buckets + signature[:, r : BANDS * ROWS : ROWS].astype(K.U) + K.U(r + 1))
+                buckets = K.mix(buckets + np.arange(BANDS, dtype=K.U))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(t.first, t.n),
                         pa.array(set_a.view(np.int64)),
                         pa.array(set_b.view(np.int64)),
                         pa.array(size),
-                        pa.array([x.tobytes() for x in signature], pa.binary()),
+                        pa.array([x.tobytes() for x in buckets], pa.binary()),
+                        pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
                     ],
-                    ["id", "set_a", "set_b", "n_grams", "signature"],
+                    ["id", "set_a", "set_b", "n_grams", "buckets", "low"],
                 )
 
     return run
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class one row a band: the bucket, and the low halves of its MinHash values."""
+    """One row for each band of a class: the bucket and the id."""
     for batch in batches:
-        n = batch.num_rows
-        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, HASHES)
-        keys = np.zeros((n, BANDS), K.U)
-        for r in range(ROWS):
-            keys = K.mix(keys + signature[:, r : BANDS * ROWS : ROWS].astype(K.U) + K.U(r + 1))
-        keys = K.mix(keys + np.arange(BANDS, dtype=K.U))
-        low = [x.tobytes() for x in signature.astype(np.uint16)]
-        at = np.repeat(np.arange(n), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(low, pa.binary()).take(pa.array(at))], ["bucket", "id", "low"])
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["bucket", "id"])
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -177,7 +175,7 @@ def _prune(threshold: float, tolerance: float, pairs_at_once: int = 1 << 17):
             if not held.num_rows:
                 continue
             bucket, bi, bj, ids, block = (held.column(i).to_numpy() for i in range(5))
-            low = np.frombuffer(b"".join(held.column(5).to_pylist()), np.uint16).reshape(-1, HASHES)
+            low = np.frombuffer(b"".join(held.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
             starts = _group_starts(bucket, bi, bj)
             ends = np.repeat(starts[1:], np.diff(starts))
             partners = ends - np.arange(len(ends)) - 1
@@ -269,52 +267,59 @@ def _verify(threshold: float):
 
 
 def _two_blocks(rows: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
-    """One row for each pair of blocks that a row's block is in, dealt by group and sorted; needs columns blocks and block."""
+    """One row for each pair of blocks that a row's block is in, dealt by group and sorted, so that the first of a forest is its smallest id; needs columns blocks and block."""
     own, other = F.col("block"), F.col("__other")
     pairs = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select(*keys, F.least(own, other).alias("bi"), F.greatest(own, other).alias("bj"), *rest)
-    return pairs.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj")
+    return pairs.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "id")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, class_id (smallest id of its group), copy_of (smallest id with the same n-grams), n_links (documents linked to it)."""
     ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    sketches = written(ids.mapInArrow(_sketch(n), SKETCH), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    sketches = scratch.written(ids.mapInArrow(_sketch(n), SKETCH), "sketches")
     classes = sketches.filter("n_grams > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
-    classes = written(classes, "copy-classes")
-
-    # candidates
-    own = sketches.join(classes.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"]).dropDuplicates(["set_a", "set_b"]).select("id", "signature", "n_grams")
-    own = written(own, "representatives")
-    members = own.select("id", "signature").mapInArrow(_bands, "bucket long, id long, low binary")
-    keys_only = members.select("bucket")
-    buckets = written(keys_only.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    blocked = members.join(buckets, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    classes = scratch.written(classes, "copy-classes")
+
+    # candidates; MinHash values go along only with classes that share a bucket
+    own = sketches.join(classes.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"]).dropDuplicates(["set_a", "set_b"])
+    own = scratch.written(own.select("id", "buckets", "low"), "representatives")
+    members = own.select("id", "buckets").mapInArrow(_bands, "bucket long, id long")
+    buckets = scratch.written(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    shared = scratch.written(members.join(buckets, "bucket"), "shared-buckets")
+    blocked = shared.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(own.select("id", "low"), "id")
     survivors = _two_blocks(blocked, ["bucket"], ["id", "block", "low"]).mapInArrow(_prune(threshold, tolerance), "u long, v long")
-    nearby = connected_components(written(survivors.distinct(), "survivors"))
+    survivors = scratch.written(survivors.distinct(), "survivors")
+    nearby = connected_components(survivors)
+    scratch.drop(own, buckets, shared, survivors)
 
     # exact verification
     labels = nearby.select(F.col("node").alias("id"), "root")
     few = labels.count() <= BROADCAST_IDS
     found = ids.join(F.broadcast(labels) if few else labels, "id").select("id", "root", "text")
-    sets = written(found.mapInArrow(_emit_sets(n), "id long, root long, grams binary").dropDuplicates(["id", "grams"]), "gram-sets")
-    sizes = written(sets.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.length("grams") / 8).alias("total")), "component-sizes")
+    sets = scratch.written(found.mapInArrow(_emit_sets(n), "id long, root long, grams binary").dropDuplicates(["id", "grams"]), "gram-sets")
+    sizes = scratch.written(sets.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.length("grams") / 8).alias("total")), "component-sizes")
     copies = classes.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies"))
     blocked = sets.join(copies, "id").join(sizes, "root").withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int"))
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    links = written(_two_blocks(blocked, ["root"], ["id", "block", "copies", "grams"]).mapInArrow(_verify(threshold), "u long, v long, links long"), "links")
+    links = scratch.written(_two_blocks(blocked, ["root"], ["id", "block", "copies", "grams"]).mapInArrow(_verify(threshold), "u long, v long, links long"), "links")
     groups = connected_components(links.select("u", "v"))
     linked = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    judged = written(classes.join(linked, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left"), "judged-classes")
+    judged = scratch.written(classes.join(linked, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left"), "judged-classes")
 
     out = sketches.select("id", "set_a", "set_b", "n_grams").join(judged, ["set_a", "set_b"], "left")
     alone = F.col("n_grams") == 0
     shown = lambda c: F.when(c != NULL_ID, c)
     rep = F.when(alone, F.col("id")).otherwise(F.col("rep"))
-    return out.select(
+    out = out.select(
         shown(F.col("id")).alias("doc_id"),
         shown(F.when(alone, F.col("id")).otherwise(F.coalesce("root", "rep"))).alias("class_id"),
         shown(rep).alias("copy_of"),
         F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
     )
+    # the result is narrow: written, so that the tables behind it can go
+    out = scratch.written(out, "near-duplicates")
+    scratch.drop(keep=out)
+    return out

@@ -23,8 +23,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one job in the shared folder, each written and read again.
+
+    That cuts the lineage and survives lost executors. `drop` deletes all of them
+    but those to keep, once what was made from them has been written itself.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *only: DataFrame, keep: DataFrame | None = None) -> None:
+        for key in [id(x) for x in only] or list(self.paths):
+            df, path = self.paths.get(key, (None, None))
+            if path and df is not keep:
+                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+                del self.paths[key]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One such table that stays."""
+    return Scratch(df.sparkSession).written(df, name)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, written
+from .storage import Scratch, new_path
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -35,6 +35,7 @@ def _record_id(page_id: Column) -> Column:
 def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z") -> str:
     """Writes headers and payloads below `path` (default: a new folder in the shared one); returns it."""
     spark = pages.sparkSession
+    scratch = Scratch(spark)
     path = path or new_path(spark, "warc")
     rows = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"),
@@ -43,7 +44,7 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes:
     )
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "sha1": base32(F.sha1("payload")), "length": F.octet_length("payload").cast("long")})
     shared = rows.filter(F.col("length") >= min_revisit_bytes).groupBy("sha256").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(written(shared.select("sha256", "owner"), "payload-owners"), "sha256", "left")
+    rows = rows.join(scratch.written(shared.select("sha256", "owner"), "payload-owners"), "sha256", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     lines = [
         F.lit("WARC/1.1"),
@@ -58,9 +59,10 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes:
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("length").cast("string"))),
     ]
     records = rows.select("page_id", "sha256", revisit.alias("revisit"), F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).alias("header"), "payload")
-    records = written(records.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))), "warc-records")
+    records = scratch.written(records.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))), "warc-records")
     records.select("page_id", "sha256", "header").write.parquet(f"{path}/headers")
     records.filter("payload IS NOT NULL").dropDuplicates(["sha256"]).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    scratch.drop()
     return path
 
 
