@@ -24,7 +24,7 @@ def _license_sql() -> str:
 WITH known(id, sentence) AS (VALUES {_values(licenses.SENTENCES.items())}),
 rules(marks, name) AS (VALUES {rules}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-seq AS (SELECT r, doc_id, {marks("docs.text")} AS a, {marks("regexp_replace(docs.text, '[ \t\r]*\n[ \t\r]*', ' ', 'g')")} AS b FROM docs),
+seq AS (SELECT r, doc_id, {marks("docs.text")} AS a, {marks("regexp_replace(regexp_replace(docs.text, '\n[ \t\r]*\n', '. ', 'g'), '[ \t\r]*\n[ \t\r]*', ' ', 'g')")} AS b FROM docs),
 found AS (SELECT r, unnest(list_concat(regexp_extract_all(a, '{pattern}', 1), regexp_extract_all(b, '{pattern}', 1))) AS marks FROM seq),
 named AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM found JOIN rules USING (marks) GROUP BY r)
 SELECT doc_id, a AS sentence_ids, coalesce(licenses, '') AS licenses, CAST(length(a) - length(replace(a, '<', '')) AS BIGINT) AS n_known
