@@ -109,7 +109,7 @@ class Crf:
         e = np.ones((blocks * BLOCK, k))
         e[:n] = np.exp(scores - scores.max(1, keepdims=True))
         e = e.reshape(blocks, BLOCK, k)
-        start = np.zeros(blocks * BLOCK, bool)
+        start = np.ones(blocks * BLOCK, bool)  # what fills up the last block forgets too
         start[:n] = new
         start = start.reshape(blocks, BLOCK)
         move = np.exp(self.moves.astype(np.float64))
