@@ -20,13 +20,14 @@ def s1_read_spec_list(f):
 
 
 @query("""SELECT concat('g', CAST(c_nationkey AS VARCHAR)) AS group_id, concat('a', CAST(c_custkey AS VARCHAR)) AS artifact_id,
-    CASE WHEN c_custkey % 3 = 0 THEN '2.0' ELSE concat('1.', CAST(c_custkey % 4 AS VARCHAR)) END AS version, 'jar' AS extension, CAST(1 AS BIGINT) + c_custkey % 3 AS source_line FROM customer WHERE c_custkey % 3 < 2""")
+    CASE WHEN c_custkey % 3 = 0 THEN '2.0' ELSE concat('1.', CAST(c_custkey % 4 AS VARCHAR)) END AS version, CASE WHEN c_custkey % 3 < 2 THEN 'jar' END AS extension, CAST(CASE WHEN c_custkey % 3 = 1 THEN 2 ELSE 1 END AS BIGINT) AS source_line FROM customer""")
 def s2_read_inventory(f):
     g, a, v = F.concat(F.lit("g"), F.col("c_nationkey")), F.concat(F.lit("a"), F.col("c_custkey")), F.concat(F.lit("1."), F.col("c_custkey") % 4)
     obj = F.to_json(F.struct(g.alias("groupId"), a.alias("artifact_id")))
     text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"defaults": {"version": "2.0", "extension": "jar"}, "items": ['), obj, F.lit("]}")))
-    text = text.otherwise(F.concat(F.lit('{"defaults": {"extension": "jar"}, "gavs": ["# none", "'), F.concat_ws(":", g, a, v), F.lit('"]}')))
-    files = f.customer.filter("c_custkey % 3 < 2").select(F.col("c_custkey").cast("string").alias("source_path"), text.alias("text"))
+    text = text.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('{"defaults": {"extension": "jar"}, "gavs": ["# none", "'), F.concat_ws(":", g, a, v), F.lit('"]}')))
+    text = text.otherwise(F.concat(F.lit('["'), F.concat_ws(":", g, a, v), F.lit('"]')))
+    files = f.customer.select(F.col("c_custkey").cast("string").alias("source_path"), text.alias("text"))
     return D.read_inventory(files).drop("source_path")
 
 
