@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def step(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: cuts the plan, and outlives the executors that made it."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one is made only where none is set, as in local tests."""
     context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(found)
+    return found
+
+
+def step(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: cuts the plan, and outlives the executors that made it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

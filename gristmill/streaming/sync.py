@@ -103,8 +103,8 @@ class Index:
         decided.unpersist()
 
 
-def follow(spark: SparkSession, feed: str, base: str, documents, checkpoint: str, once: bool = True, poll: str = "30 seconds"):
+def follow(spark: SparkSession, feed: str, base: str, documents, checkpoint: str, once: bool = True, poll: str = "30 seconds", files_per_batch: int = 1):
     """Runs the feed into the index: all that is there (`once`), or on and on. documents() gives what has landed."""
     index = Index(spark, base)
-    writer = change_stream(spark, feed).writeStream.foreachBatch(lambda pages, i: index.apply(pages, i, documents())).option("checkpointLocation", checkpoint)
+    writer = change_stream(spark, feed, files_per_batch).writeStream.foreachBatch(lambda pages, i: index.apply(pages, i, documents())).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
