@@ -21,8 +21,9 @@ itself; without toxic rows to learn from all score 0.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from . import kernels as K
 from .sampling import labelled_texts, remainder
 
 #: Labelled rows that are learnt from, at most, by label.
-MAX_ROWS = {1: 1500, 0: 4500}
+MAX_ROWS = {1: 1000, 0: 3000}
 LANDMARKS = 32
 #: Landmarks are sought until each toxic text has so many.
 COVER = 4
@@ -163,17 +164,20 @@ class Landmarks:
 
 def choose_landmarks(words: list[set[str]], toxic: np.ndarray, most: int = LANDMARKS) -> list[bytes]:
     """Word beginnings (3 to 10 characters), each time that with the largest share of the toxic texts that have too few so far, less its share of clean texts."""
-    found = defaultdict(set)
-    clean = Counter()
-    for i, own in enumerate(words):
-        begins = {w[:n] for w in own for n in range(3, min(10, len(w)) + 1)}
-        if toxic[i]:
-            for x in begins:
-                found[x].add(i)
-        else:
-            clean.update(begins)
+    begins = lambda own: {w[:n] for w in own for n in range(3, min(10, len(w)) + 1)}
+    counts: Counter = Counter()
+    for i in np.flatnonzero(toxic):
+        counts.update(begins(words[i]))
+    counts = Counter({x: n for x, n in counts.items() if n >= 2})
+    clean: Counter = Counter()
+    for i in np.flatnonzero(~toxic):
+        clean.update(x for x in begins(words[i]) if x in counts)
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    strong = {x: s for x, s in found.items() if len(s) >= 2 and len(s) / n_toxic > 4 * clean[x] / n_clean}
+    strong = {x: set() for x, n in counts.items() if n / n_toxic > 4 * clean[x] / n_clean}
+    for i in np.flatnonzero(toxic):
+        for x in begins(words[i]):
+            if x in strong:
+                strong[x].add(i)
     out: list[str] = []
     need = Counter({i: COVER for i in np.flatnonzero(toxic)})
     while strong and len(out) < most:
@@ -199,7 +203,7 @@ class Model:
         units = [Units(t) for t in pieces]
         words: list[set[str]] = []
         for t, u in zip(pieces, units):
-            names = [u.data[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(u.starts, u.ends)]
+            names = [intern(u.data[a:b].tobytes().decode("utf-8", "ignore")) for a, b in zip(u.starts, u.ends)]
             own: list[set[str]] = [set() for _ in range(t.n)]
             for i, j in zip(u.of, u.unit):
                 own[i].add(names[j])
