@@ -43,6 +43,7 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes:
         F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit("").cast("binary")).alias("payload"),
     )
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "sha1": base32(F.sha1("payload")), "length": F.octet_length("payload").cast("long")})
+    payloads = rows.select("sha256", "payload")
     shared = rows.filter(F.col("length") >= min_revisit_bytes).groupBy("sha256").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(scratch.written(shared.select("sha256", "owner"), "payload-owners"), "sha256", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
@@ -58,10 +59,10 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("length").cast("string"))),
     ]
-    records = rows.select("page_id", "sha256", revisit.alias("revisit"), F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).alias("header"), "payload")
-    records = scratch.written(records.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))), "warc-records")
+    records = rows.select("page_id", "sha256", revisit.alias("revisit"), F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).alias("header"))
     records.select("page_id", "sha256", "header").write.parquet(f"{path}/headers")
-    records.filter("payload IS NOT NULL").dropDuplicates(["sha256"]).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    # any row with a digest has its payload: no join, and the bytes are shuffled once
+    payloads.dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
     scratch.drop()
     return path
 
