@@ -26,11 +26,21 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by similarities of 0.8 or more."""
-    classes = ngram_join.near_duplicates(docs, n=5, threshold=0.8)
-    losers = classes.filter("doc_id IS NULL AND class_id IS NOT NULL OR doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    losers = written(losers, "near-duplicates")
-    return docs.dropDuplicates(["doc_id"]).join(losers, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The row with the smallest id (null ids come last) of each group linked by similarities of 0.8 or more.
+
+    Rows have numbers of their own here: those that share a doc_id, or have none, are
+    grouped by their texts alone. Texts without words are in no group; only such a row
+    that repeats the doc_id and the text of another goes, not where the doc_id is null.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    classes = ngram_join.near_duplicates(rows, n=5, threshold=0.8, doc_id="__row")
+    # equal (doc_id, text) are told apart by their other columns, so that no run prefers another
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all"), "__row")
+    ranked = classes.withColumnRenamed("doc_id", "__row").join(rows.select("__row", order.alias("rank")), "__row")
+    first = ranked.groupBy("class_id").agg(F.min("rank").alias("rank")).select("rank.*")
+    repeated = F.when(F.col("last"), F.col("__row"))
+    kept = first.groupBy("doc_id", "text", repeated.alias("own")).agg(F.min(F.struct("all", "__row")).alias("best")).select("best.__row")
+    return rows.join(written(kept, "near-duplicates"), "__row", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,6 +284,21 @@ def test_pipeline_edges(spark, odd, tmp_path):
         corpus_pipeline.mix_sources(spark, rows, str(tmp_path)).count()
 
 
+def _kept(spark, docs):
+    rows = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    return Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    """Rows that share a doc_id, or have none, stay unless their texts are near-duplicates."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(50))
+    rows = [(i, text(f"n{k}x")) for k, i in enumerate([None] * 5 + [7] * 5)]
+    rows += [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("b")), (2, text("c")), (2, text("c"))]
+    rows += [(4, ""), (4, ""), (None, ""), (None, ""), (5, None)]
+    want = Counter(rows[:10] + [(1, text("a")), (2, text("b")), (2, text("c")), (4, ""), (None, ""), (None, ""), (5, None)])
+    assert _kept(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == want
+
+
 def test_subsequence_kernel():
     def brute(s, t):
         total = 0.0
