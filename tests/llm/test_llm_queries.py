@@ -299,6 +299,13 @@ def test_pipeline_near_duplicates_by_row(spark):
     assert _kept(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == want
 
 
+def test_pipeline_keeps_one_of_a_group_with_a_null_id(spark, odd):
+    # of documents 5 and 6, eight n-grams of ten are shared
+    gone = Counter([(8, WORDS), (9, WORDS + " more"), (None, WORDS), (13, "One, two; three FOUR!"), ODD[5][:2]])
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert _kept(spark, docs) == Counter((i, t) for i, t, *_ in ODD) - gone
+
+
 def test_subsequence_kernel():
     def brute(s, t):
         total = 0.0
