@@ -7,9 +7,10 @@ words. Each hit is then extended: the runs of `window` words around it are
 compared in whole, and the words of equal ones are hit. Items shorter than the
 window form one run of their own length, winnowed at that length.
 
-The benchmark is a stated query set: it is taken in blocks of at most about
-`BLOCK_WORDS` words, each broadcast as sorted arrays, and every document meets
-every block; documents aren't shuffled. Words are compared by 64-bit hashes.
+The benchmark is a stated query set: its runs (an item has as many as words, at
+most) are dealt to blocks of about `BLOCK_WORDS` by a hash of item and run, so
+that neither equal items nor a long one fill a block. Each block is broadcast as
+sorted arrays, and every document meets every block; documents aren't shuffled. Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words and are never contaminated.
 Rows with null or repeated doc_id are judged each for itself. Items of equal
@@ -47,7 +48,7 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 def _item_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in K.texts(batch.column(2)):
+            for t in K.texts(batch.column(1)):
                 starts, ends, firsts = t.spans(WORD)
                 words = t.hashes(starts, ends)
                 rows = []
@@ -61,12 +62,11 @@ def _item_windows(window: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at)),
-                        batch.column(1).take(pa.array(at)),
                         pa.array(np.concatenate([np.zeros(0, np.int32), *(np.full(len(r[2]), r[1], np.int32) for r in rows)])),
                         pa.array(np.concatenate([np.zeros(0, K.U), *(r[2] for r in rows)]).view(np.int64)),
                         pa.array(np.concatenate([np.zeros(0, K.U), *(r[3] for r in rows)]).view(np.int64)),
                     ],
-                    ["block", "item", "n", "run", "fingerprint"],
+                    ["item", "n", "run", "fingerprint"],
                 )
 
     return run
@@ -159,12 +159,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """docs with n_words, n_hit and items (distinct ids of items found, sorted as strings)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (6 * BLOCK_WORDS)))
-    items = items.select(F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("block"), "item", "text")
-    windows = items.mapInArrow(_item_windows(window), "block int, item string, n int, run long, fingerprint long").distinct()
-    if blocks > 1:
-        windows = written(windows, "benchmark-windows")
+    windows = items.mapInArrow(_item_windows(window), "item string, n int, run long, fingerprint long").distinct()
+    windows = written(windows, "benchmark-windows")
+    blocks = max(1, -(-windows.count() // BLOCK_WORDS))
+    windows = windows.withColumn("block", F.pmod(F.xxhash64("item", "n", "run"), F.lit(blocks)).cast("int"))
     columns = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "items")]
     names = [F.col(f"`{c}`") for c in columns]
     marked = docs.select(*names, F.col(f"`{text}`").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("__hits"), F.lit(None).cast("array<string>").alias("items"))

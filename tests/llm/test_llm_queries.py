@@ -251,6 +251,19 @@ def test_near_duplicates_against_brute_force(spark, block, monkeypatch):
     assert got == _near(rows)
 
 
+def test_benchmark_blocks_are_bounded(spark, monkeypatch):
+    """Items of equal text and a long item are dealt to several blocks, and all are found."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
+    sizes, arrays = [], decontaminate._arrays
+    monkeypatch.setattr(decontaminate, "_arrays", lambda rows: sizes.append(len(rows)) or arrays(rows))
+    same, long = " ".join(f"s{i}" for i in range(20)), " ".join(f"l{i}" for i in range(612))
+    bench = spark.createDataFrame([(i, same) for i in range(100)] + [(100, long)], "item_id bigint, text string")
+    rows = decontaminate.find_contamination(spark.createDataFrame([(1, same), (2, long)], "doc_id bigint, text string"), bench).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in rows}
+    assert got == {1: (20, 20, sorted(str(i) for i in range(100))), 2: (612, 612, ["100"])}
+    assert sum(sizes) == 1400 and len(sizes) == 3 and max(sizes) < 600
+
+
 def test_near_duplicates_edges(odd, empty):
     got = ngram_join.near_duplicates(odd)
     rows = got.collect()
