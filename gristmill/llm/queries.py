@@ -39,13 +39,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     back = warc.read_archive(spark, path)
-    return back.select(
-        "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        warc.base32(F.sha1("payload")).alias("payload_digest"),
-        "record_type",
-        F.regexp_extract("refers_to_record", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
-    )
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", warc.referred_page("refers_to_record").alias("refers_to"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
