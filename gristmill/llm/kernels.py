@@ -26,9 +26,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_CODES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-_OTHER_CODES = mix(np.arange(257, 513, dtype=U) * U(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
+_CODES = mix(np.arange(257, 513, dtype=U) * U(0xD1342543DE82EF95))
+_powers: dict[object, np.ndarray] = {}
+
+#: Two polynomial hashes modulo the prime 2^31 - 1, each with a base and byte codes of its own.
+PRIME = U((1 << 31) - 1)
+FIELDS = (1_376_312_589, 1_906_431_877)
+_FIELD_CODES = [mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95) + U(i)) % PRIME for i in range(len(FIELDS))]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +45,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2^63."""
+    x = (x & PRIME) + (x >> U(31))
+    x = (x & PRIME) + (x >> U(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _field_powers(base: int, n: int) -> np.ndarray:
+    if len(_powers.get(base, ())) < n:
+        table, step = np.ones(1, U), base
+        while len(table) < max(n, CHUNK + 1):
+            table = np.concatenate([table, _reduced(table * U(step))])
+            step = step * step % int(PRIME)
+        _powers[base] = table
+    return _powers[base]
+
+
 #: Bytes by class. Multi-byte characters only have bytes from 0x80 on, so that
 #: a class which holds none or all of these works on UTF-8 bytes directly.
 BYTES = np.arange(256)
@@ -96,25 +117,35 @@ class Texts:
         return np.where(filled, solid[np.where(filled, a, -1)], starts), np.where(filled, solid[np.where(filled, b - 1, -1)] + 1, starts)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-        """64-bit hashes of spans, A-Z taken as a-z."""
-        return self._hashes(FOLD, starts, ends, seed)
+        """64-bit hashes of spans, A-Z taken as a-z.
+
+        They come from two polynomials modulo a prime. Modulo a power of two, which
+        would be cheaper, texts are known that collide under every base.
+        """
+        return self._prime_hashes(FOLD, starts, ends, seed)
 
     def exact_hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """The same with case kept."""
-        return self._hashes(BYTES, starts, ends, seed)
+        return self._prime_hashes(BYTES, starts, ends, seed)
 
     def second_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """As `hashes`, from other codes for the bytes."""
-        return self._hashes(FOLD, starts, ends, 1, _OTHER_CODES)
-
-    def _hashes(self, fold: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, codes: np.ndarray = _CODES) -> np.ndarray:
+        """Hashes of another kind, modulo 2^64, to stand beside those of `hashes`."""
         up, down = _power_tables(len(self.data) + 1)
-        sums = self._sums.get((id(fold), id(codes)))
-        if sums is None:
-            sums = self._sums[id(fold), id(codes)] = np.empty(len(self.data) + 1, U)
-            sums[0] = 0
-            np.cumsum(codes[fold][self.data] * up[: len(self.data)], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * down[starts]
+        sums = np.empty(len(self.data) + 1, U)
+        sums[0] = 0
+        np.cumsum(_CODES[FOLD][self.data] * up[: len(self.data)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA0761D6478BD642F) + U(1))
+
+    def _prime_hashes(self, fold: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+        raw = np.zeros(len(starts), U)
+        for i, (base, codes) in enumerate(zip(FIELDS, _FIELD_CODES)):
+            sums = self._sums.get((id(fold), i))
+            if sums is None:
+                sums = self._sums[id(fold), i] = np.zeros(len(self.data) + 1, U)
+                np.cumsum(_reduced(codes[fold][self.data] * _field_powers(base, len(self.data) + 1)[: len(self.data)]), out=sums[1:])
+            down = _field_powers(pow(base, -1, int(PRIME)), len(self.data) + 1)
+            own = _reduced(_reduced(sums[ends] - sums[starts]) * down[starts])
+            raw = (raw << U(32)) | own
         return mix(raw + (ends - starts).astype(U) * U(0xA0761D6478BD642F) + U(seed))
 
     def count(self, members: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
