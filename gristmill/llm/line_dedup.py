@@ -1,18 +1,27 @@
 """Drops lines that many documents share, keeping each in one document.
 
-1. Every document gives the hashes of its distinct long lines; those held by at
-   least `min_docs` documents stay, with the count and the largest id.
-2. They are cut into shards of about `SHARD_KEYS` keys. A task builds, for one
-   shard, a minimal perfect hash (levels of collision-free bit positions) that
-   indexes compact arrays of fingerprints, counts and keepers.
-3. Documents send the hashes of their lines to the shards, in salted groups of
-   bounded size, and get back the hashes of the lines to drop. Lines themselves
-   are never joined or shuffled.
+1. Every document gives the hashes of its distinct long lines, and these give the
+   distinct line hashes with the number of documents that have them and the
+   largest id. Those of one document alone can't be shared and go.
+2. The rest is cut into shards of about `SHARD_KEYS` hashes. A task builds, for
+   one shard, a minimal perfect hash (levels of collision-free bit positions) that
+   indexes compact arrays of fingerprints, counts and keepers. The index serves
+   any number of documents from two on: the counts decide when it is probed.
+3. Documents send the hashes of their lines to the shards, and get back those of
+   the lines to drop. Lines themselves are never joined or shuffled. A shard is
+   copied once for each `PROBES` probes that it gets, by the counts it holds, so
+   that copies grow with the lines of all documents and not faster, and a line
+   that a third of them has is met by many tasks.
+
+A key is hashed twice, in different ways, to 126 bits in all; a pair of lines
+that agrees in the first alone is told apart, and the line with fewer documents
+stays.
 
 Defined results: a null or empty text is one empty line and comes back as ''.
 Rows with a null doc_id count as one document with the smallest id. Rows that
-repeat a doc_id are one document: they lose the same lines. Extra columns stay;
-an empty table gives an empty table. Lines of equal key in the keeper all stay.
+repeat a doc_id are one document: they lose the same lines. Extra columns stay,
+but for any of the name of a new column, in any case; an empty table gives an
+empty table. Lines of equal key in the keeper all stay.
 """
 
 from __future__ import annotations
@@ -22,14 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .columns import others, private
 from .storage import Scratch
 
 SHARD_KEYS = 1 << 16
-#: Documents of one shard that one task probes at most.
+#: Documents that one copy of a shard is probed by, about.
 PROBES = 1 << 16
 NULL_ID = -(1 << 63)
 
@@ -61,10 +71,12 @@ def _emit_keys(min_chars: int):
     return run
 
 
-def _emit_probes(min_chars: int, shards: int, salts: int):
+def _emit_probes(min_chars: int, shards: int):
+    """For each row and shard, the two hashes of each of its lines; rows are named by their id and the hash of their text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for t in K.texts(batch.column(1)):
                 _, _, firsts, long, h1, h2 = _line_keys(t, min_chars)
                 of, h1, h2 = _distinct(K.owner(firsts)[long], h1[long], h2[long])
@@ -74,9 +86,8 @@ def _emit_probes(min_chars: int, shards: int, salts: int):
                 cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (shard[1:] != shard[:-1])]) if len(of) else np.zeros(0, np.int64)
                 both = np.stack([h1, h2], 1)
                 keys = [x.tobytes() for x in np.split(both, cuts[1:])] if len(cuts) else []
-                owner = ids[t.first + of[cuts]]
-                salt = (K.mix(owner.astype(np.int64).view(K.U)) % K.U(salts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(shard[cuts]), pa.array(salt), pa.array(keys, pa.binary())], ["id", "shard", "salt", "keys"])
+                own = t.first + of[cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(marks[own]), pa.array(shard[cuts]), pa.array(keys, pa.binary())], ["id", "mark", "shard", "keys"])
 
     return run
 
@@ -130,7 +141,7 @@ SHARD_SCHEMA = "shard int, bits binary, sizes array<int>, fingerprints binary, c
 
 
 def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("h1")
+    rows = rows.sort_values(["h1", "n_docs", "h2"], ascending=[True, False, True]).drop_duplicates("h1")
     h1 = rows["h1"].to_numpy(np.int64).view(K.U)
     index = PerfectHash.build(h1)
     order = np.argsort(index(h1))
@@ -142,24 +153,28 @@ def _build_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def _probe(min_docs: int):
     def run(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(probes) or not len(shard):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "drops": []})
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "mark": pd.Series([], dtype="int64"), "drops": []})
         s = shard.iloc[0]
         index = PerfectHash.load(s["bits"], s["sizes"])
         fingerprints, counts, keepers = (np.frombuffer(s[c], np.int64) for c in ("fingerprints", "counts", "keepers"))
         sizes = probes["keys"].map(len).to_numpy() // 16
         keys = np.frombuffer(b"".join(probes["keys"]), K.U).reshape(-1, 2)
-        ids = probes["id"].to_numpy(np.int64)
+        ids, marks = (probes[c].to_numpy(np.int64) for c in ("id", "mark"))
         at = index(keys[:, 0])
         known = at >= 0
         at = np.where(known, at, 0)
         drop = known & (fingerprints[at].view(K.U) == keys[:, 1]) & (counts[at] >= min_docs) & (keepers[at] != np.repeat(ids, sizes))
-        some = np.add.reduceat(drop, np.cumsum(sizes) - sizes) > 0
-        drops = [keys[a : a + n, 0][drop[a : a + n]].tobytes() for a, n in zip((np.cumsum(sizes) - sizes)[some], sizes[some])]
-        return pd.DataFrame({"id": ids[some], "drops": drops})
+        first = np.cumsum(sizes) - sizes
+        some = np.add.reduceat(drop, first) > 0
+        drops = [keys[a : a + n][drop[a : a + n]].tobytes() for a, n in zip(first[some], sizes[some])]
+        return pd.DataFrame({"id": ids[some], "mark": marks[some], "drops": drops})
 
     return run
 
 
+_PAIR = np.dtype([("h1", K.U), ("h2", K.U)])
+
+
 def _rewrite(min_chars: int, n_columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,50 +186,64 @@ def _rewrite(min_chars: int, n_columns: int):
                 lost = np.zeros(t.n, np.int64)
                 out = [t.text(i) for i in range(t.n)]
                 if some:
-                    a, b, firsts, long, h1, _ = _line_keys(t, min_chars)
+                    a, b, firsts, long, h1, h2 = _line_keys(t, min_chars)
                     for i in some:
-                        gone = np.frombuffer(b"".join(drops[t.first + i].as_py()), K.U)
+                        gone = np.unique(np.frombuffer(b"".join(drops[t.first + i].as_py()), _PAIR))
                         at = slice(firsts[i], firsts[i + 1])
-                        lose = long[at] & np.isin(h1[at], gone)
+                        own = np.empty(firsts[i + 1] - firsts[i], _PAIR)
+                        own["h1"], own["h2"] = h1[at], h2[at]
+                        near = np.minimum(np.searchsorted(gone["h1"], own["h1"]), len(gone) - 1)
+                        # of lines with one first hash at most one is in the index
+                        lose = long[at] & (gone[near] == own)
                         lost[i] = lose.sum()
                         out[i] = b"\n".join(t.data[x:y].tobytes() for x, y in zip(a[at][~lose], b[at][~lose]))
                 n_dropped.append(lost)
                 kept += out
             arrays = [*batch.columns[:n_columns], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *n_lines])), pa.array(np.concatenate([np.zeros(0, np.int64), *n_dropped]))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:n_columns], "__kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:n_columns], "kept", "n_lines", "n_dropped"])
 
     return run
 
 
-def line_index(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> tuple[DataFrame, int]:
-    """The shards over keys in enough documents, and their number. docs: id, text."""
-    keys = docs.mapInArrow(_emit_keys(min_chars), "id long, h1 long, h2 long")
-    frequent = keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+def line_index(docs: DataFrame, min_chars: int = 20) -> tuple[DataFrame, int]:
+    """The shards over keys that two documents or more have, each with its number of copies, and their number. docs: id, text."""
+    keys = docs.select("id", "text").mapInArrow(_emit_keys(min_chars), "id long, h1 long, h2 long")
+    lines = keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
+    seen = Observation()
+    lines = lines.observe(seen, F.count_if(F.col("n_docs") == 1).alias("alone"), F.count_if(F.col("n_docs") > 1).alias("shared"))
     scratch = Scratch(docs.sparkSession)
-    frequent = scratch.written(frequent, "frequent-lines")
-    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+    shared = scratch.written(lines.filter("n_docs > 1"), "shared-lines")
+    shards = max(1, -(-(seen.get.get("shared") or 0) // SHARD_KEYS))
     # h1 is unsigned in the tasks: the remainder of a negative one needs the two halves
     unsigned = (F.shiftrightunsigned("h1", 1) % shards * 2 + F.col("h1").bitwiseAND(F.lit(1))) % shards
-    index = frequent.withColumn("shard", unsigned.cast("int")).groupBy("shard").applyInPandas(_build_shard, SHARD_SCHEMA)
+    shared = shared.withColumn("shard", unsigned.cast("int"))
+    # what a shard is probed for: its own keys in all their documents, and its share of the lines of one document
+    probes = F.sum("n_docs") + F.lit((seen.get.get("alone") or 0) // shards)
+    copies = shared.groupBy("shard").agg(F.ceil(probes / PROBES).cast("int").alias("copies"))
+    index = shared.groupBy("shard").applyInPandas(_build_shard, SHARD_SCHEMA).join(copies, "shard")
     index = scratch.written(index, "line-shards")
     scratch.drop(keep=index)
     return index, shards
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with such lines dropped from `text`; adds n_lines (before) and n_dropped."""
-    spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    index, shards = line_index(ids, min_docs, min_chars)
-    n_docs = docs.count()
-    salts = max(1, -(-n_docs // min(PROBES, max(1024, n_docs // (4 * spark.sparkContext.defaultParallelism)))))
-    probes = ids.mapInArrow(_emit_probes(min_chars, shards, salts), "id long, shard int, salt int, keys binary")
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_probe(min_docs), "id long, drops binary")
-    drops = found.groupBy("id").agg(F.collect_list("drops").alias("__drops")).withColumnRenamed("id", "__id")
-    columns = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    wide = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("__id"))
-    wide = wide.join(drops, "__id", "left").select(*(F.col(f"`{c}`") for c in columns), "__text", "__drops")
-    schema = docs.select(*(F.col(f"`{c}`") for c in columns)).schema.add("__kept", "string").add("n_lines", "long").add("n_dropped", "long")
+    """docs with such lines dropped from `text`; adds n_lines (before) and n_dropped. min_docs is two at least."""
+    if min_docs < 2:
+        raise ValueError("a line of one document is not shared")
+    columns = others(docs, "n_lines", "n_dropped", text)
+    rows = private(docs, columns, id=F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)), text=F.col(f"`{text}`"), mark=F.xxhash64(f"`{text}`"))
+    index, shards = line_index(rows, min_chars)
+    numbers = index.select(F.col("shard").alias("number"), F.col("copies").alias("m"))
+    probes = rows.select("id", "text", "mark").mapInArrow(_emit_probes(min_chars, shards), "id long, mark long, shard int, keys binary")
+    probes = probes.join(numbers, F.col("shard") == F.col("number")).withColumn("salt", F.pmod(F.xxhash64("id", "mark"), F.col("m")).cast("int"))
+    probes = probes.select("id", "mark", "shard", "salt", "keys")
+    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    found = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_probe(min_docs), "id long, mark long, drops binary")
+    # rows of equal id and text have equal drops
+    drops = found.groupBy("id", "mark").agg(F.collect_set("drops").alias("drops"))
+    names = [f"c{i}" for i in range(len(columns))]
+    wide = rows.join(drops, ["id", "mark"], "left").select(*names, "text", "drops")
+    schema = rows.select(*names).schema.add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
     kept = wide.mapInArrow(_rewrite(min_chars, len(columns)), schema)
-    return kept.select(*(F.col("__kept").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    place = {c: F.col(n).alias(c) for c, n in zip(columns, names)} | {text: F.col("kept").alias(text)}
+    return kept.select(*(place[c] for c in docs.columns if c in place), "n_lines", "n_dropped")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .columns import others, private, public
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_alpha_words")
 
@@ -83,7 +84,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         "n_letters": K.UPPER | K.LOWER,
     }
     for batch in batches:
-        at = batch.schema.get_field_index("__text")
+        at = batch.schema.get_field_index("text")
         out = {name: [np.zeros(0, np.int64)] for name in MEASURES}
         for t in K.texts(batch.column(at)):
             starts, ends, firsts = t.spans(K.NOT_SPACE)
@@ -107,14 +108,14 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns in `keep` (default: all but the text and names of measurements) with measurements and `failed_bits`."""
-    keep = tuple(c for c in docs.columns if c != text and c not in (*MEASURES, "failed_bits")) if keep is None else keep
-    narrow = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    fields = [f for f in narrow.schema.fields if f.name != "__text"]
-    schema = type(narrow.schema)(fields)
+    keep = tuple(others(docs, text, *MEASURES, "failed_bits")) if keep is None else keep
+    narrow = private(docs, list(keep), text=F.col(f"`{text}`"))
+    schema = type(narrow.schema)(narrow.schema.fields[:-1])
     for name in MEASURES:
         schema = schema.add(name, "long")
     mask = sum((F.when(F.expr(rule), 1 << i).otherwise(0) for i, (_, rule) in enumerate(RULES)), F.lit(0))
-    return narrow.mapInArrow(_measure_batches, schema).withColumn("failed_bits", mask.cast("int"))
+    measured = narrow.mapInArrow(_measure_batches, schema).withColumn("failed_bits", mask.cast("int"))
+    return measured.select(*public(list(keep)), *MEASURES, "failed_bits")
 
 
 def passes(policy: str, failed_bits: str | Column = "failed_bits") -> Column:
