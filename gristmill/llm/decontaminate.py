@@ -3,19 +3,21 @@
 Of every run of `window` words a text keeps the smallest hash of its k-grams
 (k = 5 words). Equal runs keep equal fingerprints, so that joining the
 fingerprints of documents and benchmark items finds every shared run of `window`
-words. Each hit is then extended: the runs of `window` words around it are
-compared in whole, and the words of equal ones are hit. Items shorter than the
-window form one run of their own length, winnowed at that length.
+words. Each hit is then extended: of the texts with hits, the runs of `window`
+words around them are joined with the benchmark's, and the words of equal ones
+are hit. Items shorter than the window form one run of their own length, winnowed
+at that length.
 
-The benchmark is a stated query set: its runs (an item has as many as words, at
-most) are dealt to blocks of about `BLOCK_WORDS` by a hash of item and run, so
-that neither equal items nor a long one fill a block. Each block is broadcast as
-sorted arrays, and every document meets every block; documents aren't shuffled. Words are compared by 64-bit hashes.
+All of it is joins of narrow tables: texts are read, not moved, but for those with
+a hit, and nothing of the benchmark passes through the driver but the lengths of
+its runs (`window` numbers at most). Which side is broadcast, if any, is left to
+Spark, which knows the sizes. Texts are named by their MD5, so equal ones are
+judged once. Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words and are never contaminated.
 Rows with null or repeated doc_id are judged each for itself. Items of equal
-item_id count once; a null item_id is named ''. Extra columns stay; an empty
-benchmark contaminates nothing.
+item_id count once; a null item_id is named ''. Extra columns stay, but for any of
+the name of a new column, in any case; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import written
+from .columns import others, private
+from .storage import Scratch
 
 GRAM = 5
-BLOCK_WORDS = 1 << 20
 WORD = K.ALNUM
+#: The same words for the JVM.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -45,6 +49,12 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def _minima(words: np.ndarray, n: int) -> np.ndarray:
+    """For each run of n words the smallest hash of its k-grams."""
+    k = min(GRAM, n)
+    return _sliding_min(K.grams(words, k), n - k + 1) if len(words) >= n else np.zeros(0, K.U)
+
+
 def _item_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +66,7 @@ def _item_windows(window: int):
                     own = words[firsts[i] : firsts[i + 1]]
                     if len(own):
                         n = min(window, len(own))
-                        runs, minima = K.grams(own, n), _sliding_min(K.grams(own, min(GRAM, n)), n - min(GRAM, n) + 1)
-                        rows.append((t.first + i, n, runs, minima))
+                        rows.append((t.first + i, n, K.grams(own, n), _minima(own, n)))
                 at = np.concatenate([np.zeros(0, np.int64), *(np.full(len(r[2]), r[0]) for r in rows)]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -72,111 +81,89 @@ def _item_windows(window: int):
     return run
 
 
-def _arrays(rows: list) -> tuple[dict, list[str]]:
-    """For each run length its sorted fingerprints, sorted runs, and for each run the items that have it."""
-    items = sorted({r["item"] for r in rows})
-    number = {x: i for i, x in enumerate(items)}
-    out = {}
-    for n in sorted({r["n"] for r in rows}):
-        own = [r for r in rows if r["n"] == n]
-        run = np.array([r["run"] for r in own], np.int64).view(K.U)
-        item = np.array([number[r["item"]] for r in own], np.int64)
-        order = np.lexsort((item, run))
-        runs, first = np.unique(run[order], return_index=True)
-        out[n] = (np.unique(np.array([r["fingerprint"] for r in own], np.int64).view(K.U)), runs, np.append(first, len(order)), item[order])
-    return out, items
-
-
-def _isin(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values, at
-
-
-def _scan(t: K.Texts, tables: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of texts into words, hit words, and (text, item) pairs."""
-    starts, ends, firsts = t.spans(WORD)
-    words = t.hashes(starts, ends)
-    cover = np.zeros(len(words) + 1, np.int32)
-    pairs = [np.zeros((0, 2), np.int64)]
-    of = K.owner(firsts)
-    for n, (fingerprints, runs, first, items) in tables.items():
-        if len(words) < n:
-            continue
-        k = min(GRAM, n)
-        w = n - k + 1
-        grams = K.grams(words, k)
-        minima = _sliding_min(grams, w)
-        fresh = np.ones(len(minima), bool)
-        fresh[1:] = minima[1:] != minima[:-1]
-        picked = np.flatnonzero(fresh)
-        found, _ = _isin(minima[picked], fingerprints)
-        # a fingerprint stays the minimum of a stretch of windows; only these are compared in whole
-        until = np.append(picked[1:], len(minima))
-        stretch = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(picked[found], until[found]))]).astype(np.int64)
-        stretch = stretch[K.starts_of_grams(firsts, n)[stretch]]
-        if not len(stretch):
-            continue
-        whole = words[stretch].copy()
-        for i in range(1, n):
-            whole *= K.U(0x9FB21C651E98DF25)
-            whole += words[stretch + i]
-        equal, at = _isin(K.mix(whole + K.U(n)), runs)
-        begin, at = stretch[equal], at[equal]
-        np.add.at(cover, begin, 1)
-        np.add.at(cover, begin + n, -1)
-        text_run = np.unique(np.stack([of[begin], at], 1), axis=0)
-        size = first[text_run[:, 1] + 1] - first[text_run[:, 1]]
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        pairs.append(np.stack([np.repeat(text_run[:, 0], size), items[np.repeat(first[text_run[:, 1]], size) + inner]], 1))
-    return firsts, np.cumsum(cover[:-1]) > 0, *np.unique(np.concatenate(pairs), axis=0).T
-
-
-def _mark(block):
+def _fingerprints(lengths: list[int]):
+    """Fingerprints of whole texts at each length of runs; one that stays the minimum of a stretch of runs is given once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, names = block.value
         for batch in batches:
-            n = batch.num_columns - 4
-            before, had = batch.column(n + 2), batch.column(n + 3)
-            n_words, hits, found = [], [], []
-            for t in K.texts(batch.column(n)):
-                firsts, hit, text, item = _scan(t, tables)
-                n_words.append(np.diff(firsts))
-                own = np.searchsorted(text, np.arange(t.n + 1))
-                for i in range(t.n):
-                    mask, was = hit[firsts[i] : firsts[i + 1]], before[t.first + i].as_py()
-                    if was:
-                        mask = mask | np.unpackbits(np.frombuffer(was, np.uint8), count=len(mask)).astype(bool)
-                    hits.append(np.packbits(mask).tobytes() if mask.any() else None)
-                    found.append([*(had[t.first + i].as_py() or ()), *(names[j] for j in item[own[i] : own[i + 1]])])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n + 1], pa.array(np.concatenate([np.zeros(0, np.int64), *n_words])), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], batch.schema.names
-            )
+            for t in K.texts(batch.column(1)):
+                starts, ends, firsts = t.spans(WORD)
+                words, of = t.hashes(starts, ends), K.owner(firsts)
+                for n in lengths:
+                    minima = _minima(words, n)
+                    at = np.flatnonzero(K.starts_of_grams(firsts, n)[: len(minima)])
+                    own, text = minima[at], of[at]
+                    fresh = np.ones(len(at), bool)
+                    fresh[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+                    own, text = own[fresh], text[fresh]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t.first + text)), pa.array(np.full(len(own), n, np.int32)), pa.array(own.view(np.int64))], ["key", "n", "fingerprint"])
 
     return run
 
 
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with hits, the runs of words whose fingerprint is one, and where they begin."""
+    mark = lambda text, x: K.mix(x + text.astype(K.U) * K.U(0x9E3779B97F4A7C15))
+    for batch in batches:
+        for t in K.texts(batch.column(1)):
+            starts, ends, firsts = t.spans(WORD)
+            words, of = t.hashes(starts, ends), K.owner(firsts)
+            hits = batch.column(2).slice(t.first, t.n)
+            text = np.repeat(np.arange(t.n), hits.value_lengths().to_numpy())
+            n_of, hit = (hits.flatten().field(i).to_numpy() for i in (0, 1))
+            for n in np.unique(n_of):
+                minima, mine = _minima(words, int(n)), n_of == n
+                at = np.flatnonzero(K.starts_of_grams(firsts, int(n))[: len(minima)])
+                at = at[np.isin(mark(of[at], minima[at]), mark(text[mine], hit[mine].view(K.U)))]
+                whole = words[at].copy()
+                for i in range(1, int(n)):
+                    whole *= K.U(0x9FB21C651E98DF25)
+                    whole += words[at + i]
+                arrays = [batch.column(0).take(pa.array(t.first + of[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(K.mix(whole + K.U(n)).view(np.int64)), pa.array((at - firsts[of[at]]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "run", "begin"])
+
+
+def _covered(spans):
+    """How many words spans (begin, n) cover together."""
+    start = F.struct(F.lit(0).cast("long").alias("until"), F.lit(0).cast("long").alias("total"))
+
+    def add(s, x):
+        until = F.greatest(s["until"], x["begin"] + x["n"])
+        return F.struct(until.alias("until"), (s["total"] + until - F.greatest(s["until"], F.least(x["begin"], until))).alias("total"))
+
+    return F.aggregate(F.array_sort(spans), start, add, lambda s: s["total"])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, n_hit and items (distinct ids of items found, sorted as strings)."""
-    spark = docs.sparkSession
+    """docs with n_words, n_hit, items (distinct ids of items found, sorted as strings) and hit_spans (begin, n: the runs of words hit)."""
+    scratch = Scratch(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text"))
-    windows = items.mapInArrow(_item_windows(window), "item string, n int, run long, fingerprint long").distinct()
-    windows = written(windows, "benchmark-windows")
-    blocks = max(1, -(-windows.count() // BLOCK_WORDS))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("item", "n", "run"), F.lit(blocks)).cast("int"))
-    columns = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "items")]
-    names = [F.col(f"`{c}`") for c in columns]
-    marked = docs.select(*names, F.col(f"`{text}`").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("__hits"), F.lit(None).cast("array<string>").alias("items"))
-    for i in range(blocks):
-        block = spark.sparkContext.broadcast(_arrays(windows.filter(F.col("block") == i).drop("block").collect()))
-        marked = marked.mapInArrow(_mark(block), marked.schema)
-        if i < blocks - 1:
-            marked = written(marked, "benchmark-hits")
-    bits = F.aggregate(F.split(F.hex("__hits"), ""), F.lit(0).cast("long"), lambda total, x: total + F.when(x == "", 0).otherwise(F.bit_count(F.conv(x, 16, 10).cast("long"))))
-    return marked.select(
-        *(F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "items")),
-        "n_words",
-        F.coalesce(bits, F.lit(0)).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct("items")).alias("items"),
+    windows = scratch.written(items.mapInArrow(_item_windows(window), "item string, n int, run long, fingerprint long").distinct(), "benchmark-windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
+    columns = others(docs, "n_words", "n_hit", "items", "hit_spans")
+    rows = private(docs, columns, key=F.unhex(F.md5(F.col(f"`{text}`"))), words=F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORDS)), F.lit(0)).cast("long"))
+    texts = docs.select(F.unhex(F.md5(F.col(f"`{text}`"))).alias("key"), F.col(f"`{text}`").alias("text"))
+
+    own = texts.mapInArrow(_fingerprints(lengths), "key binary, n int, fingerprint long")
+    hits = own.join(windows.select("n", "fingerprint").distinct(), ["n", "fingerprint"], "left_semi").distinct()
+    hits = scratch.written(hits.groupBy("key").agg(F.collect_list(F.struct("n", "fingerprint")).alias("hits")), "fingerprint-hits")
+    near = texts.join(hits, "key").dropDuplicates(["key"]).select("key", "text", "hits")
+    runs = near.mapInArrow(_extended, "key binary, n int, run long, begin long").join(windows.select("n", "run").distinct(), ["n", "run"], "left_semi")
+    runs = scratch.written(runs, "shared-runs")
+    spans = runs.groupBy("key").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
+    named = runs.select("key", "n", "run").distinct().join(windows.select("n", "run", "item").distinct(), ["n", "run"])
+    named = named.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("found"))
+    found = spans.join(named, "key").select("key", _covered(F.col("spans")).alias("hit"), "found", F.array_sort("spans").alias("spans"))
+    found = scratch.written(found, "contaminated-texts")
+    scratch.drop(windows, hits, runs)
+
+    out = rows.join(found, "key", "left")
+    return out.select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)),
+        F.col("words").alias("n_words"),
+        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("found", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<begin: bigint, n: int>>")).alias("hit_spans"),
     )
 
 
