@@ -111,7 +111,7 @@ sums AS (SELECT source, rate, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY
 drawn AS (SELECT d.*, (CAST(CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM {source} d),
 times AS (SELECT d.doc_id, d.source, any_value(rate) AS rate, count(*) FILTER (WHERE c < u) AS n FROM drawn d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.doc_id, d.source),
 copies AS (SELECT doc_id, rate, unnest(range(0, n)) AS copy FROM times)
-SELECT d.*, rate, copy, md5('{seed}s|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key
+SELECT d.*, rate, copy, md5('{seed}s|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR) || '|' || md5(coalesce(d.text, ''))) AS shuffle_key
 FROM {source} d JOIN copies USING (doc_id)"""
 
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import urllib.parse
 import zlib
 from collections import Counter
 
@@ -69,7 +70,7 @@ copies or substantial portions of the Software."""
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
 
 
-def _lines(rows):
+def _lines(rows, least=3):
     """Brute force of the contract for line dedup."""
     strip = lambda x: x.strip(" \t\n\x0b\f\r").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}))
     holders = {}
@@ -77,7 +78,7 @@ def _lines(rows):
     for i, t, *_ in rows:
         for line in (t or "").split("\n"):
             holders.setdefault(strip(line), set()).add(ident(i))
-    gone = {k: max(v) for k, v in holders.items() if len(k) >= 20 and len(v) >= 3}
+    gone = {k: max(v) for k, v in holders.items() if len(k) >= 20 and len(v) >= least}
     out = []
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
@@ -92,6 +93,59 @@ def test_line_dedup_edges(odd, empty):
     assert got.columns[:9] == odd.columns and line_dedup.dedup_lines(empty).count() == 0
 
 
+def _thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_made_to_collide_modulo_powers_of_two(spark):
+    """The two words agree under every polynomial hash modulo 2^64."""
+    one, other = _thue_morse(2048)
+    docs = spark.createDataFrame([(1, one), (2, other), (3, other), (4, f"{one}\n{other}")], "doc_id bigint, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == _lines(rows)
+    assert [r.n_dup_lines for r in quality_rules.ledger(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    bench = spark.createDataFrame([(1, one)], "item_id bigint, text string")
+    assert [r.n_hit for r in decontaminate.find_contamination(docs, bench).orderBy("doc_id").collect()] == [1, 0, 0, 1]
+    assert {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_line_index_serves_any_number_of_documents(spark, monkeypatch):
+    """Several shards, each copied, and a line that most documents have."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 16)
+    monkeypatch.setattr(line_dedup, "PROBES", 8)
+    line = lambda i: f"line {i} is of more than twenty characters"
+    rows = [(i, "\n".join([line(0), *(line(j) for j in range(1, 100) if i % j == 0), f"own line of document {i}"])) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (None, line(0)), (None, f"{line(0)}\n{line(3)}")], "doc_id bigint, text string")
+    for least in (2, 3, 10):
+        got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs, min_docs=least).collect())
+        assert got == _lines([(r.doc_id, r.text) for r in docs.collect()], least)
+    index, shards = line_dedup.line_index(docs.select(F.coalesce("doc_id", F.lit(line_dedup.NULL_ID)).alias("id"), "text"))
+    assert shards > 3 and index.count() == shards and index.agg(F.max("copies")).first()[0] > 10
+
+
+CLASHES = ["Rate", "COPY", "N_LINES", "N_words", "N_HIT", "Items", "Licenses", "__rate", "__source", "__text", "__id", "__kept", "__hits", "id", "Key", "mark", "c0", "Words", "failed_BITS"]
+
+
+def test_columns_that_clash_in_any_case(spark):
+    docs = spark.createDataFrame([(i, WORDS, "a", *range(len(CLASHES))) for i in range(3)], f"doc_id bigint, text string, source string, {', '.join(f'`{c}` int' for c in CLASHES)}")
+    bench = spark.createDataFrame([(1, "word1 word2")], "item_id bigint, text string")
+    results = [
+        (mixing.mix(docs), ("rate", "copy", "shuffle_key")),
+        (line_dedup.dedup_lines(docs), ("n_lines", "n_dropped")),
+        (quality_rules.ledger(docs), (*quality_rules.MEASURES, "failed_bits")),
+        (decontaminate.find_contamination(docs, bench), ("n_words", "n_hit", "items", "hit_spans")),
+        (licenses.scan(docs), ("sentence_ids", "licenses", "n_known")),
+    ]
+    for got, new in results:
+        assert got.count() >= 1
+        assert set(got.columns) >= {c for c in CLASHES if c.lower() not in new} | set(new)
+        assert all(r[c] == i for r in got.collect() for i, c in enumerate(CLASHES) if c.lower() not in new)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.RandomState(1).randint(0, 1 << 62, 20_000).astype(np.uint64))
     index = line_dedup.PerfectHash.build(keys)
@@ -103,19 +157,33 @@ def test_perfect_hash():
 def test_warc_round_trip(spark):
     rows = [(1, "u1", "same"), (5, "u5", "same"), (3, "u3", "same"), (4, "u4", None), (7, "u7", ""), (None, "un", "same"), (8, "u\r\n8", "lone é"), (8, "u8", "lone é")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, payload string")
-    back = warc.record_bytes(warc.read_archive(spark, warc.write_archive(pages))).collect()
+    back = warc.record_bytes(warc.read_archive(spark, warc.write_archive(pages))).withColumn("refers_to", warc.referred_page("refers_to_record")).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.page_id, bytes(r.payload)) for r in back), key=key) == sorted(((i, (h or "").encode()) for i, _, h in rows), key=key)
-    kinds = sorted((str(r.page_id), r.record_type, r.refers_to_record) for r in back)
-    assert kinds == [("1", "revisit", "<urn:page:5>"), ("3", "revisit", "<urn:page:5>"), ("4", "revisit", "<urn:page:7>"), ("5", "response", None), ("7", "response", None), ("8", "response", None), ("8", "response", None), ("None", "revisit", "<urn:page:5>")]
+    kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in back)
+    assert kinds == [("1", "revisit", 5), ("3", "revisit", 5), ("4", "revisit", 7), ("5", "response", None), ("7", "response", None), ("8", "response", None), ("8", "response", None), ("None", "revisit", 5)]
+    names = {r.header.split("\r\n")[2] for r in back}
+    assert len(names) == len(rows)
     for r in back:
         payload = bytes(r.payload)
-        assert r.stated_digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert r.stated_digest == "sha1:" + digest and r.payload_digest == digest and r.payload_bytes == len(payload)
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         assert body == payload + b"\r\n\r\n" and f"Content-Length: {len(payload)}".encode() in head and b"WARC-Type: response" in head
+        assert (r.revisit is None) == (r.record_type == "response")
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0))).count() == 0
 
 
+def test_warc_addresses_cannot_pass_for_headers(spark):
+    urls = ["http://x/?q=WARC-Refers-To: <urn:page:9>", "http://x/WARC-Type: revisit", "http://x/\u2028WARC-Refers-To: <urn:page:77:0>\u2028", "http://x/a b\r\nWARC-Type: revisit\r\n", "http://x/%20?a=b&c=d#e", "http://x/😀é"]
+    pages = spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    back = {r.page_id: r for r in warc.read_archive(spark, warc.write_archive(pages)).collect()}
+    quoted = lambda u: re.sub(r"[^!#-;=?-\[\]_a-z~]+", lambda m: urllib.parse.quote(m[0], safe=""), u)
+    assert {i: r.url for i, r in back.items()} == {i: quoted(u) for i, u in enumerate(urls)}
+    assert all(r.record_type == "response" and r.refers_to_record is None for r in back.values())
+    assert back[4].url == urls[4]
+
+
 def test_warc_small_payloads_are_not_shared(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long one"), (4, "u", "long one")], "page_id bigint, url string, html string")
     got = {r.page_id: r.record_type for r in warc.read_archive(spark, warc.write_archive(pages, min_revisit_bytes=5)).collect()}
@@ -157,9 +225,7 @@ def _contamination(text, items, n=13):
     return len(w), len(hit), ",".join(sorted(found))
 
 
-@pytest.mark.parametrize("block_words", [1 << 20, 10])
-def test_decontamination_edges(spark, odd, empty, block_words, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+def test_decontamination_edges(spark, odd, empty):
     items = [("1", " ".join(f"word{i}" for i in range(20, 40))), ("2", "two three four"), ("3", "W"), ("4", None), ("5", ""), ("10", "word59"), ("11", " ".join(["w"] * 14)), ("12", "你好 é")]
     bench = spark.createDataFrame([(int(i), t) for i, t in items], "item_id bigint, text string")
     got = sorted((r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.find_contamination(odd, bench).collect())
@@ -207,13 +273,25 @@ def test_mixing_edges(odd, empty, spark):
 def test_mixing_salted_join_is_the_same(odd, monkeypatch):
     rows = lambda: sorted((str(r.doc_id), r.copy, r.shuffle_key, r.source or "") for r in mixing.mix(odd).collect())
     few = rows()
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
     assert rows() == few
 
 
-def test_large_rates(spark):
-    df = spark.range(1).select(mixing.poisson_table(F.lit(800.0)).alias("t")).first()
-    assert abs(df.t[800] - 0.5) < 0.02 and df.t[-1] == pytest.approx(1, abs=1e-9)
+def test_large_means(spark, monkeypatch):
+    rates = spark.createDataFrame([("a", 800.0), ("b", 5000.0), (None, 0.0)], "source string, rate double")
+    by = {r.source: r for r in mixing.poisson_tables(rates).collect()}
+    assert abs(by["a"].table[800] - 0.5) < 0.02 and by["a"].table[-1] == pytest.approx(1, abs=1e-9) and by["a"].draws == 1
+    assert by["b"].draws == 5 and len(by["b"].table) < 1500 and by[None].table == [1.0]
+    # a mean of 40 as the sum of draws of means up to 8 is as spread as a Poisson number
+    monkeypatch.setattr(mixing, "LARGEST_MEAN", 8)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    n = np.array([r.n for r in mixing.mix(docs, total=80_000).groupBy("doc_id").agg(F.count("*").alias("n")).collect()])
+    assert abs(n.mean() - 40) < 0.6 and abs(n.var() - 40) < 4
+
+
+def test_repeated_ids_do_not_stay_together(spark):
+    docs = spark.createDataFrame([(7, f"text {i}", "a") for i in range(50)], "doc_id bigint, text string, source string")
+    assert len({r.shuffle_key for r in mixing.mix(docs, total=200).collect()}) > 50
 
 
 def _near(rows):
@@ -251,17 +329,19 @@ def test_near_duplicates_against_brute_force(spark, block, monkeypatch):
     assert got == _near(rows)
 
 
-def test_benchmark_blocks_are_bounded(spark, monkeypatch):
-    """Items of equal text and a long item are dealt to several blocks, and all are found."""
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
-    sizes, arrays = [], decontaminate._arrays
-    monkeypatch.setattr(decontaminate, "_arrays", lambda rows: sizes.append(len(rows)) or arrays(rows))
+def test_equal_and_long_items_by_shuffled_joins(spark):
+    """Many items of equal text and a long item, with no side of any join broadcast."""
     same, long = " ".join(f"s{i}" for i in range(20)), " ".join(f"l{i}" for i in range(612))
     bench = spark.createDataFrame([(i, same) for i in range(100)] + [(100, long)], "item_id bigint, text string")
-    rows = decontaminate.find_contamination(spark.createDataFrame([(1, same), (2, long)], "doc_id bigint, text string"), bench).collect()
-    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in rows}
-    assert got == {1: (20, 20, sorted(str(i) for i in range(100))), 2: (612, 612, ["100"])}
-    assert sum(sizes) == 1400 and len(sizes) == 3 and max(sizes) < 600
+    docs = spark.createDataFrame([(1, same), (2, long), (3, f"x {same} y {same}"), (4, "x")], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    every = sorted(str(i) for i in range(100))
+    assert got == {1: (20, 20, every), 2: (612, 612, ["100"]), 3: (42, 40, every), 4: (1, 0, [])}
 
 
 def test_near_duplicates_edges(odd, empty):
