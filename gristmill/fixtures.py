@@ -33,6 +33,8 @@ FROM customer""",
        CASE WHEN p_partkey % 4 = 0 THEN concat('dep:', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING))
             WHEN p_partkey % 4 = 1 THEN concat(CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING), '?/std') ELSE 'std' END AS member
 FROM part""",
+    "fx_vdep": """SELECT v.pkg, v.version, d.dep, d.spec, d.kind FROM fx_version v JOIN fx_dep d ON d.pkg = v.pkg
+WHERE (CAST(substr(v.version, 1, 1) AS INT) + d.dep) % 3 <> 0""",
     "fx_tag": "SELECT pkg, 'latest' AS tag, max(version) AS version FROM fx_version GROUP BY pkg",
 }
 

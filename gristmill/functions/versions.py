@@ -30,8 +30,10 @@ def captures(text: Column, pattern: str, n: int) -> Column:
     return F.when(text.rlike(pattern), F.split(joined, "\u0001"))
 
 
-def padded(number: Column, width: int = 20) -> Column:
-    return F.lpad(number, width, "0")
+def padded(number: Column) -> Column:
+    """Text that orders like the number, of any length: its digits after how many they are."""
+    digits = F.ltrim(number, F.lit("0"))
+    return F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
 
 
 def prerelease_items(pre: Column) -> Column:
@@ -72,27 +74,56 @@ def go_key(text: Column) -> Column:
     return F.when(text.isNull() | (text == "none"), F.array(F.lit("0"))).when(text == "", F.array(F.lit("2"))).otherwise(F.concat(F.array(F.lit("1")), F.coalesce(semver(text)["key"], F.array(text))))
 
 
+def _pep440_parts(p: Column) -> tuple[Column, ...]:
+    """From captures: epoch, all release numbers, those without trailing zeros, the pre / post / dev part and the local part, as items that order."""
+    number = lambda x: padded(F.when(x == "", "0").otherwise(x))
+    split = lambda x: F.transform(F.split(x, r"\."), lambda n: F.concat(F.lit("1"), padded(n)))
+    kind = F.lower(p[2])
+    has_post = (p[4] != "") | (p[5] != "")
+    pre = (
+        F.when(kind.isin("a", "alpha"), "1").when(kind.isin("b", "beta"), "2").when(kind != "", "3")
+        .when(~has_post & (p[7] != ""), "0").otherwise("9")
+    )
+    post = F.when(has_post, F.concat(F.lit("1"), number(F.concat(p[4], p[6])))).otherwise("0")
+    dev = F.when(p[7] != "", F.concat(F.lit("0"), number(p[8]))).otherwise("1")
+    local = F.transform(F.split(F.lower(p[9]), r"[-_.]"), lambda x: F.when(x == "", "0").when(x.rlike(r"^\d+$"), F.concat(F.lit("2"), padded(x))).otherwise(F.concat(F.lit("1"), x)))
+    tail = F.array(F.lit("0"), F.concat(pre, number(p[3])), post, dev)
+    return F.array(F.lit("1"), number(p[0])), split(p[1]), split(F.regexp_replace(p[1], r"(\.0+)+$", "")), tail, local
+
+
 def pep440_key(text: Column) -> Column:
     """Order of Python versions; invalid ones below all valid, by text."""
-    number = lambda x: padded(F.when(x == "", "0").otherwise(x))
 
     def valid(p: Column) -> Column:
-        release = F.regexp_replace(p[1], r"(\.0+)+$", "")
-        numbers = F.transform(F.split(release, r"\."), lambda x: F.concat(F.lit("1"), padded(F.regexp_replace(x, "^0+(?=.)", ""))))
-        kind = F.lower(p[2])
-        has_post = (p[4] != "") | (p[5] != "")
-        pre = (
-            F.when(kind.isin("a", "alpha"), "1").when(kind.isin("b", "beta"), "2").when(kind != "", "3")
-            .when(~has_post & (p[7] != ""), "0").otherwise("9")
-        )
-        post = F.when(has_post, F.concat(F.lit("1"), number(F.concat(p[4], p[6])))).otherwise("0")
-        dev = F.when(p[7] != "", F.concat(F.lit("0"), number(p[8]))).otherwise("1")
-        local = F.transform(F.split(F.lower(p[9]), r"[-_.]"), lambda x: F.when(x == "", "0").when(x.rlike(r"^\d+$"), F.concat(F.lit("2"), padded(x))).otherwise(F.concat(F.lit("1"), x)))
-        return F.concat(F.array(F.lit("1"), number(p[0])), numbers, F.array(F.lit("0"), F.concat(pre, number(p[3])), post, dev), local)
+        epoch, _, numbers, tail, local = _pep440_parts(p)
+        return F.concat(epoch, numbers, tail, local)
 
     return let(captures(text, PEP440, 10), lambda p: F.when(p.isNull(), F.array(F.lit("0"), F.coalesce(text, F.lit("")))).otherwise(valid(p)))
 
 
+def pep440(text: Column) -> Column:
+    """Of a Python version, null if it is invalid: struct(key, public, before_dev, before_post, base, epoch, release, pre, post, local).
+
+    `public` is the key without the local part, `before_dev` and `before_post` are
+    its beginnings, `base` is epoch and release; `release` keeps trailing zeros.
+    """
+
+    def parsed(p: Column) -> Column:
+        epoch, release, numbers, tail, local = _pep440_parts(p)
+        names = ("epoch", "release", "numbers", "tail", "local", "pre", "post", "own")
+        values = (epoch, release, numbers, tail, local, (p[2] != "") | (p[7] != ""), (p[4] != "") | (p[5] != ""), p[9] != "")
+        return let(F.struct(*(v.alias(n) for v, n in zip(values, names))), keyed)
+
+    def keyed(q: Column) -> Column:
+        base = F.concat(q["epoch"], q["numbers"])
+        return let(base, lambda base: F.struct(
+            F.concat(base, q["tail"], q["local"]).alias("key"), F.concat(base, q["tail"], F.array(F.lit("0"))).alias("public"), F.concat(base, F.slice(q["tail"], 2, 2)).alias("before_dev"),
+            F.concat(base, F.slice(q["tail"], 2, 1)).alias("before_post"), base.alias("base"), q["epoch"].alias("epoch"), q["release"].alias("release"), q["pre"].alias("pre"), q["post"].alias("post"), q["own"].alias("local"),
+        ))
+
+    return let(captures(text, PEP440, 10), lambda p: F.when(p.isNotNull(), parsed(p)))
+
+
 def pep440_is_prerelease(text: Column) -> Column:
     return F.coalesce(let(captures(text, PEP440, 10), lambda p: (p[2] != "") | (p[7] != "")), F.lit(False))
 

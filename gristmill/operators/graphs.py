@@ -1,81 +1,116 @@
 """Graphs of many roots at once: frontiers, closures and fixpoints as joins.
 
-Loops checkpoint each step, which cuts the plan and lets a lost executor's part
-be read again; edges are matched by equi joins alone.
+Each step of a loop is one job that writes its new rows once, as a part of a
+growing table, with their number counted on the way; the rows so far are the
+parts together. That cuts the plan and lets a lost executor's part be read again.
+Edges are matched by equi joins alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import step
+from ..functions import versions as V
+from ..functions.ranges import nested_ranges, range_bounds, range_test
+from ..storage import Parts, written
 from . import matching as M
 
+#: Levels after which a closure looks whether it runs in a circle.
+LOOK_FOR_CYCLES = 64
+
+
+#: Levels that one job of a walk goes. What is known already is looked up once a job, and so only every so many levels.
+HOPS = 3
+
+
+def _hops(level: DataFrame, follow, depth: int) -> DataFrame:
+    """The rows that `follow` reaches from a level's rows in 1, 2, ... HOPS steps, each with the least depth at which it does."""
+    found = []
+    for i in range(1, HOPS + 1):
+        level = follow(level).distinct()
+        found.append(level.withColumn("depth", F.lit(depth + i).cast("bigint")))
+    keys = level.columns
+    return reduce(DataFrame.union, found).groupBy(*keys).agg(F.min("depth").alias("depth"))
 
-def min_depth(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:
+
+def min_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges (src, dst), roots (root): root, node, depth by shortest path; what isn't reached has no row."""
-    frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth"))
-    seen = step(frontier)
-    frontier = seen
-    for depth in range(1, limit + 1):
-        new = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = step(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
-        if frontier.isEmpty():
-            return seen
-        seen = step(seen.union(frontier))
-    raise RuntimeError(f"graph deeper than {limit}")
-
-
-def closure(edges: DataFrame, roots: DataFrame, parents: bool = False, max_level: int = 64) -> DataFrame:
+    seen = Parts(edges.sparkSession, "depths")
+    frontier, n = seen.add(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct())
+    follow = lambda level: level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
+    for depth in count(0, HOPS):
+        if not n:
+            return seen.rows()
+        new = _hops(frontier.select("root", "node"), follow, depth).join(seen.rows().select("root", "node"), ["root", "node"], "left_anti")
+        last = F.col("depth") == depth + HOPS
+        part, n = seen.add(new, last)
+        frontier = part.filter(last)
+
+
+def closure(edges: DataFrame, roots: DataFrame, parents: bool = False, max_level: int | None = None) -> DataFrame:
     """version_from, version_to, dep_level: every level at which a dependency occurs; with the parent if asked.
 
-    Cycles end at `max_level`.
+    Levels of a graph with cycles never end: then `max_level` has to say where to
+    stop, and without it a cycle that a root reaches raises. Graphs without cycles
+    may be as deep as they are.
     """
     keep = ["version_from", "version_to", *(["version_parent"] if parents else [])]
+    out = Parts(edges.sparkSession, "levels")
     level = roots.select(F.col("root").alias("version_from"), F.col("root").alias("version_to"))
-    out = None
-    for depth in range(1, max_level + 1):
+    steps = edges.select(F.col("src").alias("version_parent"), F.col("dst").alias("version_to")).distinct()
+    for depth in count(1):
+        if max_level is not None and depth > max_level:
+            return out.rows()
         nodes = level.select("version_from", F.col("version_to").alias("version_parent")).distinct()
-        level = step(nodes.join(edges.select(F.col("src").alias("version_parent"), F.col("dst").alias("version_to")), "version_parent").select(*keep).distinct())
-        if level.isEmpty() and out is not None:
-            return out
-        found = level.withColumn("dep_level", F.lit(depth).cast("bigint"))
-        out = found if out is None else out.union(found)
-        if level.isEmpty():
-            return out
-    return out
+        found = nodes.join(steps, "version_parent").select(*keep).distinct()
+        level, n = out.add(found.withColumn("dep_level", F.lit(depth).cast("bigint")))
+        if not n:
+            return out.rows()
+        if depth == LOOK_FOR_CYCLES and max_level is None:
+            ahead = min_depth(edges, level.select(F.col("version_to").alias("root")).distinct()).select(F.col("node").alias("src")).distinct()
+            if not cyclic_core(edges.join(ahead, "src", "left_semi")).isEmpty():
+                raise ValueError("the graph has a cycle: its levels never end, say max_level")
 
 
-def requirement_graph_go(requires: DataFrame, go_versions: DataFrame, roots: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
+def requirement_graph_go(requires: DataFrame, go_versions: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requires (path, version, dep, dep_version), go_versions (path, version, minor), roots (root path, version).
 
     Nodes are all reachable (path, version), edges the requirement lists of loaded
     modules; a root drops requirements on itself. A module of go 1.17 or later
     that a root of 1.17 or later requires directly is loaded but not expanded.
     """
+    key = ["root", "path", "version"]
     lazy = go_versions.select("path", "version", (F.col("minor") >= 17).alias("lazy"))
     start = roots.select("root", F.col("root").alias("path"), "version").join(lazy, ["path", "version"], "left")
-    frontier = step(start.select("root", "path", "version", F.lit(True).alias("expand"), F.coalesce("lazy", F.lit(False)).alias("root_lazy")))
-    nodes, edges = frontier.select("root", "path", "version"), None
-    seen = frontier.select("root", "path", "version", "expand")
-    for depth in range(limit):
-        rows = frontier.join(requires, ["path", "version"]).filter(F.col("dep") != F.col("root"))
-        rows = step(rows.select("root", "path", "version", "dep", "dep_version", "expand", "root_lazy"))
-        own = rows.select("root", "path", "version", "dep", "dep_version")
-        edges = own if edges is None else edges.union(own)
-        reached = rows.filter("expand").select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"), "root_lazy").distinct()
-        reached = reached.join(lazy, ["path", "version"], "left")
-        stop = F.coalesce("lazy", F.lit(False)) & F.col("root_lazy") if depth == 0 else F.lit(False)
-        reached = reached.select("root", "path", "version", (~stop).alias("expand"), "root_lazy")
-        known = seen.groupBy("root", "path", "version").agg(F.max("expand").alias("was"))
-        frontier = step(reached.join(known, ["root", "path", "version"], "left").filter("was IS NULL OR (expand AND NOT was)").drop("was"))
-        named = rows.select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"))
-        nodes = step(nodes.union(named).distinct())
-        if frontier.isEmpty():
-            return nodes, edges.distinct()
-        seen = step(seen.union(frontier.select("root", "path", "version", "expand")))
-    raise RuntimeError(f"graph deeper than {limit}")
+    loaded = Parts(requires.sparkSession, "loaded-modules")
+
+    def follow(level: DataFrame) -> DataFrame:
+        reached = level.join(requires, ["path", "version"]).filter(F.col("dep") != F.col("root"))
+        return reached.select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"))
+
+    zero = F.lit(0).cast("bigint")
+    first, _ = loaded.add(start.select(*key, F.lit(True).alias("expand"), zero.alias("depth"), F.coalesce("lazy", F.lit(False)).alias("root_lazy")))
+    direct = first.join(requires, ["path", "version"]).filter(F.col("dep") != F.col("root")).select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"), "root_lazy").distinct()
+    direct = direct.join(lazy, ["path", "version"], "left").withColumn("expand", ~(F.coalesce("lazy", F.lit(False)) & F.col("root_lazy")))
+    frontier, n = loaded.add(direct.select(*key, "expand", (zero + 1).alias("depth"), "root_lazy"))
+    frontier = frontier.filter("expand")
+    for depth in count(1, HOPS):
+        if not n:
+            break
+        # deeper down everything is expanded, also what was only loaded before
+        known = loaded.rows().filter("expand").select(*key)
+        new = _hops(frontier.select(*key), follow, depth).join(known, key, "left_anti")
+        last = F.col("depth") == depth + HOPS
+        part, n = loaded.add(new.select(*key, F.lit(True).alias("expand"), "depth", F.lit(False).alias("root_lazy")), last)
+        frontier = part.filter(last)
+    modules = loaded.rows().select(*key).distinct()
+    edges = written(modules.join(requires, ["path", "version"]).filter(F.col("dep") != F.col("root")).select(*key, "dep", "dep_version").distinct(), "requirement-edges")
+    nodes = roots.select("root", F.col("root").alias("path"), "version").union(edges.select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"))).distinct()
+    return nodes, edges
 
 
 def build_list_go(nodes: DataFrame, key) -> DataFrame:
@@ -85,18 +120,16 @@ def build_list_go(nodes: DataFrame, key) -> DataFrame:
     return best.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
-def prune_orphans(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:
+def prune_orphans(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges left when nodes that no edge points at, but for the roots, are dropped again and again."""
-    edges = step(edges.distinct())
-    n = edges.count()
-    for _ in range(limit):
+    left = Parts(edges.sparkSession, "edges-left")
+    edges, n = left.add(edges.distinct())
+    while True:
         alive = edges.select(F.col("dst").alias("src")).union(roots.select(F.col("root").alias("src"))).distinct()
-        edges = step(edges.join(alive, "src", "left_semi"))
-        m = edges.count()
-        if m == n:
+        before = n
+        edges, n = left.replace(edges.join(alive, "src", "left_semi"))
+        if n == before:
             return edges
-        n = m
-    raise RuntimeError("did not settle")
 
 
 def drop_weak_feature_edges(edges: DataFrame, features: DataFrame, enabled: DataFrame) -> DataFrame:
@@ -122,56 +155,129 @@ def root_features(features: DataFrame, deps: DataFrame) -> DataFrame:
     return rows.groupBy("pkg").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 
 
-def highest_match_closure(roots: DataFrame, deps: DataFrame, versions: DataFrame, tags: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Edges (root, pkg, dep, spec, version, level) and conflicts (root, pkg, versions).
-
-    roots (root), deps (pkg, dep, spec). Every distinct (dep, spec) is resolved
-    once; each frontier follows its edges. Edges that nothing fits stay, with a
-    null version, and aren't followed. A name with several selected versions in
-    one root is a conflict.
-    """
-    chosen = step(M.best_match_npm(deps.select(F.col("dep").alias("pkg"), "spec"), versions, tags).select(F.col("pkg").alias("dep"), "spec", "version"))
-    resolved = step(deps.select("pkg", "dep", "spec").distinct().join(chosen, ["dep", "spec"], "left"))
-    frontier = roots.select("root", F.col("root").alias("pkg"))
-    seen, out = step(frontier), None
-    frontier = seen
-    for level in range(1, limit + 1):
-        rows = step(frontier.join(resolved, "pkg").select("root", "pkg", "dep", "spec", "version", F.lit(level).cast("bigint").alias("level")))
-        out = rows if out is None else out.union(rows)
-        reached = rows.filter("version IS NOT NULL").select("root", F.col("dep").alias("pkg")).distinct()
-        frontier = step(reached.join(seen, ["root", "pkg"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = step(seen.union(frontier))
-    else:
-        raise RuntimeError(f"graph deeper than {limit}")
-    picked = out.filter("version IS NOT NULL").groupBy("root", F.col("dep").alias("pkg")).agg(F.array_sort(F.collect_set("version")).alias("versions"))
-    return out, picked.filter(F.size("versions") > 1)
+def _cargo_spec(spec: Column) -> Column:
+    """Requirements of crates as ranges: commas are blanks, and a bare version is a caret one."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+(\.\d+)*([-+].*)?$"), F.concat(F.lit("^"), x)).otherwise(x)), " ")
 
 
-def dedupe_tree_edges(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:
-    """edges (src, dst, kind): tree edges of each root breadth first, with the first visit of a node and `deduped` later ones.
+def selected_versions(wanted: DataFrame, versions: DataFrame, tags: DataFrame | None = None, ecosystem: str = "npm", compatible: Column | None = None) -> DataFrame:
+    """pkg, spec, target (the package meant), version for each distinct (pkg, spec), by the ecosystem's rule.
 
-    Siblings go by name. Levels are joined one by one; a node is expanded where
-    it is met first, by level and path.
+    npm: see `best_match_npm`. cargo: the highest version in the range that isn't
+    yanked. pip: the first of `candidates_pip`. go: the version required, where it
+    exists. versions: pkg, version, and deprecated (npm) or yanked (pip, cargo).
     """
-    start = roots.select("root", F.col("root").alias("node"), F.lpad(F.col("root").cast("string"), 12, "0").alias("path"))
-    frontier, seen = step(start), step(start.select("root", "node"))
-    out = None
-    for level in range(1, limit + 1):
-        rows = frontier.join(edges, frontier["node"] == edges["src"]).select("root", "src", "dst", "kind", F.concat_ws("/", "path", F.lpad(F.col("dst").cast("string"), 12, "0")).alias("path"))
-        rows = rows.join(seen.select("root", F.col("node").alias("dst"), F.lit(True).alias("old")), ["root", "dst"], "left")
-        nth = F.row_number().over(Window.partitionBy("root", "dst").orderBy("path"))
-        rows = step(rows.withColumn("deduped", F.coalesce("old", F.lit(False)) | (nth > 1)).withColumn("level", F.lit(level).cast("bigint")))
-        if rows.isEmpty() and out is not None:
-            return out
-        own = rows.select("root", "src", "dst", "kind", "level", "deduped", (F.col("kind") == "peer").alias("peer"))
-        out = own if out is None else out.union(own)
-        frontier = rows.filter("NOT deduped").select("root", F.col("dst").alias("node"), "path")
-        seen = step(seen.union(frontier.select("root", "node")))
-        if frontier.isEmpty():
-            return out
-    raise RuntimeError(f"graph deeper than {limit}")
+    wanted = wanted.select("pkg", "spec").distinct()
+    if ecosystem == "npm":
+        return M.best_match_npm(wanted, versions, tags, compatible).select("pkg", "spec", "target", "version")
+    if ecosystem == "go":
+        found = versions.select("pkg", F.col("version").alias("spec"), "version").distinct()
+    elif ecosystem == "cargo":
+        rows = wanted.withColumn("own", _cargo_spec(F.col("spec")))
+        ranges = nested_ranges(range_bounds(rows, "own")).withColumnRenamed("spec", "own")
+        parsed = versions.filter(~F.coalesce("yanked", F.lit(False))).select("pkg", "version", V.semver(F.col("version")).alias("v"))
+        fits = rows.join(ranges, "own").join(parsed, "pkg").filter(range_test(F.col("range"), F.col("v")))
+        found = fits.groupBy("pkg", "spec").agg(F.max_by("version", F.col("v.key")).alias("version"))
+    elif ecosystem == "pip":
+        named = wanted.select(F.struct("pkg", "spec").alias("root"), F.col("pkg").alias("name"), F.concat(F.lit("x"), "spec").alias("requirement"))
+        needs = M.parse_requirements(named.withColumnRenamed("name", "pkg")).select("root", F.col("pkg").alias("name"), "specifiers")
+        first = M.candidates_pip(needs, versions.withColumnRenamed("pkg", "name")).filter("rank = 1")
+        found = first.select("root.pkg", "root.spec", "version")
+    else:
+        raise ValueError(f"unknown ecosystem {ecosystem}")
+    return wanted.withColumn("target", F.col("pkg")).join(found, ["pkg", "spec"], "left")
+
+
+def highest_match_closure(
+    roots: DataFrame, deps: DataFrame, versions: DataFrame, tags: DataFrame | None = None, ecosystem: str = "npm", compatible: Column | None = None, max_level: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (root, pkg, pkg_version, dep, spec, version, level), conflicts (root, pkg, versions), states (root, state).
+
+    roots (root, version), deps (pkg, version, dep, spec): what a version depends
+    on is its own. Every distinct (dep, spec) is resolved once; each frontier
+    follows the versions chosen. Edges that nothing fits stay, with a null version,
+    and aren't followed. A package with several selected versions in one root is a
+    conflict for pip; npm and cargo keep several side by side, and for go the highest wins.
+    States: empty (the root's version isn't known), limit (`max_level` cut it
+    off), conflict, else ok.
+    """
+    spark = deps.sparkSession
+    chosen = selected_versions(deps.select(F.col("dep").alias("pkg"), "spec"), versions, tags, ecosystem, compatible)
+    chosen = written(chosen.withColumnsRenamed({"pkg": "dep", "version": "picked"}), "chosen-versions")
+    resolved = written(deps.select("pkg", F.col("version").alias("pkg_version"), "dep", "spec").distinct().join(chosen, ["dep", "spec"], "left"), "resolved-dependencies")
+    known = roots.join(versions.select(F.col("pkg").alias("root"), "version").distinct(), ["root", "version"], "left_semi")
+    seen = Parts(spark, "selected")
+    frontier, n = seen.add(known.select("root", F.col("root").alias("pkg"), F.col("version").alias("pkg_version"), F.lit(1).cast("bigint").alias("level")))
+    steps = resolved.filter("picked IS NOT NULL").select("pkg", "pkg_version", "target", "picked").distinct()
+    key = ["root", "pkg", "pkg_version"]
+    cut = None
+
+    def follow(level: DataFrame) -> DataFrame:
+        return level.join(steps, ["pkg", "pkg_version"]).select("root", F.col("target").alias("pkg"), F.col("picked").alias("pkg_version"))
+
+    for depth in count(1, HOPS):
+        if not n:
+            break
+        if max_level is not None and depth > max_level:
+            cut = seen.rows().filter(F.col("level") > max_level).select("root").distinct()
+            break
+        new = _hops(frontier.select(*key), follow, depth).join(seen.rows().select(*key), key, "left_anti").withColumnRenamed("depth", "level")
+        last = F.col("level") == depth + HOPS
+        part, n = seen.add(new.select(*key, "level"), last)
+        frontier = part.filter(last)
+    if cut is None and max_level is not None:
+        cut = seen.rows().filter(F.col("level") > max_level).select("root").distinct()
+    walked = seen.rows() if max_level is None else seen.rows().filter(F.col("level") <= max_level)
+    edges = walked.join(resolved, ["pkg", "pkg_version"]).select("root", "pkg", "pkg_version", "dep", "spec", F.col("picked").alias("version"), "level")
+    picked = walked.select(*key).groupBy("root", "pkg").agg(F.array_sort(F.collect_set("pkg_version")).alias("versions"))
+    conflicts = picked.filter(F.size("versions") > 1)
+    marks = conflicts.select("root").distinct().withColumn("conflict", F.lit(ecosystem == "pip"))
+    states = roots.select("root", "version").join(known.withColumn("known", F.lit(True)), ["root", "version"], "left").join(marks, "root", "left")
+    late = states.join(cut.withColumn("late", F.lit(True)), "root", "left") if cut is not None else states.withColumn("late", F.lit(None).cast("boolean"))
+    state = F.when(F.col("known").isNull(), "empty").when(F.col("late"), "limit").when(F.col("conflict"), "conflict").otherwise("ok")
+    return edges, conflicts, late.select("root", state.alias("state"))
+
+
+# The order of ASCII characters in names, as npm sorts them; all others come first.
+COLLATION = "_-,;:!?.\\'\"()[]{}@*/&#%`^+<=>|~$0123456789" + "".join(c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+def collation_key(name: Column) -> Column:
+    """Text that orders like the names in that order; a name comes before those that continue it."""
+    plain = F.regexp_replace(name, r"[^\x21-\x7E]", "\u0001")
+    return F.translate(plain, COLLATION, "".join(chr(0x100 + i) for i in range(len(COLLATION))))
+
+
+def dedupe_tree_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges (src, dst, kind, and name, valid, alias_target where there are): tree edges of each root breadth first, with the first visit of a node and `deduped` later ones.
+
+    Siblings go by the collation of their names (the edge's `name`, by default its
+    target's). Edges that aren't valid are left out. A node is expanded where it is
+    met first, by level, then by the place of its parent, then by name.
+    """
+    has = lambda c, other: F.col(c) if c in edges.columns else other
+    steps = edges.filter(F.coalesce(has("valid", F.lit(True)), F.lit(False)) & F.col("dst").isNotNull())
+    name = has("name", F.col("dst")).cast("string")
+    steps = steps.select("src", "dst", "kind", F.struct(collation_key(name).alias("key"), name.alias("name"), "kind").alias("by"), has("alias_target", F.lit(None).cast("string")).alias("alias_target"))
+    spark = edges.sparkSession
+    seen, tree = Parts(spark, "visited"), Parts(spark, "tree-edges")
+    frontier, n = seen.add(roots.select("root", F.col("root").alias("node"), F.lit(1).cast("bigint").alias("place")))
+    for level in count(1):
+        rows = frontier.join(steps, F.col("node") == F.col("src")).select("root", "src", "dst", "kind", "place", "by", "alias_target")
+        old = seen.rows().select("root", F.col("node").alias("dst"), F.lit(True).alias("old"))
+        rows = rows.join(old, ["root", "dst"], "left")
+        # places within the level of a root's tree, and which of a node's visits is the first
+        rows = rows.withColumn("next", F.row_number().over(Window.partitionBy("root").orderBy("place", "by", "dst")).cast("bigint"))
+        first = F.min("next").over(Window.partitionBy("root", "dst"))
+        rows, n = tree.add(rows.select("root", "src", "dst", "kind", F.lit(level).cast("bigint").alias("level"), (F.coalesce("old", F.lit(False)) | (F.col("next") > first)).alias("deduped"), "alias_target", "next"))
+        if not n:
+            break
+        frontier, n = seen.add(rows.filter("NOT deduped").select("root", F.col("dst").alias("node"), F.col("next").alias("place")))
+        if not n:
+            break
+    seen.drop()
+    return tree.rows().select("root", "src", "dst", "kind", "level", "deduped", (F.col("kind") == "peer").alias("peer"), F.col("alias_target").isNotNull().alias("alias"))
 
 
 def mediate_nearest(tree: DataFrame) -> DataFrame:
@@ -180,80 +286,153 @@ def mediate_nearest(tree: DataFrame) -> DataFrame:
     return tree.withColumn("selected", F.row_number().over(order) == 1).withColumn("winner", F.first("version").over(order))
 
 
-def exclusive_dependencies(edges: DataFrame, nodes: DataFrame, limit: int = 1000) -> DataFrame:
-    """node, dep for what is reachable from each node, less what is needed from outside the set, again and again."""
-    reach = min_depth(edges, nodes.select(F.col("node").alias("root"))).withColumnRenamed("node", "dep").withColumnRenamed("root", "node").select("node", "dep")
+def exclusive_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, dep for what is reachable from each node, less what is needed from outside the set, again and again.
+
+    What is needed from outside is found once; each round then takes away what the
+    last round's losses point at, so that rounds are as small as what they take.
+    """
+    spark = edges.sparkSession
+    reach = min_depth(edges, nodes.select(F.col("node").alias("root"))).select(F.col("root").alias("node"), F.col("node").alias("dep"))
     pairs = edges.select("src", "dst").distinct()
-    n = reach.count()
-    for _ in range(limit):
-        incoming = reach.filter("node <> dep").join(pairs, F.col("dep") == F.col("dst")).select("node", "dep", "src")
-        outside = incoming.join(reach.select("node", F.col("dep").alias("src")), ["node", "src"], "left_anti").select("node", "dep").distinct()
-        reach = step(reach.join(outside, ["node", "dep"], "left_anti"))
-        m = reach.count()
-        if m == n:
-            return reach
-        n = m
-    raise RuntimeError("did not settle")
-
-
-def replaceable(placed: DataFrame, incoming: DataFrame, candidates: DataFrame) -> DataFrame:
-    """placed (node, name, version), incoming (node, spec), candidates (name, candidate): per node and candidate whether all incoming specs accept it, and whether it dedupes."""
-    from ..functions import versions as V
-    from ..functions.ranges import nested_ranges, range_bounds, range_test
+    incoming = reach.filter("node <> dep").join(pairs, F.col("dep") == F.col("dst")).select("node", "dep", "src")
+    gone = Parts(spark, "needed-outside")
+    lost, n = gone.add(incoming.join(reach.select("node", F.col("dep").alias("src")), ["node", "src"], "left_anti").select("node", "dep").distinct())
+    while n:
+        next_ = lost.join(pairs, F.col("dep") == F.col("src")).select("node", F.col("dst").alias("dep")).filter("node <> dep").distinct()
+        lost, n = gone.add(next_.join(gone.rows(), ["node", "dep"], "left_anti"))
+    return reach.join(gone.rows(), ["node", "dep"], "left_anti")
+
 
+def replaceable(placed: DataFrame, incoming: DataFrame, candidates: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """placed (node, name, version), incoming (node, spec, and src with `own`), candidates (name, candidate): per node and candidate whether all incoming specs accept it, and whether it dedupes.
+
+    own (node, dep): nodes that only hang on a node, itself included (see
+    `exclusive_dependencies`); edges from them have no say.
+    """
     ranges = nested_ranges(range_bounds(incoming))
-    rows = placed.join(candidates, "name").join(incoming, "node", "left").join(ranges, "spec", "left")
+    all_of = incoming.groupBy("node").agg(F.count("*").alias("n_incoming"))
+    asked = incoming if own is None else incoming.join(own.select("node", F.col("dep").alias("src")), ["node", "src"], "left_anti")
+    rows = placed.join(candidates, "name").join(asked.select("node", "spec"), "node", "left").join(ranges, "spec", "left")
     accepts = F.col("spec").isNull() | range_test(F.col("range"), V.semver(F.col("candidate")))
-    out = rows.groupBy("node", "name", "version", "candidate").agg(F.bool_and(accepts).alias("replaceable"), F.count("spec").alias("n_incoming"))
+    out = rows.groupBy("node", "name", "version", "candidate").agg(F.bool_and(accepts).alias("replaceable")).join(all_of, "node", "left")
     newer = V.semver(F.col("candidate"))["key"] >= V.semver(F.col("version"))["key"]
-    return out.withColumn("dedupable", (F.col("n_incoming") == 0) | (F.col("candidate") == F.col("version")) | (F.col("replaceable") & newer))
+    out = out.withColumn("n_incoming", F.coalesce("n_incoming", F.lit(0)).cast("bigint"))
+    return out.withColumn("dedupable", (F.col("n_incoming") == 0) | (F.col("candidate") == F.col("version")) | (F.col("replaceable") & F.coalesce(newer, F.lit(False))))
 
 
-def hoist_report(edges: DataFrame) -> DataFrame:
-    """edges (root, dep, version, level, pkg): per (root, name) the version first reached takes the top level; how many others nest below."""
-    placed = edges.filter("version IS NOT NULL").groupBy("root", "dep", "version").agg(F.min(F.struct("level", "pkg")).alias("first"), F.count("*").alias("uses"))
-    return placed.groupBy("root", "dep").agg(F.min_by("version", F.struct("first", "version")).alias("top"), (F.count("*") - 1).alias("nested_versions"), F.sum("uses").alias("uses"))
+def hoist_report(edges: DataFrame, peers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """edges (root, pkg, dep, spec, version, level): per (root, name) the version first reached takes the top level, and how many others nest below.
 
+    Also the peer edges (of peers: pkg, dep, spec, and pkg_version where edges have
+    it) that the version at the top level doesn't satisfy: root, pkg, dep, spec, top.
+    """
+    edges = written(edges, "hoisted-edges")
+    placed = edges.filter("version IS NOT NULL").groupBy("root", "dep", "version").agg(F.min(F.struct("level", "pkg")).alias("first"), F.count("*").alias("uses"))
+    top = placed.groupBy("root", "dep").agg(F.min_by("version", F.struct("first", "version")).alias("top"), (F.count("*") - 1).alias("nested_versions"), F.sum("uses").alias("uses"))
+    top = written(top, "top-level")
+    if peers is None:
+        return top, top.limit(0).select("root", F.lit(None).cast("string").alias("pkg"), "dep", F.lit(None).cast("string").alias("spec"), "top")
+    on = [c for c in ("pkg", "pkg_version", "dep", "spec") if c in edges.columns and c in peers.columns]
+    asked = edges.join(peers.select(*on).distinct(), on, "left_semi").join(top.select("root", "dep", "top"), ["root", "dep"], "left")
+    asked = asked.join(nested_ranges(range_bounds(peers)), "spec", "left")
+    fits = F.col("range").isNull() | range_test(F.col("range"), V.semver(F.col("top")))
+    return top, asked.filter(F.col("top").isNull() | ~fits).select("root", "pkg", "dep", "spec", "top")
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) left when nodes without edges in or without edges out are taken away again and again: cycles, and ways from one to another."""
+    left = Parts(edges.sparkSession, "core")
+    edges, n = left.add(edges.select("src", "dst").distinct())
+    while n:
+        inner = edges.select(F.col("src").alias("n")).intersect(edges.select(F.col("dst").alias("n")))
+        kept = edges.join(inner.withColumnRenamed("n", "src"), "src", "left_semi").join(inner.withColumnRenamed("n", "dst"), "dst", "left_semi")
+        before = n
+        edges, n = left.replace(kept.select("src", "dst"))
+        if n == before:
+            break
+    return edges
 
-def cycle_report(edges: DataFrame, max_level: int = 64) -> DataFrame:
-    """Nodes that reach themselves, and the length of the shortest way."""
-    levels = closure(edges, edges.select(F.col("src").alias("root")).distinct(), max_level=max_level)
-    return levels.filter("version_from = version_to").groupBy(F.col("version_from").alias("node")).agg(F.min("dep_level").alias("length"))
 
+def cycle_report(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, and the length of the shortest way, however long.
 
-def peer_groups(edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """edges (src, dst, kind, valid): node, group (smallest node) of nodes joined by valid peer edges, and the other edges into each group."""
-    peers = edges.filter("kind = 'peer' AND valid").select("src", "dst")
-    both = step(peers.union(peers.select("dst", "src")).distinct())
-    label = step(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("group")))
-    for _ in range(limit):
+    Only the cyclic core is walked; a node's walk ends when it comes back.
+    """
+    core = cyclic_core(edges)
+    spark = edges.sparkSession
+    seen, done = Parts(spark, "walks"), Parts(spark, "cycles")
+    frontier, n = seen.add(core.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct())
+    done.add(frontier.limit(0).select(F.col("root").alias("node"), F.lit(0).cast("bigint").alias("length")))
+    for depth in count(1):
+        if not n:
+            return done.rows()
+        reached = written(frontier.join(core, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct(), "reached")
+        back, _ = done.add(reached.filter("root = node").select("node", F.lit(depth).cast("bigint").alias("length")))
+        new = reached.filter("root <> node").join(seen.rows(), ["root", "node"], "left_anti")
+        frontier, n = seen.add(new.join(back.select(F.col("node").alias("root")), "root", "left_anti").select("root", "node"))
+
+
+def peer_groups(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (src, dst, kind, valid): members (node, group: smallest node) joined by valid peer edges both ways, and entries (src, dst, node).
+
+    An entry is a valid edge of another kind into a group, with each node that it
+    reaches over valid peer edges from its target on.
+    """
+    peers = edges.filter("kind = 'peer' AND valid").select("src", "dst").distinct()
+    both = written(peers.union(peers.select("dst", "src")).distinct(), "peer-edges")
+    state = Parts(edges.sparkSession, "peer-labels")
+    label, _ = state.add(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("group")))
+    n = 1
+    while n:
+        # the smallest label of the neighbours, then of the label's own label, which halves the way to the smallest node
         near = both.join(label, both["dst"] == label["node"]).select(F.col("src").alias("node"), "group")
-        new = step(label.union(near).groupBy("node").agg(F.min("group").alias("group")))
-        moved = new.join(label.withColumnRenamed("group", "old"), "node").filter(F.col("group") != F.col("old"))
-        label = new
-        if moved.isEmpty():
-            break
-    entering = edges.filter("kind <> 'peer'").join(label, F.col("dst") == F.col("node")).groupBy("group").agg(F.count("*").alias("entering"))
-    return label.join(entering, "group", "left").select("node", "group", F.coalesce("entering", F.lit(0)).alias("entering"))
-
-
-def effective_poms(poms: DataFrame, properties: DataFrame, limit: int = 32) -> DataFrame:
-    """poms (gav, parent), properties (gav, key, value): gav, key, value with what parents pass down, and ${key} replaced in rounds."""
-    chain = poms.select("gav", F.col("gav").alias("from"), F.col("parent").alias("next"), F.lit(0).alias("depth"))
-    level, out = step(chain), None
-    for _ in range(limit):
-        out = level if out is None else out.union(level)
-        up = poms.select(F.col("gav").alias("next"), F.col("parent").alias("above"))
-        level = step(level.filter("next IS NOT NULL").join(up, "next").select("gav", F.col("next").alias("from"), F.col("above").alias("next"), (F.col("depth") + 1).alias("depth")))
-        if level.isEmpty():
-            break
-    own = out.join(properties.withColumnRenamed("gav", "from"), "from")
-    maps = own.groupBy("gav", "key").agg(F.min_by("value", "depth").alias("value")).groupBy("gav").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("p"))
+        best = label.union(near).groupBy("node").agg(F.min("group").alias("group"))
+        up = label.select(F.col("node").alias("group"), F.col("group").alias("top"))
+        new = best.join(up, "group", "left").select("node", F.least("group", "top").alias("group"))
+        new = new.join(label.withColumnRenamed("group", "was"), "node").select("node", "group", (F.col("group") != F.col("was")).alias("moved"))
+        moved = written(new, "moved-labels")
+        n = moved.filter("moved").count()
+        label, _ = state.replace(moved.select("node", "group"))
+    entering = edges.filter("kind <> 'peer' AND valid").join(label.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    reach = min_depth(peers, entering.select(F.col("dst").alias("root")).distinct()).select(F.col("root").alias("dst"), "node")
+    return label, entering.join(reach, "dst").select("src", "dst", "node")
 
-    def fill(m):
-        names = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(r"\$\{([\w.-]+)\}"), F.lit(1)))
-        return F.transform_values(m, lambda k, v: F.aggregate(names(v), v, lambda t, n: F.replace(t, F.concat(F.lit("${"), n, F.lit("}")), F.coalesce(F.try_element_at(m, n), F.concat(F.lit("${"), n, F.lit("}"))))))
 
-    for _ in range(5):
-        maps = maps.withColumn("p", fill(F.col("p")))
-    return maps.select("gav", F.explode("p").alias("key", "value"))
+#: A value that grows beyond this while names are put in refers to itself in some way.
+LONGEST_VALUE = 1 << 16
+
+
+def effective_poms(poms: DataFrame, properties: DataFrame) -> DataFrame:
+    """poms (gav, parent), properties (gav, key, value): gav, key, value with what parents pass down, and ${key} replaced until nothing changes.
+
+    Chains of parents may be as long as they are; one that comes back to its own
+    POM raises. Values that refer to themselves stay as they were written.
+    """
+    chain = Parts(poms.sparkSession, "parents")
+    level, n = chain.add(poms.select("gav", F.col("gav").alias("from"), F.col("parent").alias("next"), F.lit(0).alias("depth")))
+    up = poms.select(F.col("gav").alias("next"), F.col("parent").alias("above"))
+    while n:
+        above = level.filter("next IS NOT NULL").join(up, "next").select("gav", F.col("next").alias("from"), F.col("above").alias("next"), (F.col("depth") + 1).alias("depth"))
+        level, n = chain.add(above.withColumn("next", F.when(F.col("gav") == F.col("from"), F.raise_error(F.concat(F.lit("its own parent: "), F.col("gav").cast("string"))).cast(poms.schema["parent"].dataType)).otherwise(F.col("next"))))
+    own = chain.rows().join(properties.withColumnRenamed("gav", "from"), "from")
+    own = own.groupBy("gav", "key").agg(F.min_by("value", "depth").alias("value"))
+    maps = own.groupBy("gav").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("first"))
+    names = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(r"\$\{([\w.-]+)\}"), F.lit(1)))
+
+    def fill(first: Column, v: Column) -> Column:
+        put = F.aggregate(names(v), v, lambda t, k: F.replace(t, F.concat(F.lit("${"), k, F.lit("}")), F.coalesce(F.try_element_at(first, k), F.concat(F.lit("${"), k, F.lit("}")))))
+        return F.when(F.length(v) <= LONGEST_VALUE, put).otherwise(v)
+
+    # a chain of references is at most as long as there are keys; what still changes then runs in a circle
+    state, done = Parts(poms.sparkSession, "properties"), Parts(poms.sparkSession, "settled")
+    rows, n = maps.select("gav", "first", F.col("first").alias("p"), F.lit(0).alias("rounds")), 1
+    while n:
+        filled, _ = state.replace(rows.select("gav", "first", "p", F.transform_values("p", lambda k, v: fill(F.col("first"), v)).alias("q"), (F.col("rounds") + 1).alias("rounds")))
+        moves, last = F.map_values("p") != F.map_values("q"), F.col("rounds") > F.size("first")
+        unmoved = F.transform(F.arrays_zip(F.map_values("p").alias("p"), F.map_values("q").alias("q"), F.map_values("first").alias("f")), lambda x: F.when(x["p"] == x["q"], x["q"]).otherwise(x["f"]))
+        settled = F.when(moves, F.map_from_arrays(F.map_keys("q"), unmoved)).otherwise(F.col("q"))
+        done.add(filled.filter(~moves | last).select("gav", settled.alias("p")))
+        rows = filled.filter(moves & ~last).select("gav", "first", F.col("q").alias("p"), "rounds")
+        n = 0 if rows.isEmpty() else 1
+    return done.rows().select("gav", F.explode("p").alias("key", "value"))

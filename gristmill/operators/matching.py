@@ -6,31 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
-from ..functions.ranges import nested_ranges, range_bounds, range_test
+from ..functions.markers import compile_marker, marker_holds, specifier_holds
+from ..functions.ranges import may_fit, nested_ranges, range_bounds, range_test
+from ..storage import written
 
 
-def best_match_npm(wanted: DataFrame, versions: DataFrame, tags: DataFrame, extra: Column | None = None) -> DataFrame:
-    """pkg, spec, version, via for each distinct (pkg, spec); version null where nothing fits.
+#: A spec that names another package: npm:name@range, split at the last @.
+ALIAS = r"^npm:(.*)@([^@]*)$"
+
+
+def best_match_npm(wanted: DataFrame, versions: DataFrame, tags: DataFrame, compatible: Column | None = None) -> DataFrame:
+    """pkg, spec, target, version, via for each distinct (pkg, spec); version null where nothing fits.
 
     A spec that is a tag means its version. Otherwise the tagged `latest` wins if
     it fits, and else the best by (not deprecated, version). Two passes: only what
-    tags leave open meets the versions of its package. `extra` is a condition that
-    a version has to meet (its platform, say).
+    tags leave open meets the versions of its package. An alias is looked up as
+    the package and spec that it names, `target`. `compatible` is a condition on a
+    version (its platform, say) that is asked once it is picked: if it doesn't
+    hold, or the version isn't there, the spec has none, and `via` is incompatible.
     """
-    distinct = wanted.select("pkg", "spec").distinct()
-    ranges = nested_ranges(range_bounds(distinct))
+    names = wanted.select("pkg", "spec").distinct()
+    alias = F.col("spec").startswith("npm:") if dict(wanted.dtypes)["spec"] == "string" else F.lit(False)
+    real = F.regexp_extract("spec", ALIAS, 1).try_cast(wanted.schema["pkg"].dataType)
+    names = names.withColumns({"target": F.when(alias, real).otherwise(F.col("pkg")), "need": F.when(alias, F.regexp_extract("spec", ALIAS, 2)).otherwise(F.col("spec"))})
+    distinct = names.select(F.col("target").alias("pkg"), F.col("need").alias("spec")).distinct()
+    ranges = written(nested_ranges(range_bounds(distinct)), "ranges")
     by_tag = tags.select("pkg", F.col("tag").alias("spec"), F.col("version").alias("tagged"))
     latest = tags.filter("tag = 'latest'").select("pkg", F.col("version").alias("latest"))
     rows = distinct.join(by_tag, ["pkg", "spec"], "left").join(latest, "pkg", "left").join(ranges, "spec", "left")
     fits_latest = range_test(F.col("range"), V.semver(F.col("latest")))
     rows = rows.withColumn("early", F.when(F.col("tagged").isNotNull(), F.col("tagged")).when(fits_latest, F.col("latest")))
     rows = rows.withColumn("via", F.when(F.col("tagged").isNotNull(), "tag").when(F.col("early").isNotNull(), "latest"))
-    candidates = versions.filter(extra) if extra is not None else versions
-    candidates = candidates.withColumn("v", V.semver(F.col("version")))
-    fits = rows.filter("early IS NULL AND range IS NOT NULL").join(candidates, "pkg").filter(range_test(F.col("range"), F.col("v")))
-    best = fits.groupBy("pkg", "spec").agg(F.max_by("version", F.struct(~F.coalesce("deprecated", F.lit(False)), F.col("v.key"))).alias("best"))
+    rows = written(rows.select("pkg", "spec", "early", "via", "range", "low", "high", "pre"), "wanted-specs")
+    open_rows = rows.filter("early IS NULL AND range IS NOT NULL").select("pkg", "spec", "range", "low", "high", "pre")
+    # a version is parsed once, however many specs of its package are open
+    parsed = versions.join(open_rows.select("pkg").distinct(), "pkg", "left_semi").select("pkg", "version", F.coalesce("deprecated", F.lit(False)).alias("deprecated"), V.semver(F.col("version")).alias("v"))
+    fits = open_rows.join(parsed.filter("v.valid"), "pkg").filter(may_fit(F.col("v")) & range_test(F.col("range"), F.col("v")))
+    best = fits.groupBy("pkg", "spec").agg(F.max_by("version", F.struct(~F.col("deprecated"), F.col("v.key"))).alias("best"))
     out = rows.join(best, ["pkg", "spec"], "left")
-    return out.select("pkg", "spec", F.coalesce("early", "best").alias("version"), F.coalesce("via", F.when(F.col("best").isNotNull(), "range")).alias("via"))
+    out = out.select("pkg", "spec", F.coalesce("early", "best").alias("version"), F.coalesce("via", F.when(F.col("best").isNotNull(), "range")).alias("via"))
+    if compatible is not None:
+        ok = versions.select("pkg", "version", compatible.alias("ok"))
+        kept = F.coalesce("ok", F.lit(False))
+        out = out.join(ok, ["pkg", "version"], "left")
+        out = out.select("pkg", "spec", F.when(kept, F.col("version")).alias("version"), F.when(F.col("version").isNull() | kept, F.col("via")).otherwise("incompatible").alias("via"))
+    out = out.withColumnsRenamed({"pkg": "target", "spec": "need"})
+    return names.join(out, ["target", "need"], "left").select("pkg", "spec", "target", "version", "via")
 
 
 def platform_fits(os: str = "linux", cpu: str = "x64", libc: str = "glibc") -> Column:
@@ -58,79 +79,66 @@ def parse_requirements(rows: DataFrame, column: str = "requirement") -> DataFram
     return out.withColumns({"name": name, "identity": identity, "specifiers": specifiers, "marker": F.nullif(F.regexp_extract("__t", pattern, 5), F.lit(""))}).drop("__t")
 
 
-def specifier_holds(s: Column, version: Column) -> Column:
-    """Whether one Python specifier contains a version."""
-    keys = F.array(V.pep440_key(version), V.pep440_key(F.regexp_replace(s["version"], r"\.\*$", "")))
-    return V.let(keys, lambda k: _holds(s, version, k[0], k[1]))
-
-
-def _holds(s: Column, version: Column, key: Column, own: Column) -> Column:
-    release = lambda c: F.regexp_replace(F.regexp_extract(c, r"^\s*v?(\d+(?:\.\d+)*)", 1), r"$", ".")
-    prefix = F.startswith(release(version), release(F.regexp_replace(s["version"], r"\.\*$", "")))
-    star = F.endswith(s["version"], F.lit(".*"))
-    upto = F.regexp_replace(F.regexp_extract(s["version"], r"^(\d+(?:\.\d+)*)\.\d+", 1), r"$", ".")
-    public = F.regexp_replace(version, r"\+.*$", "")
-    equal = F.when(star, prefix).otherwise((key == own) | ((V.pep440_key(public) == own) & ~s["version"].contains("+")))
-    pre_of = V.pep440_is_prerelease(version) & ~V.pep440_is_prerelease(s["version"])
-    base = F.startswith(release(version), release(s["version"])) & (F.length(release(version)) == F.length(release(s["version"])))
-    return (
-        F.when(s["op"] == "===", F.lower(version) == F.lower(s["version"])).when(s["op"] == "==", equal).when(s["op"] == "!=", ~equal)
-        .when(s["op"] == ">=", key >= own).when(s["op"] == "<=", key <= own).when(s["op"] == ">", (key > own) & ~(base & version.rlike(r"(?i)post")))
-        .when(s["op"] == "<", (key < own) & ~(pre_of & base)).when(s["op"] == "~=", (key >= own) & F.startswith(release(version), upto))
-    )
+def names_prerelease(specifiers: Column) -> Column:
+    """Whether one of the specifiers, but for !=, has a prerelease as its version."""
+    return F.exists(specifiers, lambda s: (s["op"] != "!=") & V.pep440_is_prerelease(s["version"]))
 
 
 def specifier_match(pairs: DataFrame) -> DataFrame:
     """pairs (name, specifiers, version): the rows that match.
 
-    Prereleases match where a specifier names one, or where no stable version of
-    the name matches; a requirement without specifiers takes them likewise.
+    Prereleases match only where a specifier names one; a requirement without
+    specifiers takes them where its name has no stable version.
     """
     fits = pairs.filter(F.forall("specifiers", lambda s: specifier_holds(s, F.col("version"))))
-    named = F.exists("specifiers", lambda s: V.pep440_is_prerelease(s["version"]))
     pre = V.pep440_is_prerelease(F.col("version"))
     stable = F.max(~pre).over(Window.partitionBy("name", "specifiers"))
-    return fits.withColumn("__keep", named | ~pre | ~stable).filter("__keep").drop("__keep")
+    keep = F.when(F.size("specifiers") == 0, ~pre | ~stable).otherwise(~pre | names_prerelease(F.col("specifiers")))
+    return fits.withColumn("__keep", keep).filter("__keep").drop("__keep")
 
 
-def candidates_pip(requirements: DataFrame, versions: DataFrame) -> DataFrame:
+def candidates_pip(requirements: DataFrame, versions: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """requirements (root, name, specifiers), versions (name, version, yanked): root, name, version, rank.
 
-    A candidate meets all requirements of the root on the name. Yanked versions
-    count only where one of them pins with ==. Newest first.
+    A candidate meets all requirements of the root on the name, each with its own
+    rule for prereleases, and has a row in metadata (name, version), if given.
+    Yanked versions count only where some requirement pins with ==. Newest first.
     """
-    per_root = requirements.groupBy("root", "name").agg(F.flatten(F.collect_list("specifiers")).alias("specifiers"))
-    joined = per_root.join(versions, "name")
-    pinned = F.exists("specifiers", lambda s: s["op"] == "==")
-    joined = joined.filter(~F.coalesce("yanked", F.lit(False)) | pinned)
-    fits = joined.filter(F.forall("specifiers", lambda s: specifier_holds(s, F.col("version"))))
-    named = F.exists("specifiers", lambda s: V.pep440_is_prerelease(s["version"]))
+    per_root = requirements.groupBy("root", "name").agg(F.collect_set("specifiers").alias("needs"))
     pre = V.pep440_is_prerelease(F.col("version"))
     own = Window.partitionBy("root", "name")
-    fits = fits.withColumns({"pre": pre & ~named, "stable": F.max(~pre).over(own)}).filter("NOT pre OR NOT stable")
+    meets = lambda need: F.forall(need, lambda s: specifier_holds(s, F.col("version"))) & ((F.size(need) == 0) | ~F.col("pre") | names_prerelease(need))
+    joined = per_root.join(versions.select("name", "version", F.coalesce("yanked", F.lit(False)).alias("yanked"), pre.alias("pre")), "name")
+    fits = joined.filter(F.forall("needs", meets)).withColumn("stable", F.max(~F.col("pre")).over(own))
+    fits = fits.filter(~F.col("pre") | ~F.col("stable") | ~F.exists("needs", lambda need: F.size(need) == 0))
+    pinned = F.exists("needs", lambda need: F.exists(need, lambda s: s["op"] == "=="))
+    fits = fits.filter(~F.col("yanked") | pinned)
+    if metadata is not None:
+        fits = fits.join(metadata.select("name", "version"), ["name", "version"], "left_semi")
     order = own.orderBy(V.pep440_key(F.col("version")).desc())
     return fits.select("root", "name", "version", F.row_number().over(order).cast("bigint").alias("rank"))
 
 
-def marker_filter(deps: DataFrame, python_version: str, extras: Column | None = None, marker: str = "marker") -> DataFrame:
-    """Dependencies whose marker holds: none, or comparisons of extra and python_version joined by and / or.
+#: Stands for the extra where none is asked for.
+NO_EXTRA = "\x00"
 
-    Comparisons of other variables hold (the environment is not fixed here).
-    """
-    wanted = extras if extras is not None else F.array().cast("array<string>")
-    atom = r"(extra|python_version|python_full_version)\s*(==|!=|<=|>=|<|>)\s*['\"]([^'\"]*)['\"]"
-    here = V.pep440_key(F.lit(python_version))
 
-    def holds(text: Column) -> Column:
-        name, op, value = (F.regexp_extract(text, atom, i) for i in (1, 2, 3))
-        other = V.pep440_key(value)
-        python = F.when(op == "==", here == other).when(op == "!=", here != other).when(op == "<", here < other).when(op == "<=", here <= other).when(op == ">", here > other).otherwise(here >= other)
-        extra = F.when(op == "!=", ~F.array_contains(wanted, V.canonical_name(value))).otherwise(F.array_contains(wanted, V.canonical_name(value)))
-        return F.when(name == "extra", extra).when(name != "", python).otherwise(True)
+def marker_filter(deps: DataFrame, python_version: str | None = None, extras: Column | None = None, marker: str = "marker", environment: dict[str, str] | None = None) -> DataFrame:
+    """Dependencies without a marker, or whose marker holds for one of the extras (for no extra, where none is asked for).
 
-    alternatives = F.split(F.regexp_replace(F.col(marker), r"[()]", ""), r"\s+or\s+")
-    passed = F.exists(alternatives, lambda a: F.forall(F.split(a, r"\s+and\s+"), holds))
-    return deps.filter(F.col(marker).isNull() | (F.trim(marker) == "") | passed)
+    Each distinct marker is parsed, and compared with the environment, once; a
+    malformed one drops its dependencies. `python_version` (3.12, say) goes before
+    the environment's.
+    """
+    env = dict(environment or {})
+    if python_version:
+        env["python_version"] = python_version
+    wanted = F.transform(extras, V.canonical_name) if extras is not None else F.array().cast("array<string>")
+    wanted = F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.lit(NO_EXTRA)))
+    rows = deps.withColumns({"__extras": wanted, "__marker": F.nullif(F.trim(marker), F.lit(""))})
+    parsed = rows.select("__marker").filter("__marker IS NOT NULL").distinct().withColumn("__tokens", compile_marker(F.col("__marker"), env))
+    holds = F.coalesce(F.exists("__extras", lambda e: marker_holds(F.col("__tokens"), e)), F.lit(False))
+    return rows.join(parsed, "__marker", "left").filter(F.col("__marker").isNull() | holds).select(*deps.columns)
 
 
 def check_edges(edges: DataFrame, selected: DataFrame) -> DataFrame:
@@ -145,7 +153,7 @@ def check_edges(edges: DataFrame, selected: DataFrame) -> DataFrame:
     fits = F.col("range").isNull() | range_test(F.col("range"), V.semver(F.col("version")))
     valid = F.when(present, fits).otherwise(F.col("kind").isin("optional", "peerOptional"))
     problem = F.when(present, ~fits).otherwise(F.col("kind") != "peerOptional")
-    return rows.withColumns({"valid": valid, "problem": problem}).drop("range")
+    return rows.withColumns({"valid": valid, "problem": problem}).drop("range", "low", "high", "pre")
 
 
 def attach_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:

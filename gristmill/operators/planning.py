@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import before_part, in_order
+
 
 def parse_requests(lines: DataFrame, ecosystem: str, column: str = "line") -> tuple[DataFrame, DataFrame]:
     """Parsed rows (with name, version) and rejects (with reason). Names as each ecosystem writes them."""
@@ -150,7 +150,10 @@ def shard(requests: DataFrame, n: int, i: int | None = None, limit: int | None =
     rows = requests.withColumn("shard_index", sha1_modulus(F.col(key), n))
     if i is not None:
         rows = rows.filter(F.col("shard_index") == i)
-    rows = rows.withColumn("sequence", F.row_number().over(Window.partitionBy("shard_index").orderBy(key)).cast("bigint"))
+    parts = in_order(rows, "shard_index", key)
+    own = F.row_number().over(Window.partitionBy("shard_index", "part").orderBy(key)).cast("bigint")
+    offsets = before_part(parts, "shard_index", earlier=F.count("*"))
+    rows = parts.withColumn("own", own).join(offsets, ["shard_index", "part"]).withColumn("sequence", F.col("own") + F.col("earlier")).select(*requests.columns, "shard_index", "sequence")
     return rows if limit is None else rows.filter(F.col("sequence") <= limit)
 
 
@@ -198,23 +201,72 @@ def validate_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("issues"), rows.select("name", "version", F.explode("issues").alias("i")).select("name", "version", "i.*")
 
 
-# Failure texts of solvers by what they contain, in order, and the code they stand for.
-FAILURE_TEXTS = (
-    ("not found", "PACKAGE_NOT_FOUND"),
-    ("no matching version", "VERSION_NOT_FOUND"),
-    ("conflict", "RESOLUTION_CONFLICT"),
-    ("timed out", "TIMEOUT"),
-    ("unsupported", "UNSUPPORTED"),
-)
+# What resolvers report, by ecosystem, the code it stands for, and whether to try again.
+# States of npm runs.
+NPM_STATES = {"conflict": ("RESOLUTION_CONFLICT", False), "npm_error": ("DATA_SOURCE_UNAVAILABLE", True)}
+# Codes that a go run's message may begin with.
+GO_PREFIXES = {
+    "INVALID_ARGUMENT": False, "VERSION_NOT_FOUND": False, "PACKAGE_NOT_FOUND": False, "DATA_SOURCE_UNAVAILABLE": True,
+    "BACKEND_MISCONFIGURED": False, "UNSUPPORTED_REPLACE": False, "PROTOCOL_ERROR": False,
+}
+# Texts in messages, the first that is found.
+MESSAGES = {
+    "go": (
+        ("module version not found", "VERSION_NOT_FOUND", False),
+        *((t, "DATA_SOURCE_UNAVAILABLE", True) for t in (
+            "proxy returned status", "proxy request failed", "postgres index query failed", "failed to read go proxy response",
+            "context deadline exceeded", "i/o timeout", "connection refused", "no such host",
+        )),
+        *((t, "BACKEND_MISCONFIGURED", False) for t in ("go_index_dsn is required", "failed to initialize indexed metadata source")),
+    ),
+    "cargo": (
+        ("no matching package named", "VERSION_NOT_FOUND", False),
+        *((t, "DATA_SOURCE_UNAVAILABLE", True) for t in (
+            "spurious network error", "failed to connect", "securetransport error", "unable to update registry", "failed to fetch",
+            "updating crates.io index", "failed to fetch cargo crate metadata", "failed to fetch cargo dependency metadata", "crates.io api returned status",
+        )),
+    ),
+}
+# Any other message.
+OTHERWISE = {"go": ("BACKEND_CRASHED", False), "cargo": ("BACKEND_CRASHED", True), "npm": ("INTERNAL_ERROR", False)}
+
+
+def resolver_failures(rows: DataFrame) -> DataFrame:
+    """rows (ecosystem, message, state, code, retryable, version): adds error_code and retry, by each ecosystem's own rule.
+
+    npm goes by `state` (an empty result means the version, or without one the
+    package, isn't there; no state at all breaks the protocol), go by the code that
+    a message begins with, else its text, cargo by its text, pip by the code and
+    the flag that it reports itself.
+    """
+    pair = lambda code, again: F.struct(F.lit(code).alias("code"), F.lit(again).alias("again"))
+    text = F.lower(F.trim(F.coalesce("message", F.lit(""))))
+
+    def by_text(ecosystem: str) -> Column:
+        (first, *rest), other = MESSAGES[ecosystem], OTHERWISE[ecosystem]
+        found = F.when(text.contains(first[0]), pair(*first[1:]))
+        for t, code, again in rest:
+            found = found.when(text.contains(t), pair(code, again))
+        return found.otherwise(pair(*other))
+
+    missing = F.when(F.coalesce("version", F.lit("")) != "", pair("VERSION_NOT_FOUND", False)).otherwise(pair("PACKAGE_NOT_FOUND", False))
+    npm = F.when(F.col("state").isNull(), pair("PROTOCOL_ERROR", False)).when(F.col("state") == "empty", missing)
+    for state, found in NPM_STATES.items():
+        npm = npm.when(F.col("state") == state, pair(*found))
+    head = F.trim(F.split(F.trim(F.coalesce("message", F.lit(""))), ":")[0])
+    go = by_text("go")
+    for code, again in GO_PREFIXES.items():
+        go = F.when(head == code, pair(code, again)).otherwise(go)
+    pip = F.struct(F.coalesce("code", F.lit("BACKEND_CRASHED")).alias("code"), F.coalesce("retryable", F.lit(False)).alias("again"))
+    found = F.when(F.col("ecosystem") == "npm", npm.otherwise(pair(*OTHERWISE["npm"]))).when(F.col("ecosystem") == "go", go).when(F.col("ecosystem") == "cargo", by_text("cargo")).otherwise(pip)
+    return rows.withColumn("__found", found).withColumns({"error_code": F.col("__found.code"), "retry": F.col("__found.again")}).drop("__found")
 
 
 def classify_failures(rows: DataFrame) -> DataFrame:
-    """rows (kind, http_status, stage, message): adds retryable and error_code."""
+    """rows (kind, http_status, stage): adds retryable and error_code of failed fetches."""
     not_found = (F.col("kind") == "not-found") | F.coalesce(F.col("http_status") == 404, F.lit(False))
     by_kind = F.col("kind").isin("timeout", "url", "os") | ((F.col("kind") == "http") & ~F.col("http_status").isin(400, 401, 403, 404))
-    text = F.lower(F.coalesce("message", F.lit("")))
-    by_text = reduce(lambda w, p: w.when(text.contains(p[0]), p[1]), FAILURE_TEXTS[1:], F.when(text.contains(FAILURE_TEXTS[0][0]), FAILURE_TEXTS[0][1]))
-    code = F.when(not_found, "not_found").when(F.col("kind") == "http", F.concat(F.lit("http_"), F.col("http_status").cast("string"))).when(F.col("kind") == "backend", by_text.otherwise("RESOLVER_ERROR")).otherwise(F.concat_ws("_", "stage", "kind"))
+    code = F.when(not_found, "not_found").when(F.col("kind") == "http", F.concat(F.lit("http_"), F.col("http_status").cast("string"))).otherwise(F.concat_ws("_", "stage", "kind"))
     return rows.withColumns({"retryable": ~not_found & by_kind, "error_code": code})
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import before_part, in_order
+
 
 def node_table(nodes: DataFrame, ecosystem: str) -> DataFrame:
     """nodes (root, name, version, depth): id, scope and attributes as JSON."""
@@ -85,9 +87,13 @@ FOLLOW = ("processed", "advanced", "idle", "transient", "fetched", "updated", "s
 
 
 def follow_totals(batches: DataFrame, by: str, pos: str = "batch_id") -> DataFrame:
-    """Running totals over a log of sync batches."""
-    sofar = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return batches.select(by, pos, *(F.sum(c).over(sofar).alias(c) for c in FOLLOW if c in batches.columns))
+    """Running totals over a log of sync batches: within ranges of it, and the sums of the ranges before."""
+    columns = [c for c in FOLLOW if c in batches.columns]
+    parts = in_order(batches.select(by, pos, *columns), by, pos)
+    sofar = Window.partitionBy(by, "part").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    before = before_part(parts, by, **{f"__{c}": F.sum(c) for c in columns})
+    rows = parts.select(by, "part", pos, *(F.sum(c).over(sofar).alias(c) for c in columns)).join(before, [by, "part"])
+    return rows.select(by, pos, *((F.col(c) + F.col(f"__{c}")).alias(c) for c in columns))
 
 
 def run_report(items: DataFrame, policy: str, by: list[str]) -> DataFrame:

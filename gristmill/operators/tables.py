@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def dedupe(rows: DataFrame, keys: list[str], keep: str = "first", pos: str = "pos") -> DataFrame:
     """One row for each key: 'first', 'first-position-last-value' or 'last' (value in its last position)."""
@@ -97,6 +99,28 @@ def repository_layout(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"directory": directory, "pom_path": pom, "metadata_path": F.concat(base, F.lit("/maven-metadata.xml"))})
 
 
+def write_repository(rows: DataFrame, base: str) -> None:
+    """Writes documents (group_id, artifact_id, version, text and more) below folders of group and artifact."""
+    repository_layout(rows).write.mode("append").partitionBy("group_id", "artifact_id").parquet(base)
+
+
+def in_order(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """df with `part`: ranges of (by, order), so that rows of a later part come after those of an earlier one.
+
+    A group of any size is cut, where a window over it would be one task; the
+    ranges are written, since a second look could cut them otherwise.
+    """
+    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, by, *order)
+    return written(ranged.withColumn("part", F.spark_partition_id()), "ordered-parts")
+
+
+def before_part(parts: DataFrame, by: str, **sums: Column) -> DataFrame:
+    """(by, part) with each sum over all earlier parts of the group: as many rows as parts and groups."""
+    each = parts.groupBy(by, "part").agg(*(v.alias(k) for k, v in sums.items()))
+    earlier = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(by, "part", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -9,7 +9,8 @@ from ..operators import graphs as G
 from ..operators import reports as R
 from ..operators import tables as T
 from .registry import query
-from .version_queries import _BEST
+from ..operators.matching import platform_fits
+from .version_queries import _FITTED, for_platform
 
 _EDGES = "edges AS (SELECT DISTINCT pkg AS src, dep AS dst FROM fx_dep)"
 _REACH = f"{_EDGES}, reach(root, node, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.node)"
@@ -93,34 +94,40 @@ def g9_root_features(f):
     return G.root_features(_features(f), deps).select("pkg", F.array_join("features", ",").alias("features"))
 
 
-_CLOSURE = f"""{_BEST}, resolved AS (SELECT DISTINCT d.pkg, d.dep, d.spec, m.version FROM fx_dep d JOIN matched m ON m.pkg = d.dep AND m.spec = d.spec),
-walk(root, pkg, level) AS (SELECT p_partkey, p_partkey, CAST(1 AS BIGINT) FROM part UNION SELECT w.root, r.dep, w.level + 1 FROM walk w JOIN resolved r ON r.pkg = w.pkg WHERE r.version IS NOT NULL),
-firsts AS (SELECT root, pkg, min(level) AS level FROM walk GROUP BY ALL),
-closed AS (SELECT f.root, r.pkg, r.dep, r.spec, r.version, f.level FROM firsts f JOIN resolved r ON r.pkg = f.pkg)"""
+_CLOSURE = f"""{_FITTED}, resolved AS (SELECT DISTINCT d.pkg, d.version AS pkg_version, d.dep, d.spec, m.version FROM fx_vdep d LEFT JOIN fitted m ON m.pkg = d.dep AND m.spec = d.spec),
+walk(root, pkg, pkg_version, level) AS (SELECT pkg, pkg, version, CAST(1 AS BIGINT) FROM fx_tag UNION SELECT w.root, r.dep, r.version, w.level + 1 FROM walk w JOIN resolved r ON r.pkg = w.pkg AND r.pkg_version = w.pkg_version WHERE r.version IS NOT NULL),
+firsts AS (SELECT root, pkg, pkg_version, min(level) AS level FROM walk GROUP BY ALL),
+closed AS (SELECT f.root, r.pkg, r.pkg_version, r.dep, r.spec, r.version, f.level FROM firsts f JOIN resolved r ON r.pkg = f.pkg AND r.pkg_version = f.pkg_version)"""
 
 
 def _closed(f):
-    return G.highest_match_closure(_roots(f), f.fx_dep, f.fx_version, f.fx_tag)
+    """Each package's latest version and what it depends on; packages without versions have none."""
+    roots = f.part.select(F.col("p_partkey").alias("root")).join(f.fx_tag.select(F.col("pkg").alias("root"), "version"), "root", "left")
+    return G.highest_match_closure(roots, f.fx_vdep, for_platform(f), f.fx_tag, "npm", platform_fits())
 
 
-@query(f"WITH RECURSIVE {_CLOSURE} SELECT root, pkg, dep, spec, version, level, EXISTS (SELECT 1 FROM closed o WHERE o.root = c.root AND o.dep = c.dep AND o.version <> c.version) AS conflict FROM closed c", recursive=True)
+@query(f"""WITH RECURSIVE {_CLOSURE} SELECT root, pkg, pkg_version, dep, spec, version, level, version IS NOT NULL AND (SELECT count(*) FROM firsts o WHERE o.root = c.root AND o.pkg = c.dep) > 1 AS conflict, 'ok' AS state FROM closed c
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 0, false, 'empty' FROM part WHERE p_partkey NOT IN (SELECT pkg FROM fx_tag)""", recursive=True)
 def g10_highest_match_closure(f):
-    edges, conflicts = _closed(f)
+    edges, conflicts, states = _closed(f)
     marks = conflicts.select("root", F.col("pkg").alias("dep"), F.lit(True).alias("c"))
     many = F.coalesce("c", F.lit(False)) & F.col("version").isNotNull()
-    return edges.join(marks, ["root", "dep"], "left").select("root", "pkg", "dep", "spec", "version", "level", many.alias("conflict"))
+    rows = edges.join(marks, ["root", "dep"], "left").select("root", "pkg", "pkg_version", "dep", "spec", "version", "level", many.alias("conflict")).join(states, "root")
+    none = states.filter("state = 'empty'").select("root", "state", F.lit(0).cast("bigint").alias("level"), F.lit(False).alias("conflict"))
+    return rows.unionByName(none, allowMissingColumns=True)
 
 
 _KINDS = "kinds AS (SELECT DISTINCT pkg AS src, dep AS dst, kind FROM fx_dep)"
 
 
-@query(f"""WITH RECURSIVE {_KINDS}, paths(root, node, path, depth) AS (SELECT p_partkey, p_partkey, lpad(CAST(p_partkey AS VARCHAR), 12, '0'), CAST(0 AS BIGINT) FROM part
-    UNION SELECT p.root, k.dst, p.path || '/' || lpad(CAST(k.dst AS VARCHAR), 12, '0'), p.depth + 1 FROM paths p JOIN kinds k ON k.src = p.node),
+@query(f"""WITH RECURSIVE {_KINDS}, paths(root, node, path, depth) AS (SELECT p_partkey, p_partkey, '', CAST(0 AS BIGINT) FROM part
+    UNION SELECT p.root, k.dst, p.path || '/' || CAST(k.dst AS VARCHAR), p.depth + 1 FROM paths p JOIN kinds k ON k.src = p.node),
 least AS (SELECT root, node, min(depth) AS depth, arg_min(path, lpad(CAST(depth AS VARCHAR), 4, '0') || path) AS path FROM paths GROUP BY ALL),
 visits AS (SELECT l.root, k.src, k.dst, k.kind, l.depth + 1 AS level, row_number() OVER (PARTITION BY l.root, k.dst ORDER BY l.depth, l.path) AS nth FROM least l JOIN kinds k ON k.src = l.node)
-SELECT root, src, dst, kind, level, nth > 1 AS deduped, kind = 'peer' AS peer FROM visits""", recursive=True)
+SELECT root, src, dst, kind, level, nth > 1 AS deduped, kind = 'peer' AS peer, src % 5 = 0 AS alias FROM visits""", recursive=True)
 def g11_dedupe_tree_edges(f):
-    return G.dedupe_tree_edges(f.fx_dep.select(F.col("pkg").alias("src"), F.col("dep").alias("dst"), "kind").distinct(), _roots(f))
+    edges = f.fx_dep.select(F.col("pkg").alias("src"), F.col("dep").alias("dst"), "kind").distinct()
+    return G.dedupe_tree_edges(edges.withColumn("alias_target", F.when(F.col("src") % 5 == 0, F.col("dst").cast("string"))), _roots(f))
 
 
 @query("""WITH t AS (SELECT l_orderkey AS root, l_suppkey % 3 AS ga, concat('1.', CAST(l_partkey AS VARCHAR), '.', CAST(l_linenumber AS VARCHAR)) AS version, l_linenumber % 3 AS depth, concat(CAST(l_linenumber AS VARCHAR), '/', CAST(l_partkey AS VARCHAR), '/', CAST(l_suppkey AS VARCHAR), '/', CAST(l_quantity AS INT)) AS path FROM lineitem)
@@ -138,35 +145,50 @@ def g13_exclusive_dependencies(f):
     return G.exclusive_dependencies(_edges(f), f.part.select(F.col("p_partkey").alias("node")))
 
 
+# Edges from every fifth package count as from the target's own dependency set.
 @query("""WITH placed AS (SELECT pkg AS node, min(version) AS version FROM fx_version GROUP BY pkg), cand AS (SELECT pkg AS node, max(version) AS candidate FROM fx_version GROUP BY pkg),
-r AS (SELECT p.node, p.version, c.candidate, v.ord >= u.ord AS newer, bool_and(d.spec IS NULL OR (NOT v.pre AND v.ord >= s.lo AND v.ord < s.hi)) AS replaceable, count(d.spec) AS n FROM placed p JOIN cand c USING (node)
+r AS (SELECT p.node, p.version, c.candidate, v.ord >= u.ord AS newer, bool_and(d.spec IS NULL OR d.pkg % 5 = 0 OR (NOT v.pre AND v.ord >= s.lo AND v.ord < s.hi)) AS replaceable, count(d.spec) AS n FROM placed p JOIN cand c USING (node)
     JOIN ver v ON v.pkg = p.node AND v.version = c.candidate JOIN ver u ON u.pkg = p.node AND u.version = p.version LEFT JOIN fx_dep d ON d.dep = p.node LEFT JOIN specs s ON s.spec = d.spec GROUP BY ALL)
 SELECT node, version, candidate, replaceable, n = 0 OR candidate = version OR (replaceable AND newer) AS dedupable FROM r""")
 def g14_replaceable(f):
     per = f.fx_version.groupBy(F.col("pkg").alias("name")).agg(F.min("version").alias("version"), F.max("version").alias("candidate"))
     placed = per.select(F.col("name").alias("node"), "name", "version")
-    return G.replaceable(placed, f.fx_dep.select(F.col("dep").alias("node"), "spec"), per.select("name", "candidate")).select("node", "version", "candidate", "replaceable", "dedupable")
+    incoming = f.fx_dep.select(F.col("dep").alias("node"), F.col("pkg").alias("src"), "spec")
+    own = incoming.filter("src % 5 = 0").select("node", F.col("src").alias("dep"))
+    return G.replaceable(placed, incoming, per.select("name", "candidate"), own).select("node", "version", "candidate", "replaceable", "dedupable")
 
 
-@query(f"""WITH RECURSIVE {_CLOSURE}, p AS (SELECT root, dep, version, min(level * 1000000000 + pkg) AS f, count(*) AS uses FROM closed WHERE version IS NOT NULL GROUP BY ALL)
-SELECT root, dep, arg_min(version, lpad(CAST(f AS VARCHAR), 14, '0') || version) AS top, count(*) - 1 AS nested_versions, CAST(sum(uses) AS BIGINT) AS uses FROM p GROUP BY root, dep""", recursive=True)
+@query(f"""WITH RECURSIVE {_CLOSURE}, p AS (SELECT root, dep, version, min(level * 1000000000 + pkg) AS f, count(*) AS uses FROM closed WHERE version IS NOT NULL GROUP BY ALL),
+t AS (SELECT root, dep, arg_min(version, lpad(CAST(f AS VARCHAR), 14, '0') || version) AS top, count(*) - 1 AS nested_versions, CAST(sum(uses) AS BIGINT) AS uses FROM p GROUP BY root, dep),
+peers AS (SELECT DISTINCT pkg, version AS pkg_version, dep, spec FROM fx_vdep WHERE kind = 'peer'),
+broken AS (SELECT c.root, c.dep, count(*) AS n FROM closed c JOIN peers x ON x.pkg = c.pkg AND x.pkg_version = c.pkg_version AND x.dep = c.dep AND x.spec = c.spec LEFT JOIN t ON t.root = c.root AND t.dep = c.dep
+    LEFT JOIN ver v ON v.pkg = t.dep AND v.version = t.top JOIN specs s ON s.spec = c.spec WHERE t.top IS NULL OR NOT (NOT v.pre AND v.ord >= lo AND v.ord < hi) GROUP BY ALL)
+SELECT root, dep, top, nested_versions, uses, n AS peer_conflicts FROM t FULL JOIN broken USING (root, dep)""", recursive=True)
 def g15_hoist_report(f):
-    return G.hoist_report(_closed(f)[0])
+    top, broken = G.hoist_report(_closed(f)[0], f.fx_vdep.filter("kind = 'peer'").select("pkg", F.col("version").alias("pkg_version"), "dep", "spec"))
+    return top.join(broken.groupBy("root", "dep").agg(F.count("*").alias("peer_conflicts")), ["root", "dep"], "full_outer")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, looped AS (SELECT * FROM edges UNION SELECT 1, 7), r(a, b, n) AS (SELECT src, dst, CAST(1 AS BIGINT) FROM looped UNION SELECT r.a, l.dst, r.n + 1 FROM r JOIN looped l ON l.src = r.b WHERE r.n < 16)
+# The edge 1 -> 7 closes short cycles; a ring of 20 nodes below zero, one for each of the first parts, is a long one.
+@query(f"""WITH RECURSIVE {_EDGES}, looped AS (SELECT * FROM edges UNION SELECT 1, 7 UNION SELECT -1 - p_partkey, -1 - (p_partkey + 1) % 20 FROM part WHERE p_partkey < 20),
+r(a, b, n) AS (SELECT src, dst, CAST(1 AS BIGINT) FROM looped UNION SELECT r.a, l.dst, r.n + 1 FROM r JOIN looped l ON l.src = r.b WHERE r.n < 24)
 SELECT a AS node, min(n) AS length FROM r WHERE a = b GROUP BY a""", recursive=True)
 def g16_cycle_report(f):
-    loop = _edges(f).limit(1).select(F.lit(1).cast("bigint").alias("src"), F.lit(7).cast("bigint").alias("dst"))
-    return G.cycle_report(_edges(f).union(loop), max_level=16)
+    key = F.col("p_partkey")
+    ring = f.part.filter("p_partkey < 20").select((-1 - key).alias("src"), (-1 - (key + 1) % 20).alias("dst"))
+    loop = f.part.filter("p_partkey = 1").select(key.alias("src"), (key + 6).alias("dst"))
+    return G.cycle_report(_edges(f).union(loop).union(ring))
 
 
-@query("""WITH RECURSIVE k AS (SELECT DISTINCT pkg AS src, dep AS dst, kind, spec <> '*' AS valid FROM fx_dep), b AS (SELECT src, dst FROM k WHERE kind = 'peer' AND valid UNION SELECT dst, src FROM k WHERE kind = 'peer' AND valid),
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT pkg AS src, dep AS dst, kind, spec <> '*' AS valid FROM fx_dep), p AS (SELECT DISTINCT src, dst FROM k WHERE kind = 'peer' AND valid), b AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p),
 r(n, m) AS (SELECT src, src FROM b UNION SELECT r.n, b.dst FROM r JOIN b ON b.src = r.m), g AS (SELECT n AS node, min(m) AS grp FROM r GROUP BY n),
-e AS (SELECT grp, count(*) AS entering FROM k JOIN g ON g.node = k.dst WHERE kind <> 'peer' GROUP BY grp)
-SELECT node, g.grp AS "group", coalesce(entering, 0) AS entering FROM g LEFT JOIN e USING (grp)""", recursive=True)
+e AS (SELECT DISTINCT src, dst FROM k WHERE kind <> 'peer' AND valid AND dst IN (SELECT node FROM g)),
+w(a, n) AS (SELECT DISTINCT dst, dst FROM e UNION SELECT w.a, p.dst FROM w JOIN p ON p.src = w.n), c AS (SELECT w.n AS node, count(*) AS entering FROM w JOIN e ON e.dst = w.a GROUP BY w.n)
+SELECT node, g.grp AS "group", coalesce(entering, 0) AS entering FROM g LEFT JOIN c USING (node)""", recursive=True)
 def g17_peer_groups(f):
-    return G.peer_groups(f.fx_dep.select(F.col("pkg").alias("src"), F.col("dep").alias("dst"), "kind", (F.col("spec") != "*").alias("valid")).distinct())
+    edges = f.fx_dep.select(F.col("pkg").alias("src"), F.col("dep").alias("dst"), "kind", (F.col("spec") != "*").alias("valid")).distinct()
+    members, entries = G.peer_groups(edges)
+    return members.join(entries.groupBy("node").agg(F.count("*").alias("entering")), "node", "left").na.fill(0, ["entering"])
 
 
 @query("""WITH RECURSIVE up(gav, place, d) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT gav, place // 2, d + 1 FROM up WHERE place > 0), k AS (SELECT gav, min(place) FILTER (WHERE d = m) AS k FROM (SELECT *, min(d) FILTER (WHERE place % 4 = 0) OVER (PARTITION BY gav) AS m FROM up) GROUP BY gav)

@@ -128,16 +128,30 @@ def p14_validate_records(f):
     return issues.groupBy("code", "severity").agg(F.count("*").alias("n")).union(status)
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN o_orderkey % 5 = 0 WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN false ELSE true END AS retryable,
-    CASE o_orderkey % 6 WHEN 0 THEN 'fetch_timeout' WHEN 1 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'http_503' ELSE 'http_403' END WHEN 2 THEN 'not_found' WHEN 3 THEN 'not_found' WHEN 4 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'RESOLUTION_CONFLICT' ELSE 'RESOLVER_ERROR' END ELSE 'fetch_os' END AS error_code FROM orders""")
+# Failed resolver runs by number: ecosystem, message, state, code, retryable, version, and what is made of them.
+_RUNS = (
+    ("npm", "x", "conflict", None, None, "1", "RESOLUTION_CONFLICT", False), ("npm", "x", "empty", None, None, "1", "VERSION_NOT_FOUND", False), ("npm", "x", "empty", None, None, None, "PACKAGE_NOT_FOUND", False),
+    ("npm", "x", "npm_error", None, None, None, "DATA_SOURCE_UNAVAILABLE", True), ("npm", "x", "place_loop", None, None, None, "INTERNAL_ERROR", False), ("npm", "x", None, None, None, None, "PROTOCOL_ERROR", False),
+    ("go", "UNSUPPORTED_REPLACE: a conflict", None, None, None, None, "UNSUPPORTED_REPLACE", False), ("go", "DATA_SOURCE_UNAVAILABLE : down", None, None, None, None, "DATA_SOURCE_UNAVAILABLE", True),
+    ("go", "Module Version Not Found", None, None, None, None, "VERSION_NOT_FOUND", False), ("go", "dial: no such host", None, None, None, None, "DATA_SOURCE_UNAVAILABLE", True), ("go", "GO_INDEX_DSN is required", None, None, None, None, "BACKEND_MISCONFIGURED", False),
+    ("go", "conflict", None, None, None, None, "BACKEND_CRASHED", False), ("cargo", "error: no matching package named `x`", None, None, None, None, "VERSION_NOT_FOUND", False), ("cargo", "Spurious network error", None, None, None, None, "DATA_SOURCE_UNAVAILABLE", True),
+    ("cargo", "panicked", None, None, None, None, "BACKEND_CRASHED", True), ("pip", "x", None, "TIMEOUT", True, None, "TIMEOUT", True), ("pip", "x", None, None, None, None, "BACKEND_CRASHED", False),
+)
+_RUN = "ecosystem string, message string, state string, code string, retryable boolean, version string"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN o_orderkey % 7 = 0 WHEN 4 THEN true ELSE false END AS retryable,
+    CASE o_orderkey % 5 WHEN 0 THEN 'fetch_timeout' WHEN 1 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'http_503' ELSE 'http_403' END WHEN 4 THEN 'fetch_os' ELSE 'not_found' END AS error_code, run_code, run_retry
+FROM orders JOIN (VALUES {", ".join(f"({i}, '{r[6]}', {r[7]})" for i, r in enumerate(_RUNS))}) m(i, run_code, run_retry) ON o_orderkey % {len(_RUNS)} = i""")
 def p16_classify_failures(f):
-    k, five = F.col("o_orderkey") % 6, F.col("o_orderkey") % 5 == 0
-    kinds = F.array(*(F.lit(x) for x in ("timeout", "http", "http", "not-found", "backend", "os")))
-    rows = f.orders.select(
-        F.col("o_orderkey").alias("id"), kinds[k.cast("int")].alias("kind"), F.when(k == 1, F.when(five, 503).otherwise(403)).when(k == 2, 404).alias("http_status"),
-        F.lit("fetch").alias("stage"), F.when(five, "a Conflict arose").otherwise("it broke").alias("message"),
-    )
-    return P.classify_failures(rows).select("id", "retryable", "error_code")
+    k = F.col("o_orderkey") % 5
+    kinds = F.array(*(F.lit(x) for x in ("timeout", "http", "http", "not-found", "os")))
+    status = F.when(k == 1, F.when(F.col("o_orderkey") % 7 == 0, 503).otherwise(403)).when(k == 2, 404)
+    fetches = f.orders.select(F.col("o_orderkey").alias("id"), kinds[k.cast("int")].alias("kind"), status.alias("http_status"), F.lit("fetch").alias("stage"))
+    cases = F.array(*(F.struct(*(F.lit(x) for x in r[:6])) for r in _RUNS)).cast(f"array<struct<{_RUN}>>")
+    runs = f.orders.select(F.col("o_orderkey").alias("id"), cases[(F.col("o_orderkey") % len(_RUNS)).cast("int")].alias("r")).select("id", "r.*")
+    made = P.resolver_failures(runs).select("id", F.col("error_code").alias("run_code"), F.col("retry").alias("run_retry"))
+    return P.classify_failures(fetches).select("id", "retryable", "error_code").join(made, "id")
 
 
 @query("SELECT pkg, version FROM fx_version WHERE (NOT yanked OR pkg % 2 = 0) AND NOT deprecated")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import append_log, apply_sync_batch
 from ..sources.documents import read_change_feed
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from ..streaming import sync as S
 from .registry import query
 
@@ -51,13 +51,16 @@ def t7_batch_progress(f):
     return S.batch_counts(events, decided)
 
 
-def _pages(f):
-    """Feed pages by a hash of the name, so that no name is in two pages."""
-    bucket = F.pmod(F.xxhash64("name"), F.lit(8)).cast("bigint").alias("batch_id")
+def _land(f) -> str:
+    """A feed folder: pages of 100 events, one a line, in eight files that land one after the other in the feed's order."""
     item = F.to_json(F.struct(F.col("seq").cast("string").alias("seq"), F.col("name").alias("id"), F.array(F.struct("rev")).alias("changes"), F.when(F.col("deleted"), True).alias("deleted")))
-    per = f.fx_change.groupBy(bucket).agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"))
-    doc = F.concat(F.lit('{"results": ['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit('], "last_seq": "'), F.col("batch_id"), F.lit('"}'))
-    return per.select("batch_id", doc.alias("doc"))
+    per = f.fx_change.groupBy(F.expr("seq div 100").alias("page")).agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"), F.max("seq").alias("last"))
+    doc = F.concat(F.lit('{"results": ['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit('], "last_seq": "'), F.col("last"), F.lit('-x"}'))
+    pages, feed = written(per.select("page", doc.alias("doc")), "feed-pages"), _folder(f, "feed")
+    size = (pages.agg(F.max("page")).first()[0] or 0) // 8 + 1
+    for i in range(8):
+        pages.filter(F.expr(f"page div {size}") == i).select("doc").write.mode("append").text(feed)
+    return feed
 
 
 def _folder(f, name):
@@ -75,9 +78,8 @@ def k5_append_log(f):
 
 @query("SELECT name, max(seq) AS last, count(*) AS events FROM fx_change GROUP BY name")
 def t1_change_stream(f):
-    feed, out = _folder(f, "feed"), _folder(f, "events")
-    _pages(f).select("doc").repartition(8).write.text(feed)
-    events = read_change_feed(S.change_stream(f.spark, feed).withColumn("batch_id", F.lit(0)))
+    feed, out = _land(f), _folder(f, "events")
+    events = read_change_feed(S.change_stream(f.spark, feed, whole=False).withColumn("batch_id", F.lit(0)))
     events.writeStream.format("parquet").option("checkpointLocation", _folder(f, "stream")).trigger(availableNow=True).start(out).awaitTermination()
     found = f.spark.read.parquet(out)
     return found.groupBy("name").agg(F.max(F.col("seq").cast("bigint")).alias("last"), F.count("*").alias("events"))
@@ -86,11 +88,10 @@ def t1_change_stream(f):
 @query("""WITH last AS (SELECT name, arg_max(rev, seq) AS rev, arg_max(deleted, seq) AS deleted, CAST(substr(name, 5) AS BIGINT) AS k FROM fx_change GROUP BY name)
 SELECT CASE WHEN deleted OR k % 5 = 0 THEN 'tombstone' ELSE 'package' END AS kind, name, rev, CASE WHEN deleted THEN 'deleted_in_feed' WHEN k % 5 = 0 THEN 'packument_not_found' END AS reason FROM last""")
 def t6_follow_feed(f):
-    feed, base = _folder(f, "feed"), _folder(f, "index")
-    _pages(f).select("doc").repartition(8).write.text(feed)
+    feed, base = _land(f), _folder(f, "index")
     names = f.fx_change.select("name").distinct().filter("CAST(substring(name, 5, 20) AS BIGINT) % 5 <> 0")
     documents = names.select("name", F.lit(None).cast("string").alias("doc_rev"), F.lit("{}").alias("doc"), F.lit(None).cast("string").alias("error"))
-    S.follow(f.spark, feed, base, lambda: documents, _folder(f, "stream"), files_per_batch=4).awaitTermination()
+    S.follow(f.spark, feed, base, lambda: documents, _folder(f, "stream"), files_per_batch=4, whole=False).awaitTermination()
     packages, tombstones = S.Index(f.spark, base).tables()
     none = F.lit(None).cast("string").alias("reason")
     return packages.select(F.lit("package").alias("kind"), "name", "rev", none).union(tombstones.select(F.lit("tombstone"), "name", "rev", "reason"))

@@ -18,13 +18,11 @@ def v1_version_keys(f):
     return keyed.select("pkg", "version", rank.alias("rank"), F.col("v.valid").alias("valid"), F.col("v.canonical").alias("canonical"))
 
 
-@query("""SELECT a.pkg, count(*) AS pairs, count(*) FILTER (WHERE a.ord < b.ord) AS lower, count(*) FILTER (WHERE a.ord > b.ord) AS higher
-FROM ver a JOIN ver b ON a.pkg = b.pkg AND a.version < b.version GROUP BY a.pkg""")
+@query("""SELECT pkg, version, lag(version) OVER (PARTITION BY pkg ORDER BY ord) AS below, CAST(row_number() OVER (PARTITION BY pkg ORDER BY ord) AS BIGINT) AS place FROM ver""")
 def v2_semver_order(f):
     v = f.fx_version.select("pkg", "version", V.semver(F.col("version"))["key"].alias("key"))
-    w = v.select("pkg", F.col("version").alias("version2"), F.col("key").alias("key2"))
-    pairs = v.join(w, "pkg").filter("version < version2")
-    return pairs.groupBy("pkg").agg(F.count("*").alias("pairs"), F.count_if(F.expr("key < key2")).alias("lower"), F.count_if(F.expr("key > key2")).alias("higher"))
+    order = Window.partitionBy("pkg").orderBy("key")
+    return v.select("pkg", "version", F.lag("version").over(order).alias("below"), F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query("""SELECT pkg, replace(version, '-rc.', 'rc') AS version, CAST(rank() OVER (PARTITION BY pkg ORDER BY ord) AS BIGINT) AS rank, pre AS prerelease FROM ver""")
@@ -52,12 +50,13 @@ def v5_range_bounds(f):
     return f.fx_dep.join(bounds, "spec").groupBy("spec", "or_group", "op", "bound").agg(F.count("*").alias("uses"))
 
 
-@query("SELECT pkg, spec, count(*) FILTER (WHERE NOT pre AND ord >= lo AND ord < hi) AS n_fit, count(*) AS n FROM ver, specs GROUP BY pkg, spec")
+@query("""SELECT v.pkg, w.spec, count(*) FILTER (WHERE NOT pre AND ord >= lo AND ord < hi) AS n_fit, count(*) AS n
+FROM (SELECT DISTINCT dep AS pkg, spec FROM fx_dep) w JOIN specs s ON s.spec = w.spec JOIN ver v ON v.pkg = w.pkg GROUP BY ALL""")
 def v11_range_test(f):
-    ranges = R.nested_ranges(R.range_bounds(f.fx_dep))
+    wanted = f.fx_dep.select(F.col("dep").alias("pkg"), "spec").distinct()
+    ranges = R.nested_ranges(R.range_bounds(wanted))
     versions = f.fx_version.select("pkg", V.semver(F.col("version")).alias("v"))
-    specs = F.broadcast(ranges)  # the distinct specs of the fixture: six
-    rows = versions.join(specs, F.lit(True)).withColumn("fit", R.range_test(F.col("range"), F.col("v")))
+    rows = wanted.join(ranges, "spec").join(versions, "pkg").withColumn("fit", R.may_fit(F.col("v")) & R.range_test(F.col("range"), F.col("v")))
     return rows.groupBy("pkg", "spec").agg(F.count_if("fit").alias("n_fit"), F.count("*").alias("n"))
 
 
@@ -76,23 +75,40 @@ def v12_parse_requirements(f):
     return out.select("pkg", "name", "identity", joined.alias("specifiers"), "marker")
 
 
-@query("SELECT pkg, dep, pkg % 2 = 0 AS with_x FROM fx_dep WHERE kind = 'runtime' OR (kind = 'optional' AND pkg % 2 = 0)")
+# Markers by number: text, and when they hold for the extra x and for none (3.12 on linux).
+_MARKERS = (
+    ("extra == 'x'", True, False), ("python_version < '3.0'", False, False), ("(extra == 'x' or python_version < '3') and python_version < '2'", False, False), ("sys_platform == 'win32'", False, False),
+    ("os_name == 'nt' and python_version > '3'", False, False), ("'3.8' > python_version", False, False), ("python_version in '2.7 3.3'", False, False), ("sys_platform != \"win32\" and extra != 'x'", False, True),
+    ("python_version >= '3.8' and (os_name == 'nt' or platform_system == 'Linux')", True, True), ("extra == 'y' or 'x' == extra", True, False), ("(os_name == 'nt'", False, False),
+)
+
+
+@query(f"""SELECT pkg, dep, pkg % 2 = 0 AS with_x FROM fx_dep JOIN (VALUES {", ".join(f"({i}, {x}, {none})" for i, (_, x, none) in enumerate(_MARKERS))}, ({len(_MARKERS)}, true, true)) m(i, for_x, for_none) ON (pkg * 2 + dep) % {len(_MARKERS) + 1} = i
+WHERE CASE WHEN pkg % 2 = 0 THEN for_x ELSE for_none END""")
 def v13_marker_filter(f):
-    rows = M.parse_requirements(f.fx_dep.withColumn("requirement", F.expr(_REQUIREMENT))).withColumn("with_x", F.col("pkg") % 2 == 0)
-    extras = F.when(F.col("with_x"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    texts = F.array(*(F.lit(m) for m, _, _ in _MARKERS), F.lit(None).cast("string"))
+    rows = f.fx_dep.select("pkg", "dep", (F.col("pkg") % 2 == 0).alias("with_x"), texts[((F.col("pkg") * 2 + F.col("dep")) % (len(_MARKERS) + 1)).cast("int")].alias("marker"))
+    extras = F.when(F.col("with_x"), F.array(F.lit("X"))).otherwise(F.array().cast("array<string>"))
     return M.marker_filter(rows, "3.12", extras).select("pkg", "dep", "with_x")
 
 
-@query("""WITH fit AS (SELECT pkg AS name, version, pre, bool_or(NOT pre) OVER (PARTITION BY pkg, s) AS stable, s
-    FROM ver, (VALUES ('>=0.2,<2.0'), ('')) t(s) WHERE s = '' OR ord >= 20000 - 1 + CASE WHEN pre THEN 1 ELSE 0 END AND ord // 100 >= 200 AND ord < 2000000)
-SELECT name, s AS spec, count(*) AS n FROM fit WHERE NOT pre OR NOT stable GROUP BY ALL""")
+# Specifiers, and what they allow of the fixture's versions: ord of versions, all but its last two digits is the release.
+_SPECIFIERS = (
+    ([(">=", "0.2"), ("<", "2.0")], "NOT pre AND r >= 200 AND r < 20000"), ([], "NOT pre OR NOT stable"), ([("==", "1.*")], "NOT pre AND r // 10000 = 1"), ([("==", "1.0.*")], "NOT pre AND r // 100 = 100"),
+    ([("!=", "1.1.*"), (">=", "1")], "NOT pre AND r // 100 <> 101 AND r >= 10000"), ([("~=", "1.2")], "NOT pre AND r >= 10200 AND r < 20000"), ([("~=", "1.2.3")], "NOT pre AND r >= 10203 AND r < 10300"),
+    ([("==", "1.2.0")], "NOT pre AND r = 10200"), ([("!=", "2")], "NOT pre AND r <> 20000"), ([(">", "1.3")], "NOT pre AND r > 10300"), ([(">=", "1.0rc1"), ("<", "1.2.3")], "r >= 10000 AND r < 10203"), ([("<", "1.2.3rc2")], "ord < 1020302"),
+)
+_CASES = " ".join(f"WHEN {i} THEN {test}" for i, (_, test) in enumerate(_SPECIFIERS))
+
+
+@query(f"""WITH fit AS (SELECT pkg AS name, version, ord, ord // 100 AS r, pre, bool_or(NOT pre) OVER (PARTITION BY pkg, s) AS stable, CAST(s AS BIGINT) AS s FROM ver, range({len(_SPECIFIERS)}) t(s))
+SELECT name, s AS spec, count(*) AS n FROM fit WHERE CASE s {_CASES} END GROUP BY ALL""")
 def v14_specifier_match(f):
     v = f.fx_version.select(F.col("pkg").alias("name"), F.replace(F.col("version"), F.lit("-rc."), F.lit("rc")).alias("version"))
     s = "array<struct<op: string, version: string>>"
-    both = [F.from_json(F.lit('[{"op": ">=", "version": "0.2"}, {"op": "<", "version": "2.0"}]'), s), F.array().cast(s)]
-    pairs = v.withColumn("specifiers", F.explode(F.array(*both)))
-    spec = F.array_join(F.transform("specifiers", lambda x: F.concat(x["op"], x["version"])), ",")
-    return M.specifier_match(pairs).groupBy("name", spec.alias("spec")).agg(F.count("*").alias("n"))
+    own = [F.array(*(F.struct(F.lit(op), F.lit(x)) for op, x in specs)).cast(s) if specs else F.array().cast(s) for specs, _ in _SPECIFIERS]
+    pairs = v.select("name", "version", F.posexplode(F.array(*own)).alias("spec", "specifiers"))
+    return M.specifier_match(pairs).groupBy("name", F.col("spec").cast("bigint").alias("spec")).agg(F.count("*").alias("n"))
 
 
 _BEST = """latest AS (SELECT t.pkg, t.version, ord, pre FROM fx_tag t JOIN ver v ON v.pkg = t.pkg AND v.version = t.version),
@@ -103,14 +119,27 @@ matched AS (SELECT w.pkg, w.spec, CASE WHEN NOT l.pre AND l.ord >= lo AND l.ord
     FROM wanted w JOIN specs s ON w.spec = s.spec LEFT JOIN latest l ON l.pkg = w.pkg LEFT JOIN best b ON b.pkg = w.pkg AND b.spec = w.spec)"""
 
 
-@query(f"WITH {_BEST} SELECT pkg, spec, version, via FROM matched")
+# Versions that don't fit the platform are picked all the same, and leave the spec unresolved.
+_FITTED = f"""{_BEST}, fitted AS (SELECT m.pkg, m.spec, CASE WHEN NOT v.yanked THEN m.version END AS version, CASE WHEN v.yanked THEN 'incompatible' ELSE m.via END AS via
+    FROM matched m LEFT JOIN fx_version v ON v.pkg = m.pkg AND v.version = m.version)"""
+
+
+def for_platform(f):
+    """Versions with the platforms they are for; yanked ones are made to be for others alone."""
+    os = F.when(F.col("yanked"), F.array(F.lit("win32"), F.lit("!linux")))
+    return f.fx_version.withColumns({"os": os, "cpu": F.array(F.lit("arm64"), F.lit("x64")), "libc": F.lit(None).cast("array<string>")})
+
+
+@query(f"""WITH {_FITTED} SELECT pkg, spec, pkg AS target, version, via FROM fitted UNION ALL SELECT pkg + 1000000, concat('npm:', CAST(pkg AS VARCHAR), '@', spec), pkg, version, via FROM fitted""")
 def j1_best_match_npm(f):
-    return M.best_match_npm(f.fx_dep.select(F.col("dep").alias("pkg"), "spec"), f.fx_version, f.fx_tag)
+    wanted = f.fx_dep.select(F.col("dep").alias("pkg"), "spec")
+    alias = wanted.select(F.col("pkg") + 1000000, F.concat(F.lit("npm:"), "pkg", F.lit("@"), "spec"))
+    return M.best_match_npm(wanted.union(alias), for_platform(f), f.fx_tag, M.platform_fits())
 
 
 @query("""WITH req AS (SELECT DISTINCT pkg AS root, dep AS name, CASE pkg % 2 WHEN 0 THEN 20000 ELSE 1000000 END AS lo FROM fx_dep),
-fit AS (SELECT root, name, version, ord, pre, bool_or(NOT pre) OVER (PARTITION BY root, name) AS stable FROM req JOIN ver ON ver.pkg = name WHERE NOT yanked AND ord // 100 * 100 >= lo AND ord // 100 < 20000 AND (ord // 100 > lo // 100 OR NOT pre))
-SELECT root, name, replace(version, '-rc.', 'rc') AS version, CAST(row_number() OVER (PARTITION BY root, name ORDER BY ord DESC) AS BIGINT) AS rank FROM fit WHERE NOT pre OR NOT stable""")
+fit AS (SELECT root, name, version, ord FROM req JOIN ver ON ver.pkg = name WHERE NOT yanked AND NOT pre AND NOT (pkg % 3 = 0 AND deprecated) AND ord // 100 * 100 >= lo AND ord // 100 < 20000)
+SELECT root, name, version, CAST(row_number() OVER (PARTITION BY root, name ORDER BY ord DESC) AS BIGINT) AS rank FROM fit""")
 def j2_candidates_pip(f):
     s = "array<struct<op: string, version: string>>"
     low = F.when(F.col("pkg") % 2 == 0, "0.2").otherwise("1")
@@ -118,7 +147,9 @@ def j2_candidates_pip(f):
     second = F.array(F.struct(F.lit("<").alias("op"), F.lit("2").alias("version"))).cast(s)
     needs = f.fx_dep.select(F.col("pkg").alias("root"), F.col("dep").alias("name"), F.explode(F.array(first, second)).alias("specifiers"))
     versions = f.fx_version.select(F.col("pkg").alias("name"), F.replace(F.col("version"), F.lit("-rc."), F.lit("rc")).alias("version"), "yanked")
-    return M.candidates_pip(needs, versions)
+    # a third of the packages have no metadata of deprecated versions
+    known = f.fx_version.filter("NOT (pkg % 3 = 0 AND deprecated)").select(F.col("pkg").alias("name"), F.replace(F.col("version"), F.lit("-rc."), F.lit("rc")).alias("version"))
+    return M.candidates_pip(needs, versions, known)
 
 
 @query("""WITH chosen AS (SELECT pkg, max_by(version, ord) AS version FROM ver WHERE pkg % 5 <> 0 GROUP BY pkg)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.versions import canonical_name
@@ -10,6 +10,19 @@ from ..functions.versions import canonical_name
 _LINES = r"\r?\n"
 
 
+def text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Whole files (source_path, text) of a folder, a pattern or a list of paths; .gz files are unpacked."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
+
+
+def read_inventory_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """`read_inventory` of files, each in the format that its suffix names (.json, .jsonl or .ndjson, else lines of text), before .gz."""
+    files = text_files(spark, path)
+    name = F.regexp_replace(F.lower("source_path"), r"\.gz$", "")
+    json, lines = name.endswith(".json"), name.rlike(r"\.(jsonl|ndjson)$")
+    return read_inventory(files.filter(json), "json").unionByName(read_inventory(files.filter(lines), "jsonl")).unionByName(read_inventory(files.filter(~json & ~lines), "text"))
+
+
 def read_spec_list(files: DataFrame, ecosystem: str = "npm") -> DataFrame:
     """files (source_path, text): key, source_path, source_line of each first spec; blank lines and comments go.
 
@@ -228,26 +241,49 @@ def read_pyproject(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.select(*keys, "text").mapInPandas(run, schema)
 
 
+def _table(value) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _texts(value) -> list[str]:
+    return [x for x in value if isinstance(x, str)] if isinstance(value, list) else []
+
+
+def poetry_version(text: str) -> str:
+    """A version constraint of poetry as specifiers: a caret is ~=, a bare version ==, which has a dot at least; * goes."""
+    text = text.strip()
+    if text in ("", "*"):
+        return ""
+    text = "~=" + text[1:] if text[0] == "^" else text if text[0] in "<>=!~" else "==" + text
+    if text.startswith("==") and "." not in text:
+        text += ".0"
+    return text.replace("*", "")
+
+
 def pyproject_requirements(text: str | None) -> list[str]:
+    """Requirements of a pyproject.toml, each once; what isn't of the expected kind is passed over, as is text that isn't TOML.
+
+    An optional package of poetry has a row for each extra that lists it, and one
+    without a marker where none does.
+    """
     import tomllib
 
     try:
         data = tomllib.loads(text or "")
     except tomllib.TOMLDecodeError:
         return []
-    project, poetry = data.get("project", {}), data.get("tool", {}).get("poetry", {})
-    out = list(project.get("dependencies", []))
-    for extra, rows in project.get("optional-dependencies", {}).items():
-        out += [f"{r} and extra == '{extra}'" if ";" in r else f"{r}; extra == '{extra}'" for r in rows]
-    extras = {name: extra for extra, names in poetry.get("extras", {}).items() for name in names}
-    for name, spec in poetry.get("dependencies", {}).items():
-        if name == "python":
+    project, poetry = _table(data.get("project")), _table(_table(data.get("tool")).get("poetry"))
+    out = _texts(project.get("dependencies"))
+    for extra, rows in _table(project.get("optional-dependencies")).items():
+        out += [f"{r} and extra == '{extra}'" if ";" in r else f"{r}; extra == '{extra}'" for r in _texts(rows)]
+    extras = {extra: _texts(names) for extra, names in _table(poetry.get("extras")).items()}
+    for name, spec in _table(poetry.get("dependencies")).items():
+        version = spec.get("version") if isinstance(spec, dict) else spec
+        if name == "python" or not isinstance(version, str):
             continue
-        version = spec.get("version", "*") if isinstance(spec, dict) else spec
-        version = "" if version == "*" else f"~={version[1:]}" if version.startswith("^") else version if version[:1] in "<>=!~" else f"=={version}"
-        optional = isinstance(spec, dict) and spec.get("optional")
-        out.append(f"{name}{version}" + (f"; extra == '{extras[name]}'" if optional and name in extras else ""))
-    return out
+        listed = [e for e, names in extras.items() if name in names] if isinstance(spec, dict) and spec.get("optional") is True else []
+        out += [f"{name}{poetry_version(version)}; extra == '{e}'" for e in listed] or [f"{name}{poetry_version(version)}"]
+    return list(dict.fromkeys(out))
 
 
 #: Files that may declare dependencies, in order of preference.
@@ -268,11 +304,14 @@ _EVENT = "struct<seq: string, id: string, changes: array<struct<rev: string>>, d
 
 
 def read_change_feed(batches: DataFrame, column: str = "doc") -> DataFrame:
-    """batches (batch_id, doc): batch_id, pos, seq, name, rev (the last), deleted, last_seq; items without an id go."""
+    """batches (batch_id, doc): batch_id, pos, seq, name, rev (the last), deleted, last_seq; items without an id go.
+
+    `page` is the number that the page's last_seq begins with, by which pages of one batch are in order.
+    """
     rows = batches.select("batch_id", F.from_json(column, _FEED).alias("f"))
     items = rows.select("batch_id", F.col("f.last_seq").alias("last_seq"), F.posexplode("f.results").alias("pos", "item"))
     items = items.withColumn("e", F.from_json("item", _EVENT)).filter("e IS NOT NULL AND trim(coalesce(e.id, '')) <> ''")
-    return items.select("batch_id", F.col("pos").cast("bigint").alias("pos"), "e.seq", F.trim("e.id").alias("name"), F.try_element_at("e.changes", F.lit(-1))["rev"].alias("rev"), F.coalesce("e.deleted", F.lit(False)).alias("deleted"), "last_seq")
+    return items.select("batch_id", F.col("pos").cast("bigint").alias("pos"), "e.seq", F.trim("e.id").alias("name"), F.try_element_at("e.changes", F.lit(-1))["rev"].alias("rev"), F.coalesce("e.deleted", F.lit(False)).alias("deleted"), "last_seq", F.regexp_extract("last_seq", r"^(\d+)", 1).try_cast("bigint").alias("page"))
 
 
 def decode_list(text: Column) -> Column:

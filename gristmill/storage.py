@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one is made only where none is set, as in local tests."""
-    context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-def step(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: cuts the plan, and outlives the executors that made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The cluster's checkpoint folder; where none is set, as in local runs, the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+class Parts:
+    """A table that a loop writes in parts, one Parquet folder each, in the shared folder.
+
+    A part is written once, with the number of its rows counted on the way, and
+    outlives the executors that made it; `rows` reads all of them. `drop` deletes
+    what the loop no longer needs; parts behind a result stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+        self.schema = None
+
+    def add(self, df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+        """Writes a part; returns it as read again, and its number of rows (those where `counted` holds, if given)."""
+        seen, path = Observation(), f"{self.base}/{len(self.paths):06d}"
+        df.observe(seen, F.count_if(F.lit(True) if counted is None else counted).alias("n")).write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(path), seen.get.get("n") or 0
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def drop(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def replace(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Writes the next state of a table that shrinks or changes, and deletes the one before."""
+        old, self.paths = self.paths, []
+        self.base = f"{self.base.rsplit('-', 1)[0]}-{uuid.uuid4().hex}"
+        out = self.add(df)
+        for path in old:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: cuts the plan, and outlives the executors that made it."""
+    return Parts(df.sparkSession, name).add(df)[0]

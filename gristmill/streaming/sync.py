@@ -20,9 +20,9 @@ TOMBSTONES = "name string, rev string, deleted_seq string, reason string"
 MANIFEST = "batch_id bigint, last_seq string, path string, input bigint, requested bigint, fetched bigint, updated bigint, skipped bigint, deleted bigint"
 
 
-def change_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Landed feed pages, one JSON document a file; Spark's checkpoint is the place in the feed."""
-    return spark.readStream.schema("doc string").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder).withColumnRenamed("value", "doc")
+def change_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, whole: bool = True) -> DataFrame:
+    """Landed feed pages, one JSON document a file (a line, if not `whole`); Spark's checkpoint is the place in the feed."""
+    return spark.readStream.schema("doc string").option("wholetext", whole).option("maxFilesPerTrigger", files_per_batch).text(folder).withColumnRenamed("value", "doc")
 
 
 def decide(events: DataFrame, packages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def decide(events: DataFrame, packages: DataFrame, documents: DataFrame) -> Data
     skipped: the stored revision is that of the feed, or of the document that came;
     delete: the feed says so, or no document landed; error: fetching failed.
     """
-    last = dedupe(events.select("name", "pos", "seq", "rev", "deleted"), ["name"], "last")
+    place = F.struct("page", "pos") if "page" in events.columns else F.col("pos")
+    last = dedupe(events.select("name", place.alias("pos"), "seq", "rev", "deleted"), ["name"], "last")
     rows = last.join(packages.select("name", F.col("rev").alias("stored")), "name", "left").join(documents, "name", "left")
     known = F.col("stored").isNotNull()
     own = F.coalesce("doc_rev", "rev")
@@ -86,25 +87,27 @@ class Index:
             return
         numbered = pages.withColumn("batch_id", F.lit(batch_id))
         events = read_change_feed(numbered, "doc").persist()
-        token = events.agg(F.max_by("last_seq", "pos")).first()[0] or (last["last_seq"] if last else None)
+        token = events.agg(F.max_by("last_seq", F.struct("page", "pos"))).first()[0] or (last["last_seq"] if last else None)
         packages, tombstones = self.tables()
         decided = decide(events, packages, documents).persist()
-        counts = batch_counts(events, decided).first()
-        if counts["errors"]:
-            raise RuntimeError(f"{counts['errors']} documents could not be fetched; batch {batch_id} is left for another try")
-        records, gone = split(decided)
-        new_packages, new_tombstones = apply_sync_batch(packages, tombstones, records, gone)
-        path = f"{self.base}/batch-{batch_id:08d}"
-        new_packages.write.mode("overwrite").parquet(f"{path}/packages")
-        new_tombstones.write.mode("overwrite").parquet(f"{path}/tombstones")
-        row = (batch_id, token, path, *(counts[c] for c in ("input", "requested", "fetched", "updated", "skipped", "deleted")))
-        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.base}/manifest")
-        events.unpersist()
-        decided.unpersist()
-
-
-def follow(spark: SparkSession, feed: str, base: str, documents, checkpoint: str, once: bool = True, poll: str = "30 seconds", files_per_batch: int = 1):
+        try:
+            counts = batch_counts(events, decided).first()
+            if counts["errors"]:
+                raise RuntimeError(f"{counts['errors']} documents could not be fetched; batch {batch_id} is left for another try")
+            records, gone = split(decided)
+            new_packages, new_tombstones = apply_sync_batch(packages, tombstones, records, gone)
+            path = f"{self.base}/batch-{batch_id:08d}"
+            new_packages.write.mode("overwrite").parquet(f"{path}/packages")
+            new_tombstones.write.mode("overwrite").parquet(f"{path}/tombstones")
+            row = (batch_id, token, path, *(counts[c] for c in ("input", "requested", "fetched", "updated", "skipped", "deleted")))
+            self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.base}/manifest")
+        finally:
+            events.unpersist()
+            decided.unpersist()
+
+
+def follow(spark: SparkSession, feed: str, base: str, documents, checkpoint: str, once: bool = True, poll: str = "30 seconds", files_per_batch: int = 1, whole: bool = True):
     """Runs the feed into the index: all that is there (`once`), or on and on. documents() gives what has landed."""
     index = Index(spark, base)
-    writer = change_stream(spark, feed, files_per_batch).writeStream.foreachBatch(lambda pages, i: index.apply(pages, i, documents())).option("checkpointLocation", checkpoint)
+    writer = change_stream(spark, feed, files_per_batch, whole).writeStream.foreachBatch(lambda pages, i: index.apply(pages, i, documents())).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
