@@ -12,11 +12,18 @@ def _values(rows) -> str:
 
 
 def _license_sql() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    form = "p"
+    for pattern, becomes in licenses.NOTICE:
+        form = f"regexp_replace({form}, '{quoted(pattern)}', '{becomes.replace('$', chr(92))}')"
+
+    def sentences(text: str) -> str:
+        return f"""(SELECT r, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS p FROM (SELECT r, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (
+            SELECT r, string_split(regexp_replace(regexp_replace({text}, '{quoted(licenses.SPDX)}', '\\1 ', 'g'), '([.!?:;])[ \t\r]+', '\\1\n', 'g'), '\n') AS l FROM docs)) WHERE regexp_matches(s, '{licenses.ANCHORS}'))"""
+
     def marks(text: str) -> str:
-        return f"""(SELECT coalesce(string_agg('<' || k.id || '>', '' ORDER BY p.i), '') FROM (
-            SELECT unnest(l.s) AS s, generate_subscripts(l.s, 1) AS i FROM (
-                SELECT string_split(regexp_replace({text}, '([.!?:;])[ \t\r]+', '\\1\n', 'g'), '\n') AS s) l) p
-            JOIN known k ON k.sentence = trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')))"""
+        return f"""(SELECT r, string_agg('<' || coalesce(k.id, n.id) || '>', '' ORDER BY i) AS m FROM (SELECT r, i, p, {form} AS f FROM {sentences(text)}) x
+            LEFT JOIN known k ON k.sentence = x.p LEFT JOIN known n ON n.sentence = x.f WHERE coalesce(k.id, n.id) IS NOT NULL GROUP BY r)"""
 
     pattern = licenses.sequence_pattern().replace("'", "''")
     rules = _values(("".join(f"<{s}>" for s in ids), name) for name, ids in licenses.RULES)
@@ -24,7 +31,8 @@ def _license_sql() -> str:
 WITH known(id, sentence) AS (VALUES {_values(licenses.SENTENCES.items())}),
 rules(marks, name) AS (VALUES {rules}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-seq AS (SELECT r, doc_id, {marks("docs.text")} AS a, {marks("regexp_replace(regexp_replace(docs.text, '\n[ \t\r]*\n', '. ', 'g'), '[ \t\r]*\n[ \t\r]*', ' ', 'g')")} AS b FROM docs),
+seq AS (SELECT docs.r, doc_id, coalesce(x.m, '') AS a, coalesce(y.m, '') AS b FROM docs LEFT JOIN {marks("text")} x ON x.r = docs.r
+    LEFT JOIN {marks("regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', '. ', 'g'), '[ \t\r]*\n[ \t\r]*', ' ', 'g')")} y ON y.r = docs.r),
 found AS (SELECT r, unnest(list_concat(regexp_extract_all(a, '{pattern}', 1), regexp_extract_all(b, '{pattern}', 1))) AS marks FROM seq),
 named AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM found JOIN rules USING (marks) GROUP BY r)
 SELECT doc_id, a AS sentence_ids, coalesce(licenses, '') AS licenses, CAST(length(a) - length(replace(a, '<', '')) AS BIGINT) AS n_known
