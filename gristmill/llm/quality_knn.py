@@ -7,8 +7,10 @@ vectors, at most `MAX_PER_CLASS` for each label, are broadcast; every document's
 cosines to all of them are computed exactly, in blocks, and the `NEIGHBOURS`
 nearest vote with their similarity as weight.
 
-Defined results: null and empty texts, whose vector is zero, score by the shapes
-they don't have, that is the share of label 1 in the sample; rows with null or
+Defined results: texts without a word (null, empty, white space alone) have no
+vector, hence no neighbours, and score the share of label 1 among the labelled
+rows, as does a text that no neighbour is similar to; of neighbours that are
+equally near the first by the hash order of the sample count; rows with null or
 repeated doc_id are scored each for itself; with no labelled rows all score 0.5.
 """
 
@@ -86,11 +88,18 @@ class Model:
         out = np.empty(t.n)
         own = _unit((features(t) * self.idf) @ self.basis)
         k = min(NEIGHBOURS, len(self.labels))
+        worded = np.diff(t.spans(K.NOT_SPACE)[2]) > 0
         for lo in range(0, t.n, block):
             cosines = own[lo : lo + block] @ self.vectors
             near = np.argpartition(cosines, -k, axis=1)[:, -k:]
+            least = np.take_along_axis(cosines, near, 1).min(1)
+            # where others are as near as the last of these, the first of them in the sample's order count
+            for i in np.flatnonzero((cosines >= least[:, None]).sum(1) > k):
+                above, equal = np.flatnonzero(cosines[i] > least[i]), np.flatnonzero(cosines[i] == least[i])
+                near[i] = np.concatenate([above, equal[: k - len(above)]])
             weight = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** 8
-            total = weight.sum(1)
+            weight[~worded[lo : lo + block]] = 0
+            total = weight.sum(1, dtype=float)
             out[lo : lo + block] = np.where(total > 0, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0, 1)
 
