@@ -11,6 +11,12 @@ whole text, exactly: all texts of a piece form one chain, cut at text starts by
 transitions that forget, and evaluated in blocks. A text's language is the label
 with the largest mean probability over its words; the mean is the score.
 
+`label_words` gives the labels themselves, as spans of neighbouring words of one
+label: the switches of code-switched text.
+
+At most `MAX_LANGUAGES` languages are learnt; more raise. The words trained on grow
+with their number.
+
 Defined results: `und` with score 0 for texts that are null or have no letter;
 rows with null or repeated doc_id are labelled each for itself; rows with a null
 lang aren't learnt from; with nothing to learn from all texts are `und`.
@@ -30,8 +36,9 @@ from .sampling import remainder
 
 #: Rows that are learnt from: about so many for each language, and in all.
 ROWS_PER_LANGUAGE, MAX_ROWS = 300, 6000
-#: Words of the spliced chains.
-TRAIN_WORDS = 60_000
+#: Words of the spliced chains, at least and for each language.
+TRAIN_WORDS, WORDS_PER_LANGUAGE = 60_000, 2_000
+MAX_LANGUAGES = 500
 BUCKETS = 1 << 15
 ROUNDS = 30
 BLOCK = 64
@@ -178,14 +185,30 @@ class Crf:
             move_squares += step**2
             self.moves += (rate * step / np.sqrt(move_squares)).astype(np.float32)
 
-    def label_texts(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Label number (-1: no words) and score for each text."""
+    def words(self, t: K.Texts) -> tuple[Words, np.ndarray]:
+        """The words of some texts and the label probabilities of each."""
         w = Words(t)
-        p = self.marginals(self.emissions(w), w.new_text())
+        return w, self.marginals(self.emissions(w), w.new_text())
+
+    def spans(self, w: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of words of one text with one most likely label: first word, word after the last, label, mean probability; in order."""
+        best, n = p.argmax(1), len(p)
+        new = w.new_text()
+        new[1:] |= best[1:] != best[:-1]
+        first = np.flatnonzero(new)
+        after = np.append(first[1:], n)[: len(first)]
+        sums = np.concatenate([[0.0], np.cumsum(p[np.arange(n), best])])
+        return first, after, best[first], (sums[after] - sums[first]) / (after - first)
+
+    def label_texts(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label number (-1: no words), score and number of spans for each text."""
+        w, p = self.words(t)
         sums = np.concatenate([np.zeros((1, len(self.labels))), np.cumsum(p, axis=0)])
         size = np.diff(w.firsts)
         mean = (sums[w.firsts[1:]] - sums[w.firsts[:-1]]) / np.maximum(size, 1)[:, None]
-        return np.where(size > 0, mean.argmax(1), -1), np.clip(mean.max(1), 0, 1)
+        first = self.spans(w, p)[0]
+        n_spans = np.diff(np.searchsorted(first, w.firsts))
+        return np.where(size > 0, mean.argmax(1), -1), np.clip(mean.max(1), 0, 1), n_spans
 
 
 def splice(texts: list[str], of: np.ndarray, words: int = TRAIN_WORDS, seed: int = 5) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -217,7 +240,9 @@ def splice(texts: list[str], of: np.ndarray, words: int = TRAIN_WORDS, seed: int
 def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most: int = MAX_ROWS, folds: int = 4, held_out: int = 2) -> Crf | None:
     """Learns from a bounded sample: rows picked by a hash of the id, about `per_language` of each language."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     if not counts:
         return None
     each = max(1, min(per_language, most // len(counts)))
@@ -228,7 +253,7 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most: int = MAX_
     if not labels:
         return None
     model = Crf(labels)
-    w, new, truth = splice([r["text"] for r in rows], np.array([labels.index(r["lang"]) for r in rows]))
+    w, new, truth = splice([r["text"] for r in rows], np.array([labels.index(r["lang"]) for r in rows]), max(TRAIN_WORDS, WORDS_PER_LANGUAGE * len(labels)))
     if len(w):
         model.fit(w, new, truth)
     return model
@@ -239,27 +264,53 @@ def _predict(model):
         crf = model.value
         names = np.array([*crf.labels, "und"], object)
         for batch in batches:
-            at, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+            at, scores, spans = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
             for t in K.texts(batch.column(1)):
-                a, s = crf.label_texts(t)
-                at.append(a)
-                scores.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names[np.concatenate(at)], pa.string()), pa.array(np.concatenate(scores))], ["doc_id", "lettered", "label", "p"])
+                for out, values in zip((at, scores, spans), crf.label_texts(t)):
+                    out.append(values)
+            columns = [pa.array(names[np.concatenate(at)], pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(spans).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "lettered", "label", "p", "n_spans"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Crf | None, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs."""
+    """doc_id, held_out, lang_pred, score, n_spans (runs of words of one language) for each row of docs."""
     out = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if model is None:
-        out = out.select("doc_id", "lettered", F.lit("und").alias("label"), F.lit(0.0).alias("p"))
+        out = out.select("doc_id", "lettered", F.lit("und").alias("label"), F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("n_spans"))
     else:
         kind = docs.schema["doc_id"].dataType.simpleString()
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        out = out.mapInArrow(_predict(shared), f"doc_id {kind}, lettered boolean, label string, p double")
+        out = out.mapInArrow(_predict(shared), f"doc_id {kind}, lettered boolean, label string, p double, n_spans long")
     known = F.col("lettered") & (F.col("label") != "und")
     return out.select(
         "doc_id", (remainder(F.col("doc_id"), folds) == held_out).alias("held_out"),
-        F.when(known, F.col("label")).otherwise("und").alias("lang_pred"), F.when(known, F.col("p")).otherwise(0.0).alias("score"),
+        F.when(known, F.col("label")).otherwise("und").alias("lang_pred"), F.when(known, F.col("p")).otherwise(0.0).alias("score"), F.when(known, F.col("n_spans")).otherwise(0).alias("n_spans"),
     )
+
+
+SPAN = "lang: string, first_word: bigint, n_words: bigint, p: double"
+
+
+def _label(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = model.value
+        for batch in batches:
+            for t in K.texts(batch.column(1)):
+                w, p = crf.words(t)
+                first, after, label, mean = crf.spans(w, p)
+                cut = np.searchsorted(first, w.firsts)
+                start = first - np.repeat(w.firsts[:-1], np.diff(cut))
+                fields = [pa.array(np.array(crf.labels, object)[label], pa.string()), pa.array(start.astype(np.int64)), pa.array((after - first).astype(np.int64)), pa.array(mean.astype(float))]
+                spans = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays(fields, ["lang", "first_word", "n_words", "p"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.n), spans], ["doc_id", "spans"])
+
+    return run
+
+
+def label_words(docs: DataFrame, model: Crf) -> DataFrame:
+    """doc_id, spans for each row of docs: runs of words (of letters, counted from 0) of one language, in order."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select("doc_id", "text").mapInArrow(_label(shared), f"doc_id {kind}, spans array<struct<{SPAN}>>")
