@@ -17,8 +17,10 @@ t = 0.8, plus the tolerance. No bucket, block or number of partners is capped.
 
 Defined results: texts with fewer than n words, but not none, have their words as
 their only n-gram; texts without words (null, empty) are linked to nothing. Rows
-with a null doc_id count as one document, as do rows that repeat a doc_id: the
-one is linked where any of its texts is. Other columns are ignored.
+that repeat a doc_id are one document, linked where any of its texts is. Rows with
+a null doc_id are one document for each text; they come after all others (doc_ids
+are taken to be below 2^62), and a class of them alone has a null class_id. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ BLOCK = 256
 BLOCK_GRAMS = 1 << 20
 #: Documents to verify whose ids are broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 250_000
-NULL_ID = -(1 << 63)
+#: Rows with a null id get one from here on, by a hash of their text.
+NO_ID = 1 << 62
 _MULTIPLIERS = K.mix(np.arange(1, HASHES + 1, dtype=K.U) * K.U(0xC2B2AE3D27D4EB4F)) | K.U(1)
 SKETCH = "id long, set_a long, set_b long, n_grams long, buckets binary, low binary"
 
@@ -276,7 +279,8 @@ def _two_blocks(rows: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, class_id (smallest id of its group), copy_of (smallest id with the same n-grams), n_links (documents linked to it)."""
-    ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    own = F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
+    ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), own).alias("id"), F.col(f"`{text}`").alias("text"))
     scratch = Scratch(docs.sparkSession)
     sketches = scratch.written(ids.mapInArrow(_sketch(n), SKETCH), "sketches")
     classes = sketches.filter("n_grams > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
@@ -311,7 +315,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
 
     out = sketches.select("id", "set_a", "set_b", "n_grams").join(judged, ["set_a", "set_b"], "left")
     alone = F.col("n_grams") == 0
-    shown = lambda c: F.when(c != NULL_ID, c)
+    shown = lambda c: F.when(c < NO_ID, c)
     rep = F.when(alone, F.col("id")).otherwise(F.col("rep"))
     out = out.select(
         shown(F.col("id")).alias("doc_id"),
