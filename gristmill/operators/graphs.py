@@ -430,8 +430,8 @@ def effective_poms(poms: DataFrame, properties: DataFrame) -> DataFrame:
     while n:
         filled, _ = state.replace(rows.select("gav", "first", "p", F.transform_values("p", lambda k, v: fill(F.col("first"), v)).alias("q"), (F.col("rounds") + 1).alias("rounds")))
         moves, last = F.map_values("p") != F.map_values("q"), F.col("rounds") > F.size("first")
-        unmoved = F.transform(F.arrays_zip(F.map_values("p").alias("p"), F.map_values("q").alias("q"), F.map_values("first").alias("f")), lambda x: F.when(x["p"] == x["q"], x["q"]).otherwise(x["f"]))
-        settled = F.when(moves, F.map_from_arrays(F.map_keys("q"), unmoved)).otherwise(F.col("q"))
+        unmoved = F.transform(F.arrays_zip(F.map_values("p").alias("p"), F.map_values("q").alias("q"), F.map_values("first").alias("f")), lambda x: F.when((x["p"] == x["q"]) & (F.length(x["q"]) <= LONGEST_VALUE), x["q"]).otherwise(x["f"]))
+        settled = F.map_from_arrays(F.map_keys("q"), unmoved)
         done.add(filled.filter(~moves | last).select("gav", settled.alias("p")))
         rows = filled.filter(moves & ~last).select("gav", "first", F.col("q").alias("p"), "rounds")
         n = 0 if rows.isEmpty() else 1
