@@ -35,8 +35,6 @@ from .storage import Scratch
 
 GRAM = 5
 WORD = K.ALNUM
-#: The same words for the JVM.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -123,6 +121,13 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "run", "begin"])
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of words of the last column, the text."""
+    for batch in batches:
+        n = [np.zeros(0, np.int64), *(np.diff(t.spans(WORD)[2]) for t in K.texts(batch.column(batch.num_columns - 1)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n))], [*batch.schema.names, "words"])
+
+
 def _covered(spans):
     """How many words spans (begin, n) cover together."""
     start = F.struct(F.lit(0).cast("long").alias("until"), F.lit(0).cast("long").alias("total"))
@@ -140,8 +145,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text"))
     windows = scratch.written(items.mapInArrow(_item_windows(window), "item string, n int, run long, fingerprint long").distinct(), "benchmark-windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
-    columns = others(docs, "n_words", "n_hit", "items", "hit_spans")
-    rows = private(docs, columns, key=F.unhex(F.md5(F.col(f"`{text}`"))), words=F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORDS)), F.lit(0)).cast("long"))
+    columns = others(docs, "n_words", "n_hit", "items", "hit_spans", text)
+    rows = private(docs, columns, key=F.unhex(F.md5(F.col(f"`{text}`"))), text=F.col(f"`{text}`"))
+    schema = type(rows.schema)(list(rows.schema.fields)).add("words", "long")
+    rows = rows.mapInArrow(_count_words, schema)
     texts = docs.select(F.unhex(F.md5(F.col(f"`{text}`"))).alias("key"), F.col(f"`{text}`").alias("text"))
 
     own = texts.mapInArrow(_fingerprints(lengths), "key binary, n int, fingerprint long")
@@ -158,8 +165,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     scratch.drop(windows, hits, runs)
 
     out = rows.join(found, "key", "left")
+    place = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(columns)} | {text: F.col("text").alias(text)}
     return out.select(
-        *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)),
+        *(place[c] for c in docs.columns if c in place),
         F.col("words").alias("n_words"),
         F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("found", F.array().cast("array<string>")).alias("items"),
