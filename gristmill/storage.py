@@ -14,6 +14,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Parts:
     """A table that a loop writes in parts, one Parquet folder each, in the shared folder.
 
@@ -39,8 +44,7 @@ class Parts:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
     def drop(self) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(self.spark, self.base)
 
     def replace(self, df: DataFrame) -> tuple[DataFrame, int]:
         """Writes the next state of a table that shrinks or changes, and deletes the one before."""
@@ -48,8 +52,7 @@ class Parts:
         self.base = f"{self.base.rsplit('-', 1)[0]}-{uuid.uuid4().hex}"
         out = self.add(df)
         for path in old:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            delete(self.spark, path)
         return out
 
 

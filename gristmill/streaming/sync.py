@@ -1,23 +1,26 @@
 """Keeping an index up to date from a change feed.
 
 A micro-batch is decided as a whole: it is deduplicated, unchanged revisions are
-skipped, documents that landed become records and missing ones tombstones. What
-comes out is written as one snapshot folder, and a manifest with the batch id and
-the feed's token last of all; readers follow the manifest, so that a batch that
-fails leaves no trace, and one that is run again is not applied twice.
+skipped, documents that landed become records and missing ones tombstones. Only
+what changed is written, as one folder, which takes in the folders before it that
+are no larger: a state of any size is some folders of falling size, and a change
+is written again about as often as the state doubles. A manifest with the batch
+id, the folders and the feed's token comes last of all; readers follow it, so that
+a batch that fails leaves no trace, and one that is run again is not applied twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import apply_sync_batch, dedupe
+from ..operators.tables import dedupe
 from ..sources.documents import read_change_feed
+from ..storage import delete
 
-PACKAGES = "name string, rev string, doc string"
-TOMBSTONES = "name string, rev string, deleted_seq string, reason string"
-MANIFEST = "batch_id bigint, last_seq string, path string, input bigint, requested bigint, fetched bigint, updated bigint, skipped bigint, deleted bigint"
+#: A name's latest change: a record, or, with a reason, a tombstone.
+CHANGES = "name string, batch_id bigint, rev string, doc string, deleted_seq string, reason string"
+MANIFEST = "batch_id bigint, last_seq string, folders array<struct<path: string, rows: bigint>>, input bigint, requested bigint, fetched bigint, updated bigint, skipped bigint, deleted bigint"
 
 
 def change_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, whole: bool = True) -> DataFrame:
@@ -57,8 +60,13 @@ def batch_counts(events: DataFrame, decided: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("input")).crossJoin(counts)  # one row each
 
 
+def latest(changes: DataFrame, *columns: str) -> DataFrame:
+    """The last change of each name, with its name and these columns."""
+    return changes.groupBy("name").agg(F.max_by(F.struct(*columns), "batch_id").alias("c")).select("name", "c.*")
+
+
 class Index:
-    """Snapshots below a folder, and their manifest."""
+    """Folders of changes below a base, and their manifest."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
@@ -74,37 +82,68 @@ class Index:
     def last(self):
         return self.manifest().orderBy(F.desc("batch_id")).first()
 
-    def tables(self) -> tuple[DataFrame, DataFrame]:
+    def _read(self, folders: list) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).parquet(*(f["path"] for f in folders))
+
+    def changes(self) -> DataFrame:
         last = self.last()
-        if last is None:
-            return self.spark.createDataFrame([], PACKAGES), self.spark.createDataFrame([], TOMBSTONES)
-        return self.spark.read.schema(PACKAGES).parquet(f"{last['path']}/packages"), self.spark.read.schema(TOMBSTONES).parquet(f"{last['path']}/tombstones")
+        return self._read(last["folders"] if last else [])
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """packages (name, rev, doc) and tombstones (name, rev, deleted_seq, reason)."""
+        changes = self.changes()
+        packages = latest(changes, "rev", "doc", "reason").filter("reason IS NULL").drop("reason")
+        return packages, latest(changes, "rev", "deleted_seq", "reason").filter("reason IS NOT NULL")
 
     def apply(self, pages: DataFrame, batch_id: int, documents: DataFrame) -> None:
-        """One micro-batch of feed pages; raises if any fetch failed, with nothing written."""
+        """One micro-batch of feed pages; raises if any fetch failed, with nothing written. Pages without events leave the token."""
         last = self.last()
         if last is not None and last["batch_id"] >= batch_id:
             return
-        numbered = pages.withColumn("batch_id", F.lit(batch_id))
-        events = read_change_feed(numbered, "doc").persist()
+        folders = list(last["folders"]) if last else []
+        events = read_change_feed(pages.withColumn("batch_id", F.lit(batch_id)), "doc").persist()
         token = events.agg(F.max_by("last_seq", F.struct("page", "pos"))).first()[0] or (last["last_seq"] if last else None)
-        packages, tombstones = self.tables()
-        decided = decide(events, packages, documents).persist()
+        # revisions are looked up for the names of the batch alone, without documents
+        stored = self._read(folders).select("name", "batch_id", "rev", "reason").join(events.select("name").distinct(), "name", "left_semi")
+        decided = decide(events, latest(stored, "rev", "reason").filter("reason IS NULL"), documents).persist()
         try:
             counts = batch_counts(events, decided).first()
             if counts["errors"]:
                 raise RuntimeError(f"{counts['errors']} documents could not be fetched; batch {batch_id} is left for another try")
-            records, gone = split(decided)
-            new_packages, new_tombstones = apply_sync_batch(packages, tombstones, records, gone)
-            path = f"{self.base}/batch-{batch_id:08d}"
-            new_packages.write.mode("overwrite").parquet(f"{path}/packages")
-            new_tombstones.write.mode("overwrite").parquet(f"{path}/tombstones")
-            row = (batch_id, token, path, *(counts[c] for c in ("input", "requested", "fetched", "updated", "skipped", "deleted")))
+            rows = counts["updated"] + counts["deleted"]
+            if rows:
+                records, gone = split(decided)
+                new = records.unionByName(gone, allowMissingColumns=True).withColumn("batch_id", F.lit(batch_id).cast("long"))
+                folders.append(self._write(new, rows, batch_id, folders))
+            row = (batch_id, token, [(f["path"], f["rows"]) for f in folders], *(counts[c] for c in ("input", "requested", "fetched", "updated", "skipped", "deleted")))
             self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.base}/manifest")
         finally:
             events.unpersist()
             decided.unpersist()
 
+    def _write(self, new: DataFrame, rows: int, batch_id: int, folders: list) -> dict:
+        """Writes the changes and those of the last folders that are no larger, which leave the list."""
+        smaller = []
+        while folders and folders[-1]["rows"] <= rows:
+            smaller.append(folders.pop())
+            rows += smaller[-1]["rows"]
+        columns = [f.name for f in self._read([]).schema]
+        new = new.select(*columns)
+        if smaller:
+            new = latest(self._read(smaller).unionByName(new), *columns[1:])
+        seen, path = Observation(), f"{self.base}/batch-{batch_id:08d}"
+        new.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+        return {"path": path, "rows": seen.get["n"]}
+
+    def vacuum(self, keep: int = 10) -> None:
+        """Deletes the folders that none of the last `keep` batches lists; for when no reader is older than these."""
+        batches = self.manifest().withColumn("n", F.row_number().over(Window.orderBy(F.desc("batch_id"))))
+        listed = batches.select("n", F.explode("folders.path").alias("path")).groupBy("path").agg(F.min("n").alias("n"))
+        for row in listed.filter(F.col("n") > keep).toLocalIterator():
+            delete(self.spark, row["path"])
+
 
 def follow(spark: SparkSession, feed: str, base: str, documents, checkpoint: str, once: bool = True, poll: str = "30 seconds", files_per_batch: int = 1, whole: bool = True):
     """Runs the feed into the index: all that is there (`once`), or on and on. documents() gives what has landed."""

@@ -132,6 +132,32 @@ def test_feed_into_index(spark, tmp_path):
     assert (index.last().last_seq, index.last().skipped) == ("7", 1)
 
 
+def test_index_writes_what_changed(spark, tmp_path):
+    """Folders of falling size; the same state as with one snapshot a batch; a batch run twice counts once."""
+    index, want = sync.Index(spark, str(tmp_path / "index")), {}
+    documents = spark.createDataFrame([(f"p{i}", None, f"doc {i}", None) for i in range(40) if i % 7], "name string, doc_rev string, doc string, error string")
+    assert [t.count() for t in index.tables()] == [0, 0]
+    batches = [range(20), range(3), [], range(1, 2), range(18, 25), [5], range(40), [39]]
+    for n, names in enumerate(batches):
+        items = ",".join(f'{{"seq":"{n}","id":"p{i}","changes":[{{"rev":"{n}-{i}"}}]{",\"deleted\":true" if (i + n) % 5 == 0 else ""}}}' for i in names)
+        pages = spark.createDataFrame([(f'{{"results":[{items}],"last_seq":"{n}"}}',)], "doc string")
+        index.apply(pages, n, documents)
+        index.apply(pages, n, documents)
+        for i in names:
+            gone = "deleted_in_feed" if (i + n) % 5 == 0 else None if i % 7 else "packument_not_found"
+            want[f"p{i}"] = f"{n}-{i}", gone
+        rows = [f["rows"] for f in index.last()["folders"]]
+        assert all(a > b for a, b in zip(rows, rows[1:]))
+        assert (index.last()["batch_id"], index.last()["last_seq"]) == (n, str(n) if names else str(n - 1))  # a page without events leaves the token
+        packages, tombstones = index.tables()
+        assert {r.name: (r.rev, r.doc) for r in packages.collect()} == {k: (r, f"doc {k[1:]}") for k, (r, gone) in want.items() if not gone}
+        assert {r.name: (r.rev, r.reason) for r in tombstones.collect()} == {k: v for k, v in want.items() if v[1]}
+    before = sorted(map(str, index.changes().collect()))
+    index.vacuum(keep=1)
+    assert sorted(map(str, index.changes().collect())) == before
+    assert sorted(p.name for p in (tmp_path / "index").glob("batch-*")) == sorted(f["path"].rsplit("/", 1)[1] for f in index.last()["folders"])
+
+
 def test_snapshot_pointer(spark, tmp_path):
     base = str(tmp_path / "s")
     tables.write_snapshot(spark.range(3), base, 1)
