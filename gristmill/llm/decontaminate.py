@@ -11,7 +11,8 @@ at that length.
 All of it is joins of narrow tables: texts are read, not moved, but for those with
 a hit, and nothing of the benchmark passes through the driver but the lengths of
 its runs (`window` numbers at most). Which side is broadcast, if any, is left to
-Spark, which knows the sizes. Texts are named by their MD5, so equal ones are
+Spark, which knows the sizes, but for the fingerprints that texts with hits have:
+these are counted first. Texts are named by their MD5, so equal ones are
 judged once. Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words and are never contaminated.
@@ -35,6 +36,10 @@ from .storage import Scratch
 
 GRAM = 5
 WORD = K.ALNUM
+#: Copies of one text with hits are dealt over so many tasks before one of them is kept.
+SALTS = 16
+#: So many fingerprints of texts with hits are broadcast at most; more are joined, by salted keys.
+BROADCAST_HITS = 1_000_000
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +159,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     own = texts.mapInArrow(_fingerprints(lengths), "key binary, n int, fingerprint long")
     hits = own.join(windows.select("n", "fingerprint").distinct(), ["n", "fingerprint"], "left_semi").distinct()
     hits = scratch.written(hits.groupBy("key").agg(F.collect_list(F.struct("n", "fingerprint")).alias("hits")), "fingerprint-hits")
-    near = texts.join(hits, "key").dropDuplicates(["key"]).select("key", "text", "hits")
+    near = texts.withColumn("salt", F.spark_partition_id() % SALTS)
+    if (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_HITS:
+        near = near.join(F.broadcast(hits), "key")
+    else:
+        near = near.join(hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
+    near = near.dropDuplicates(["key", "salt"]).dropDuplicates(["key"]).select("key", "text", "hits")
     runs = near.mapInArrow(_extended, "key binary, n int, run long, begin long").join(windows.select("n", "run").distinct(), ["n", "run"], "left_semi")
     runs = scratch.written(runs, "shared-runs")
     spans = runs.groupBy("key").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))

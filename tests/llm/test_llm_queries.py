@@ -246,7 +246,9 @@ def test_decontamination_edges(spark, odd, empty):
     assert decontaminate.find_contamination(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_winnowing_finds_every_shared_span(spark):
+@pytest.mark.parametrize("broadcast_hits", [1_000_000, 0])
+def test_winnowing_finds_every_shared_span(spark, monkeypatch, broadcast_hits):
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", broadcast_hits)
     rng = np.random.RandomState(3)
     vocabulary = [f"v{i}" for i in range(30)]
     say = lambda n: " ".join(rng.choice(vocabulary, n))
