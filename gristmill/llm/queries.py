@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_crf, licenses, line_dedup, mixing, ngram_join, quality_knn, quality_rules, toxicity, warc
+from . import conversations, decontaminate, language_crf, licenses, line_dedup, mixing, ngram_join, packing, quality_knn, quality_rules, resampling, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,29 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, seed=17)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    repair = conversations.Repair(conversations.damage(given))
+    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"])
+    ids, report, hashed = given.select("conv_id").distinct(), repair.report(), conversations.digests(repair.rows())
+    rows = ids.join(report, same(ids, report), "left").join(hashed, same(ids, hashed), "left")
+    count = lambda c: F.coalesce(report[c], F.lit(0).cast("long")).alias(c)
+    return rows.select(
+        ids["conv_id"], *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(packing.tokenize(table(spark, sf_dir, "documents").select("doc_id", "text")), capacity=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark"), percent=5, min_words=20, n=3, buckets=10_000, seed=42)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -80,4 +103,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix_sources": op10_mix_sources,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_packing": op12_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
