@@ -26,7 +26,9 @@ changes no id, as no token spans white space (other tokenizers: say `cut=None`).
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from bisect import bisect_right
 from collections import defaultdict, deque
 
@@ -40,8 +42,24 @@ from .columns import others, private, public
 from .storage import Scratch
 
 NEW = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-#: Words that a task remembers the ids of, and the longest ones that it does.
-CACHED_WORDS, LONGEST_CACHED = 1 << 17, 64
+#: Words, and pieces of words, that a task remembers the ids of, and the longest ones that it does.
+CACHED_WORDS, LONGEST_CACHED = 1 << 18, 32
+# How the default tokenizer normalises texts and cuts them to pieces. Apostrophes can begin a piece.
+PIPELINE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Words of Latin letters, digits and ASCII signs but for the apostrophe, and their pieces in lower case.
+SIMPLE = re.compile(r"[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
+PIECES = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^0-9a-z\u00DF-\u00F6\u00F8-\u00FF]+").findall
+#: Bytes that are no printable Latin-1 characters, as the letters that stand for them in byte-level vocabularies.
+_BYTE_LETTERS = {b: 289 + b - 127 for b in range(127, 161)} | {173: 323}
 #: Bytes of ids in one batch handed on.
 FLUSH = 1 << 22
 #: Rows of (task, length) offsets that are broadcast (24 MB); beyond it they are joined by a shuffle.
@@ -54,11 +72,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Table(dict):
+    """What `find` says of a text, kept for short ones up to a number of them."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[text] = found
+        return found
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    With `cut`, a class of characters that no token spans, texts are encoded by
-    what lies between them, and ids of short words are kept in a bounded table.
+    With `cut`, characters that no token spans, texts are encoded by the words
+    between them, and ids of short words are kept in a bounded table. For a tokenizer
+    that cuts as `PIPELINE` does, a word of Latin letters and ASCII signs is further
+    cut to runs of letters, digits, and runs of signs, which its model takes directly.
     """
 
     def __init__(self, path: str, cut: str | None = " \t\n\r"):
@@ -66,25 +105,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = re.compile(f"[^{cut}]+").findall if cut else lambda text: [text]
-        self.known: dict[str, bytes] = {}
+        given = json.loads(self.tokenizer.to_str())
+        self.simple = bool(cut) and all(json.dumps(given[k]) == json.dumps(v) for k, v in PIPELINE.items())
+        model = self.tokenizer.model
+
+        def piece(text: str) -> bytes:
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            return _bytes([t.id for t in model.tokenize(letters)])
+
+        self.pieces, self.known = Table(piece).__getitem__, Table(self._word).__getitem__
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if self.simple and SIMPLE(word) and "<|" not in word:
+            return b"".join(map(self.pieces, PIECES(word.lower())))
+        return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        words = self.words(text)
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(set(words))
-        own = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, ids in zip(part, self._encode(part)):
-                (self.known if len(w) <= LONGEST_CACHED and len(self.known) < CACHED_WORDS else own)[w] = ids
-        if not own:
-            return b"".join(map(self.known.__getitem__, words))
-        return b"".join(self.known.get(w) or own.get(w, b"") for w in words)
+        return b"".join(map(self.known, self.words(text)))
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end: int | None = 1, text: str = "text", cut: str | None = " \t\n\r") -> DataFrame:
