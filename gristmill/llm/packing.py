@@ -31,6 +31,7 @@ import re
 import struct
 from bisect import bisect_right
 from collections import defaultdict, deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from .columns import others, private, public
 from .storage import Scratch
 
 NEW = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-#: Words, and pieces of words, that a task remembers the ids of, and the longest ones that it does.
-CACHED_WORDS, LONGEST_CACHED = 1 << 18, 32
+#: Words, and pieces of words, that a worker remembers the ids of, and the longest ones that it does.
+CACHED_WORDS, LONGEST_CACHED = 3 << 17, 32
 # How the default tokenizer normalises texts and cuts them to pieces. Apostrophes can begin a piece.
 PIPELINE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -124,6 +125,12 @@ class Encoder:
         return b"".join(map(self.known, self.words(text)))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, cut: str | None) -> Encoder:
+    """One for all tasks that a worker runs: what it has looked up stays."""
+    return Encoder(path, cut)
+
+
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end: int | None = 1, text: str = "text", cut: str | None = " \t\n\r") -> DataFrame:
     """docs with `ids`, the whole text's, instead of the text."""
     path = tokenizer or default_tokenizer()
@@ -133,7 +140,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end: int | None = 1,
     last = np.array([] if end is None else [end], "<u4").tobytes()
 
     def run(batches):
-        encode = Encoder(path, cut)
+        encode = encoder(path, cut)
         for batch in batches:
             kept, at, size, found = batch.drop_columns(["own"]), 0, 0, []
             for i, t in enumerate(batch.column("own")):
