@@ -18,9 +18,9 @@ t = 0.8, plus the tolerance. No bucket, block or number of partners is capped.
 Defined results: texts with fewer than n words, but not none, have their words as
 their only n-gram; texts without words (null, empty) are linked to nothing. Rows
 that repeat a doc_id are one document, linked where any of its texts is. Rows with
-a null doc_id are one document for each text; they come after all others (doc_ids
-are taken to be below 2^62), and a class of them alone has a null class_id. Other
-columns are ignored.
+a null doc_id are one document for each text; they come after all others, and a
+class of them alone has a null class_id. A doc_id is any whole number of 64 bits, or
+text that is one; other text raises. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ BLOCK = 256
 BLOCK_GRAMS = 1 << 20
 #: Documents to verify whose ids are broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 250_000
-#: Rows with a null id get one from here on, by a hash of their text.
+#: Rows with a null id get one from here on, by a hash of their text; where others are as large, all are numbered anew.
 NO_ID = 1 << 62
 _MULTIPLIERS = K.mix(np.arange(1, HASHES + 1, dtype=K.U) * K.U(0xC2B2AE3D27D4EB4F)) | K.U(1)
 SKETCH = "id long, set_a long, set_b long, n_grams long, buckets binary, low binary"
@@ -277,10 +277,29 @@ def _two_blocks(rows: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
     return pairs.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "id")
 
 
+def _renumbered(ids: DataFrame, **how) -> DataFrame:
+    """`near_duplicates` over numbers in the order of ids, null ones last, and their ids again."""
+    scratch, null = Scratch(ids.sparkSession), F.col("id").isNull()
+    mark = F.when(null, F.xxhash64(F.coalesce("text", F.lit("")))).alias("mark")
+    order = [null, F.col("id"), F.col("mark")]
+    numbers = ids.select("id", mark).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = scratch.written(numbers.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    right = numbers.select(F.col("id").alias("own"), F.col("mark").alias("own_mark"), "number")
+    rows = ids.select("id", mark, "text").join(right, F.col("id").eqNullSafe(F.col("own")) & F.col("mark").eqNullSafe(F.col("own_mark")))
+    out = near_duplicates(scratch.written(rows.select("number", "text"), "numbered-texts"), doc_id="number", text="text", **how)
+    for c in ("doc_id", "class_id", "copy_of"):
+        out = out.withColumnRenamed(c, "number").join(numbers.select("number", F.col("id").alias(c)), "number").drop("number")
+    return out.select("doc_id", "class_id", "copy_of", "n_links")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, class_id (smallest id of its group), copy_of (smallest id with the same n-grams), n_links (documents linked to it)."""
-    own = F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
-    ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), own).alias("id"), F.col(f"`{text}`").alias("text"))
+    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    most, nulls = given.agg(F.max("id"), F.count_if(F.col("id").isNull())).first()
+    if nulls and most is not None and most >= NO_ID:
+        return _renumbered(given, n=n, threshold=threshold, tolerance=tolerance)
+    own = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
+    ids = given.select(F.coalesce("id", own).alias("id"), "text")
     scratch = Scratch(docs.sparkSession)
     sketches = scratch.written(ids.mapInArrow(_sketch(n), SKETCH), "sketches")
     classes = sketches.filter("n_grams > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
@@ -315,7 +334,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, toleran
 
     out = sketches.select("id", "set_a", "set_b", "n_grams").join(judged, ["set_a", "set_b"], "left")
     alone = F.col("n_grams") == 0
-    shown = lambda c: F.when(c < NO_ID, c)
+    shown = lambda c: F.when(c < NO_ID, c) if nulls else c
     rep = F.when(alone, F.col("id")).otherwise(F.col("rep"))
     out = out.select(
         shown(F.col("id")).alias("doc_id"),
