@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in local runs, the warehouse."""
+    """The cluster's checkpoint folder. Where none is set, the warehouse stands in for it on one machine alone: elsewhere it may be a folder of the driver's own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("executors need a folder that all of them share: set spark.checkpoint.dir")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
