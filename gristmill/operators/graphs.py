@@ -18,9 +18,10 @@ from ..functions import versions as V
 from ..functions.ranges import nested_ranges, range_bounds, range_test
 from ..storage import Parts, written
 from . import matching as M
+from .resolution import candidates, resolve
 
 #: Levels after which a closure looks whether it runs in a circle.
-LOOK_FOR_CYCLES = 64
+LOOK_FOR_CYCLES = 48
 
 
 #: Levels that one job of a walk goes. What is known already is looked up once a job, and so only every so many levels.
@@ -54,26 +55,101 @@ def min_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame, parents: bool = False, max_level: int | None = None) -> DataFrame:
     """version_from, version_to, dep_level: every level at which a dependency occurs; with the parent if asked.
 
-    Levels of a graph with cycles never end: then `max_level` has to say where to
-    stop, and without it a cycle that a root reaches raises. Graphs without cycles
-    may be as deep as they are.
+    What a root reaches through a cycle occurs at levels without end: of it there is
+    the least level alone (with `max_level`, all up to that). What it reaches on ways
+    without cycles has all its levels, also in a graph that has cycles elsewhere.
     """
+    steps, knots = edges.select("src", "dst").distinct(), []
+
+    def circles() -> bool:
+        knots.append(strong_components(steps).select("node"))
+        return not knots[0].isEmpty()
+
+    out = _levels(steps, roots, parents, max_level, circles if max_level is None else None)
+    return out if out is not None else _levels_with_cycles(written(steps, "steps"), roots, knots[0], parents)
+
+
+def _levels(steps: DataFrame, roots: DataFrame, parents: bool, last: int | None = None, circles=None) -> DataFrame | None:
+    """Levels up to `last`, or to the end; None if, after `LOOK_FOR_CYCLES` of them, circles() holds."""
     keep = ["version_from", "version_to", *(["version_parent"] if parents else [])]
-    out = Parts(edges.sparkSession, "levels")
+    out = Parts(steps.sparkSession, "levels")
     level = roots.select(F.col("root").alias("version_from"), F.col("root").alias("version_to"))
-    steps = edges.select(F.col("src").alias("version_parent"), F.col("dst").alias("version_to")).distinct()
+    steps = steps.select(F.col("src").alias("version_parent"), F.col("dst").alias("version_to"))
     for depth in count(1):
-        if max_level is not None and depth > max_level:
+        if last is not None and depth > last:
             return out.rows()
         nodes = level.select("version_from", F.col("version_to").alias("version_parent")).distinct()
         found = nodes.join(steps, "version_parent").select(*keep).distinct()
         level, n = out.add(found.withColumn("dep_level", F.lit(depth).cast("bigint")))
         if not n:
             return out.rows()
-        if depth == LOOK_FOR_CYCLES and max_level is None:
-            ahead = min_depth(edges, level.select(F.col("version_to").alias("root")).distinct()).select(F.col("node").alias("src")).distinct()
-            if not cyclic_core(edges.join(ahead, "src", "left_semi")).isEmpty():
-                raise ValueError("the graph has a cycle: its levels never end, say max_level")
+        if circles is not None and depth == LOOK_FOR_CYCLES and circles():
+            out.drop()
+            return None
+
+
+def _levels_with_cycles(steps: DataFrame, roots: DataFrame, knots: DataFrame, parents: bool) -> DataFrame:
+    """See `closure`. knots (node): those on cycles. Each node is taken twice: as reached without a knot before it or at it, and with one."""
+    keep = ["version_from", "version_to", *(["version_parent"] if parents else []), "dep_level"]
+    marked = written(steps.join(knots.select(F.col("node").alias("dst"), F.lit(True).alias("knot")), "dst", "left").select("src", "dst", F.coalesce("knot", F.lit(False)).alias("knot")), "marked-steps")
+    twice = lambda node, via: F.struct(node.alias("node"), via.alias("via"))
+    both = marked.select(F.col("src"), F.col("dst"), "knot", F.explode(F.array(F.lit(False), F.lit(True))).alias("was"))
+    both = written(both.select(twice(F.col("src"), F.col("was")).alias("src"), twice(F.col("dst"), F.col("was") | F.col("knot")).alias("dst")), "steps-twice")
+    starts = roots.select("root").distinct().join(knots.select(F.col("node").alias("root"), F.lit(True).alias("knot")), "root", "left")
+    reach = min_depth(both, starts.select(twice(F.col("root"), F.coalesce("knot", F.lit(False))).alias("root")))
+    reach = reach.select(F.col("root.node").alias("version_from"), F.col("node.node").alias("node"), F.col("node.via").alias("via"), "depth")
+    reach = written(reach.groupBy("version_from", "node").agg(F.min("depth").alias("depth"), F.max("via").alias("via")), "reached")
+    # over a last step from what is reached: the least level, also of a root that is come back to
+    over = reach.select("version_from", F.col("node").alias("src"), "depth").join(steps, "src")
+    over = over.select("version_from", F.col("dst").alias("version_to"), F.col("src").alias("version_parent"), (F.col("depth") + 1).alias("dep_level"))
+    through = reach.filter("via").select("version_from", F.col("node").alias("version_to"))
+    over = over.join(through, ["version_from", "version_to"], "left_semi")
+    if parents:
+        least = over.groupBy("version_from", "version_to").agg(F.min("dep_level").alias("dep_level"))
+        over = over.join(least, ["version_from", "version_to", "dep_level"], "left_semi")
+    else:
+        over = over.groupBy("version_from", "version_to").agg(F.min("dep_level").alias("dep_level"))
+    plain = marked.filter("NOT knot").join(knots.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst")
+    free = _levels(written(plain, "plain-steps"), starts.filter("knot IS NULL").select("root"), parents)
+    return free.join(through, ["version_from", "version_to"], "left_anti").select(*keep).union(over.select(*keep).distinct())
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of the nodes on cycles, by colours.
+
+    What can't be on a cycle is taken away first. Then each node takes the smallest
+    node that leads to it as its colour, and what leads back to that node without
+    leaving the colour is its component. Components go, and it begins again with
+    what is left. All steps are joins and minima.
+    """
+    spark = edges.sparkSession
+    found = Parts(spark, "strong-components")
+    left = cyclic_core(edges)
+    found.add(left.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component")))
+    while not left.isEmpty():
+        # colours: only what changed is handed on
+        nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+        colours, _ = (state := Parts(spark, "colours")).add(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
+        n = 1
+        while n:
+            given = colours.filter("moved").join(left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            next_ = colours.drop("moved").join(given, "node", "left").withColumn("moved", F.coalesce(F.col("new") < F.col("colour"), F.lit(False)))
+            colours, _ = state.replace(next_.select("node", F.least("colour", "new").alias("colour"), "moved"))
+            n = colours.filter("moved").count()
+        own = colours.select("node", "colour")
+        inside = left.join(own.withColumnsRenamed({"node": "src", "colour": "c1"}), "src").join(own.withColumnsRenamed({"node": "dst", "colour": "c2"}), "dst").filter("c1 = c2")
+        inside = written(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "reversed-edges")
+        back = min_depth(inside, own.filter("node = colour").select(F.col("node").alias("root")))
+        # a node alone is on a cycle only if an edge leads from it to itself
+        sizes = back.groupBy("root").agg(F.count("*").alias("n"))
+        loops = left.filter("src = dst").select(F.col("src").alias("root"), F.lit(True).alias("loop"))
+        real = sizes.join(loops, "root", "left").filter("n > 1 OR loop").select("root")
+        back = written(back.select("root", "node"), "component")
+        found.add(back.join(real, "root", "left_semi").select("node", F.col("root").alias("component")))
+        rest = left.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = cyclic_core(written(rest, "edges-left"))
+        state.drop()
+    return found.rows()
 
 
 def requirement_graph_go(requires: DataFrame, go_versions: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,12 +231,6 @@ def root_features(features: DataFrame, deps: DataFrame) -> DataFrame:
     return rows.groupBy("pkg").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 
 
-def _cargo_spec(spec: Column) -> Column:
-    """Requirements of crates as ranges: commas are blanks, and a bare version is a caret one."""
-    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+(\.\d+)*([-+].*)?$"), F.concat(F.lit("^"), x)).otherwise(x)), " ")
-
-
 def selected_versions(wanted: DataFrame, versions: DataFrame, tags: DataFrame | None = None, ecosystem: str = "npm", compatible: Column | None = None) -> DataFrame:
     """pkg, spec, target (the package meant), version for each distinct (pkg, spec), by the ecosystem's rule.
 
@@ -173,19 +243,9 @@ def selected_versions(wanted: DataFrame, versions: DataFrame, tags: DataFrame |
         return M.best_match_npm(wanted, versions, tags, compatible).select("pkg", "spec", "target", "version")
     if ecosystem == "go":
         found = versions.select("pkg", F.col("version").alias("spec"), "version").distinct()
-    elif ecosystem == "cargo":
-        rows = wanted.withColumn("own", _cargo_spec(F.col("spec")))
-        ranges = nested_ranges(range_bounds(rows, "own")).withColumnRenamed("spec", "own")
-        parsed = versions.filter(~F.coalesce("yanked", F.lit(False))).select("pkg", "version", V.semver(F.col("version")).alias("v"))
-        fits = rows.join(ranges, "own").join(parsed, "pkg").filter(range_test(F.col("range"), F.col("v")))
-        found = fits.groupBy("pkg", "spec").agg(F.max_by("version", F.col("v.key")).alias("version"))
-    elif ecosystem == "pip":
-        named = wanted.select(F.struct("pkg", "spec").alias("root"), F.col("pkg").alias("name"), F.concat(F.lit("x"), "spec").alias("requirement"))
-        needs = M.parse_requirements(named.withColumnRenamed("name", "pkg")).select("root", F.col("pkg").alias("name"), "specifiers")
-        first = M.candidates_pip(needs, versions.withColumnRenamed("pkg", "name")).filter("rank = 1")
-        found = first.select("root.pkg", "root.spec", "version")
     else:
-        raise ValueError(f"unknown ecosystem {ecosystem}")
+        found = candidates(wanted.select("pkg", F.array("spec").alias("specs")), versions, ecosystem)
+        found = found.select("pkg", F.col("specs")[0].alias("spec"), F.col("candidates")[0].alias("version"))
     return wanted.withColumn("target", F.col("pkg")).join(found, ["pkg", "spec"], "left")
 
 
@@ -195,14 +255,25 @@ def highest_match_closure(
     """Edges (root, pkg, pkg_version, dep, spec, version, level), conflicts (root, pkg, versions), states (root, state).
 
     roots (root, version), deps (pkg, version, dep, spec): what a version depends
-    on is its own. Every distinct (dep, spec) is resolved once; each frontier
-    follows the versions chosen. Edges that nothing fits stay, with a null version,
-    and aren't followed. A package with several selected versions in one root is a
-    conflict for pip; npm and cargo keep several side by side, and for go the highest wins.
+    on is its own. Edges that nothing fits stay, with a null version, and aren't
+    followed. npm and go: every distinct (dep, spec) is resolved once, each frontier
+    follows the versions chosen, and a package may have several in one root (for go
+    the highest of them wins). pip and cargo: what a root requires of a package is
+    met together, see `resolve`; where that can't be, the root's state is conflict.
+    Conflicts are those, and packages with several versions side by side.
     States: empty (the root's version isn't known), limit (`max_level` cut it
     off), conflict, else ok.
     """
     spark = deps.sparkSession
+    if ecosystem in ("pip", "cargo"):
+        selected, edges, clash = resolve(roots, deps, versions, ecosystem)
+        cut = None if max_level is None else selected.filter(F.col("level") > max_level).select("root").distinct()
+        if max_level is not None:
+            selected, edges = (x.filter(F.col("level") <= max_level) for x in (selected, edges))
+        several = selected.groupBy("root", "pkg").agg(F.array_sort(F.collect_set("version")).alias("versions")).filter(F.size("versions") > 1)
+        several = several.join(clash, ["root", "pkg"], "left_anti")
+        known = selected.filter("level = 1").select("root", "version")
+        return edges, clash.unionByName(several), _states(roots, known, clash.select("root").distinct(), cut)
     chosen = selected_versions(deps.select(F.col("dep").alias("pkg"), "spec"), versions, tags, ecosystem, compatible)
     chosen = written(chosen.withColumnsRenamed({"pkg": "dep", "version": "picked"}), "chosen-versions")
     resolved = written(deps.select("pkg", F.col("version").alias("pkg_version"), "dep", "spec").distinct().join(chosen, ["dep", "spec"], "left"), "resolved-dependencies")
@@ -232,11 +303,16 @@ def highest_match_closure(
     edges = walked.join(resolved, ["pkg", "pkg_version"]).select("root", "pkg", "pkg_version", "dep", "spec", F.col("picked").alias("version"), "level")
     picked = walked.select(*key).groupBy("root", "pkg").agg(F.array_sort(F.collect_set("pkg_version")).alias("versions"))
     conflicts = picked.filter(F.size("versions") > 1)
-    marks = conflicts.select("root").distinct().withColumn("conflict", F.lit(ecosystem == "pip"))
-    states = roots.select("root", "version").join(known.withColumn("known", F.lit(True)), ["root", "version"], "left").join(marks, "root", "left")
-    late = states.join(cut.withColumn("late", F.lit(True)), "root", "left") if cut is not None else states.withColumn("late", F.lit(None).cast("boolean"))
-    state = F.when(F.col("known").isNull(), "empty").when(F.col("late"), "limit").when(F.col("conflict"), "conflict").otherwise("ok")
-    return edges, conflicts, late.select("root", state.alias("state"))
+    return edges, conflicts, _states(roots, known, conflicts.select("root").limit(0), cut)
+
+
+def _states(roots: DataFrame, known: DataFrame, clashing: DataFrame, cut: DataFrame | None) -> DataFrame:
+    """root, state of each root (root, version): known ones (root, version) or not, those that clash, and that a limit cut off."""
+    mark = lambda df, name: df.withColumn(name, F.lit(True))
+    rows = roots.select("root", "version").join(mark(known, "known"), ["root", "version"], "left").join(mark(clashing, "clash"), "root", "left")
+    rows = rows.withColumn("late", F.lit(None).cast("boolean")) if cut is None else rows.join(mark(cut, "late"), "root", "left")
+    state = F.when(F.col("known").isNull(), "empty").when(F.col("late"), "limit").when(F.col("clash"), "conflict").otherwise("ok")
+    return rows.select("root", state.alias("state"))
 
 
 # The order of ASCII characters in names, as npm sorts them; all others come first.
@@ -357,10 +433,12 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def cycle_report(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves, and the length of the shortest way, however long.
 
-    Only the cyclic core is walked; a node's walk ends when it comes back.
+    A node's walk keeps within its strong component, and ends when it comes back.
     """
-    core = cyclic_core(edges)
-    spark = edges.sparkSession
+    spark, knots = edges.sparkSession, strong_components(edges)
+    ends = [knots.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("src", "dst")]
+    core = edges.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").filter("c_src = c_dst")
+    core = written(core.select("src", "dst"), "cycle-edges")
     seen, done = Parts(spark, "walks"), Parts(spark, "cycles")
     frontier, n = seen.add(core.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct())
     done.add(frontier.limit(0).select(F.col("root").alias("node"), F.lit(0).cast("bigint").alias("length")))
@@ -399,15 +477,12 @@ def peer_groups(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return label, entering.join(reach, "dst").select("src", "dst", "node")
 
 
-#: A value that grows beyond this while names are put in refers to itself in some way.
-LONGEST_VALUE = 1 << 16
-
-
 def effective_poms(poms: DataFrame, properties: DataFrame) -> DataFrame:
     """poms (gav, parent), properties (gav, key, value): gav, key, value with what parents pass down, and ${key} replaced until nothing changes.
 
     Chains of parents may be as long as they are; one that comes back to its own
-    POM raises. Values that refer to themselves stay as they were written.
+    POM raises. Values of any length are filled in; those that lead back to their
+    own name stay as they were written, and so do values that need one of these.
     """
     chain = Parts(poms.sparkSession, "parents")
     level, n = chain.add(poms.select("gav", F.col("gav").alias("from"), F.col("parent").alias("next"), F.lit(0).alias("depth")))
@@ -416,23 +491,25 @@ def effective_poms(poms: DataFrame, properties: DataFrame) -> DataFrame:
         above = level.filter("next IS NOT NULL").join(up, "next").select("gav", F.col("next").alias("from"), F.col("above").alias("next"), (F.col("depth") + 1).alias("depth"))
         level, n = chain.add(above.withColumn("next", F.when(F.col("gav") == F.col("from"), F.raise_error(F.concat(F.lit("its own parent: "), F.col("gav").cast("string"))).cast(poms.schema["parent"].dataType)).otherwise(F.col("next"))))
     own = chain.rows().join(properties.withColumnRenamed("gav", "from"), "from")
-    own = own.groupBy("gav", "key").agg(F.min_by("value", "depth").alias("value"))
-    maps = own.groupBy("gav").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("first"))
     names = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(r"\$\{([\w.-]+)\}"), F.lit(1)))
-
-    def fill(first: Column, v: Column) -> Column:
-        put = F.aggregate(names(v), v, lambda t, k: F.replace(t, F.concat(F.lit("${"), k, F.lit("}")), F.coalesce(F.try_element_at(first, k), F.concat(F.lit("${"), k, F.lit("}")))))
-        return F.when(F.length(v) <= LONGEST_VALUE, put).otherwise(v)
-
-    # a chain of references is at most as long as there are keys; what still changes then runs in a circle
-    state, done = Parts(poms.sparkSession, "properties"), Parts(poms.sparkSession, "settled")
-    rows, n = maps.select("gav", "first", F.col("first").alias("p"), F.lit(0).alias("rounds")), 1
+    own = own.groupBy("gav", "key").agg(F.min_by("value", "depth").alias("value")).withColumn("names", names(F.col("value")))
+    own = written(own, "own-properties")
+    chain.drop()
+    # a value is filled in once all names in it are; unknown names are as they stand. What is never ready leads in a circle.
+    known = own.select("gav", F.col("key").alias("name"), F.lit(True).alias("known"))
+    uses = own.select("gav", "key", F.explode("names").alias("name")).join(known, ["gav", "name"])
+    done, waiting = Parts(poms.sparkSession, "settled"), Parts(poms.sparkSession, "waiting")
+    new, n = done.add(own.join(uses.select("gav", "key").distinct(), ["gav", "key"], "left_anti").select("gav", "key", "value"))
+    left, _ = waiting.add(uses)
     while n:
-        filled, _ = state.replace(rows.select("gav", "first", "p", F.transform_values("p", lambda k, v: fill(F.col("first"), v)).alias("q"), (F.col("rounds") + 1).alias("rounds")))
-        moves, last = F.map_values("p") != F.map_values("q"), F.col("rounds") > F.size("first")
-        unmoved = F.transform(F.arrays_zip(F.map_values("p").alias("p"), F.map_values("q").alias("q"), F.map_values("first").alias("f")), lambda x: F.when((x["p"] == x["q"]) & (F.length(x["q"]) <= LONGEST_VALUE), x["q"]).otherwise(x["f"]))
-        settled = F.map_from_arrays(F.map_keys("q"), unmoved)
-        done.add(filled.filter(~moves | last).select("gav", settled.alias("p")))
-        rows = filled.filter(moves & ~last).select("gav", "first", F.col("q").alias("p"), "rounds")
-        n = 0 if rows.isEmpty() else 1
-    return done.rows().select("gav", F.explode("p").alias("key", "value"))
+        # names that were filled in by the last round are taken from the list; what has none left is ready
+        got = left.join(new.select("gav", F.col("key").alias("name"), F.lit(True).alias("ready")), ["gav", "name"], "left")
+        ready = got.groupBy("gav", "key").agg(F.count_if(F.col("ready").isNull()).alias("open")).filter("open = 0").select("gav", "key")
+        ready = written(ready, "ready")
+        values = uses.join(ready, ["gav", "key"]).join(done.rows().select("gav", F.col("key").alias("name"), F.col("value").alias("put")), ["gav", "name"])
+        maps = values.groupBy("gav", "key").agg(F.map_from_entries(F.collect_list(F.struct("name", "put"))).alias("puts"))
+        text = F.aggregate("names", F.col("value"), lambda t, k: F.replace(t, F.concat(F.lit("${"), k, F.lit("}")), F.coalesce(F.try_element_at("puts", k), F.concat(F.lit("${"), k, F.lit("}")))))
+        left, _ = waiting.replace(got.filter("ready IS NULL").select("gav", "key", "name").join(ready, ["gav", "key"], "left_anti"))
+        new, n = done.add(own.join(maps, ["gav", "key"]).select("gav", "key", text.alias("value")))
+    stuck = own.join(done.rows().select("gav", "key"), ["gav", "key"], "left_anti").select("gav", "key", "value")
+    return done.rows().unionByName(stuck)

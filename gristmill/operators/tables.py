@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import opened, written
 
 
 def dedupe(rows: DataFrame, keys: list[str], keep: str = "first", pos: str = "pos") -> DataFrame:
@@ -38,10 +40,18 @@ def claim_batch(status: DataFrame, n: int, states: tuple[str, ...] = ("undone",)
     return status.filter(F.col("status").isin(*states)).orderBy("version_id").offset(offset).limit(n)
 
 
-def claims(status: DataFrame, n: int, states: tuple[str, ...] = ("undone",), parts: int = 64) -> DataFrame:
-    """Every claimable id with the number of its batch, ids in order within ranges of at most about n."""
-    ready = status.filter(F.col("status").isin(*states))
-    return ready.withColumn("batch", F.floor(F.col("version_id") / n))
+def claims(status: DataFrame, n: int, states: tuple[str, ...] = ("undone",)) -> DataFrame:
+    """Every claimable id with the number of its batch: batches of n ids each, in order, the last with what is left.
+
+    Ids are ranked in ranges, each after the ids of the ranges before it. `batch`
+    k is what `claim_batch` gives at offset k n.
+    """
+    ready = status.filter(F.col("status").isin(*states)).withColumn("__all", F.lit(0))
+    parts = in_order(ready, "__all", "version_id")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("version_id")) - 1
+    rows = parts.withColumn("__rank", rank).join(before_part(parts, "__all", __before=F.count("*")), ["__all", "part"])
+    batch = F.floor((F.col("__rank") + F.col("__before")) / n)
+    return rows.withColumn("batch", batch.cast("bigint")).drop("__all", "part", "__rank", "__before")
 
 
 def union_items(*tables: DataFrame) -> DataFrame:
@@ -99,9 +109,44 @@ def repository_layout(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"directory": directory, "pom_path": pom, "metadata_path": F.concat(base, F.lit("/maven-metadata.xml"))})
 
 
-def write_repository(rows: DataFrame, base: str) -> None:
-    """Writes documents (group_id, artifact_id, version, text and more) below folders of group and artifact."""
-    repository_layout(rows).write.mode("append").partitionBy("group_id", "artifact_id").parquet(base)
+def repository_metadata(rows: DataFrame) -> DataFrame:
+    """path and text of the version list of each artifact of rows (group_id, artifact_id, version)."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    each = rows.groupBy("group_id", "artifact_id").agg(F.array_sort(F.collect_set("version")).alias("versions"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    listed = F.array_join(F.transform("versions", lambda v: tag("version", escaped(v))), "")
+    text = tag("metadata", F.concat(tag("groupId", escaped(F.col("group_id"))), tag("artifactId", escaped(F.col("artifact_id"))), tag("versioning", tag("versions", listed))))
+    return repository_layout(each.withColumn("version", F.lit(""))).select(F.col("metadata_path").alias("path"), text.alias("text"))
+
+
+def write_repository(rows: DataFrame, base: str) -> DataFrame:
+    """Writes documents (group_id, artifact_id, version, text) as group/artifact/version/artifact-version.pom below a base, and each artifact's version list beside its versions; path and bytes of what was written.
+
+    A file is written under another name and then renamed, so that it is whole or not
+    there, and a task that runs again puts the same in its place. Repeated coordinates
+    are written once, with the least text. base: a path, or a URI that pyarrow's file
+    systems know, that all executors see.
+    """
+    once = rows.groupBy("group_id", "artifact_id", "version").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    files = repository_layout(once).select(F.col("pom_path").alias("path"), "text").union(repository_metadata(once))
+
+    def write(batches):
+        from pyarrow import record_batch
+
+        system, root = opened(base)
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                data, place = text.encode(), f"{root}/{path}"
+                folder, _, name = place.rpartition("/")
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(own := f"{folder}/.{name}-{uuid4().hex}") as out:
+                    out.write(data)
+                system.move(own, place)
+                sizes.append(len(data))
+            yield record_batch({"path": batch.column("path"), "bytes": sizes})
+
+    return written(files.repartition("path").mapInArrow(write, "path string, bytes bigint"), "repository-files")
 
 
 def in_order(df: DataFrame, by: str, *order: str) -> DataFrame:

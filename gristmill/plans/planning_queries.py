@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
 from ..operators import planning as P
 from ..operators import tables as T
+from ..storage import shared_dir, written
 from .registry import query
 
 
@@ -228,9 +231,12 @@ def w4_order_nodes_edges(f):
     return T.union_items(*(T.order_nodes(nodes, e, F.col("key")).withColumn("eco", F.lit(e)) for e in ("pip", "go"))).select("root", "version", "eco", "position")
 
 
-@query("SELECT o_custkey AS version_id, o_custkey // 50 AS batch FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F'")
+@query("""WITH c AS (SELECT o_custkey AS version_id, (row_number() OVER (ORDER BY o_custkey) - 1) // 50 AS batch FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F')
+SELECT version_id, batch, batch = 1 AS claimed FROM c""")
 def w6_claim_batch(f):
-    return T.claims(p20_worklist_status(f), 50, ("undone", "fail")).select("version_id", "batch")
+    status, states = written(p20_worklist_status(f), "status"), ("undone", "fail")
+    second = T.claim_batch(status, 50, states, offset=50).select("version_id", F.lit(True).alias("claimed"))
+    return T.claims(status, 50, states).join(second, "version_id", "left").select("version_id", "batch", F.coalesce("claimed", F.lit(False)).alias("claimed"))
 
 
 @query("""SELECT name, rev, CASE WHEN n > 1 THEN 'planned' END AS note FROM (SELECT name, rev, count(*) AS n FROM fx_change GROUP BY ALL) UNION ALL SELECT name, NULL, 'failed' FROM (SELECT DISTINCT name FROM fx_change WHERE deleted)""")
@@ -305,3 +311,12 @@ def k6_repository_layout(f):
     return T.repository_layout(rows).select("id", "crate", "pom_path")
 
 
+@query("""WITH a AS (SELECT concat('org.g', CAST(p_partkey % 5 AS VARCHAR)) AS g, concat('1.', CAST(p_partkey AS VARCHAR)) AS v, concat('<project>', p_name, '</project>') AS x FROM part)
+SELECT concat(replace(g, '.', '/'), '/a/', v, '/a-', v, '.pom') AS path, CAST(octet_length(encode(x)) AS BIGINT) AS bytes FROM a
+UNION ALL SELECT concat(replace(g, '.', '/'), '/a/maven-metadata.xml'), CAST(octet_length(encode(concat('<metadata><groupId>', g, '</groupId><artifactId>a</artifactId><versioning><versions>', string_agg(concat('<version>', v, '</version>'), ''), '</versions></versioning></metadata>'))) AS BIGINT) FROM a GROUP BY g""")
+def k6_write_repository(f):
+    base = f"{shared_dir(f.spark)}/repository-{uuid.uuid4().hex}"
+    rows = f.part.select(F.concat(F.lit("org.g"), F.col("p_partkey") % 5).alias("group_id"), F.lit("a").alias("artifact_id"), F.concat(F.lit("1."), F.col("p_partkey")).alias("version"), F.concat(F.lit("<project>"), "p_name", F.lit("</project>")).alias("text"))
+    T.write_repository(rows, base)
+    found = f.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    return found.select(F.regexp_extract("path", r"/repository-[0-9a-f]{32}/(.*)$", 1).alias("path"), F.col("length").alias("bytes"))

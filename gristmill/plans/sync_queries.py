@@ -10,6 +10,7 @@ from ..operators.tables import append_log, apply_sync_batch
 from ..sources.documents import read_change_feed
 from ..storage import shared_dir, written
 from ..streaming import sync as S
+from ..streaming.feed import folder_fetch, register
 from .registry import query
 
 _LAST = "last AS (SELECT name, max(seq) AS seq, arg_max(rev, seq) AS rev, arg_max(deleted, seq) AS deleted FROM fx_change GROUP BY name), o AS (SELECT *, CAST(substr(name, 5) AS BIGINT) AS k FROM last)"
@@ -85,6 +86,19 @@ def t1_change_stream(f):
     return found.groupBy("name").agg(F.max(F.col("seq").cast("bigint")).alias("last"), F.count("*").alias("events"))
 
 
+# From the token of an event within a page on, a sixth of the feed a batch, each batch by a query that ends and leaves its checkpoint.
+@query("SELECT name, max(seq) AS last, count(*) AS events FROM fx_change WHERE seq > 150 GROUP BY name")
+def t1_token_stream(f):
+    feed, out, checkpoint = _land(f), _folder(f, "events"), _folder(f, "stream")
+    source, limit = f"feed_{uuid.uuid4().hex}", f.fx_change.count() // 6 + 1
+    register(f.spark, source, folder_fetch(feed))
+    for _ in range(7):
+        events = f.spark.readStream.format(source).option("since", "150").option("limit", limit).load()
+        events.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    found = f.spark.read.parquet(out)
+    return found.groupBy("name").agg(F.max(F.col("seq").cast("bigint")).alias("last"), F.count("*").alias("events"))
+
+
 @query("""WITH last AS (SELECT name, arg_max(rev, seq) AS rev, arg_max(deleted, seq) AS deleted, CAST(substr(name, 5) AS BIGINT) AS k FROM fx_change GROUP BY name)
 SELECT CASE WHEN deleted OR k % 5 = 0 THEN 'tombstone' ELSE 'package' END AS kind, name, rev, CASE WHEN deleted THEN 'deleted_in_feed' WHEN k % 5 = 0 THEN 'packument_not_found' END AS reason FROM last""")
 def t6_follow_feed(f):

@@ -147,7 +147,8 @@ def read_gomod(docs: DataFrame) -> dict[str, DataFrame]:
     inside = F.coalesce("block", F.lit("")) != ""
     verb = F.when(inside, F.col("block")).otherwise(F.regexp_extract("text", r"^(\w+)\s", 1))
     body = F.when(inside, F.col("text")).otherwise(F.regexp_replace("text", r"^\w+\s+", ""))
-    rows = lines.select("path", "version", "indirect", verb.alias("verb"), F.split(body, r"\s+").alias("w"), body.alias("body"))
+    bare = F.regexp_replace(F.regexp_replace(body, r"`([^`]*)`", "$1"), r'"([^"]*)"', "$1")  # texts may stand in quotes of either kind
+    rows = lines.select("path", "version", "indirect", verb.alias("verb"), F.split(bare, r"\s+").alias("w"), bare.alias("body"))
     of = lambda v: rows.filter(F.col("verb") == v)
     word = lambda i: F.try_element_at("w", F.lit(i))
     old, new = F.split(F.split("body", r"\s*=>\s*")[0], r"\s+"), F.split(F.split("body", r"\s*=>\s*")[1], r"\s+")
@@ -342,17 +343,16 @@ def fallback_read(primary: DataFrame, secondary: DataFrame, keys: list[str]) ->
     )
 
 
-_POM = """struct<groupId: string, artifactId: string, version: string, parent: struct<groupId: string, artifactId: string, version: string>,
+_POM = """struct<groupId: string, artifactId: string, version: string, properties: map<string,string>, parent: struct<groupId: string, artifactId: string, version: string>,
  dependencies: struct<dependency: array<struct<groupId: string, artifactId: string, version: string, scope: string, optional: string>>>,
  dependencyManagement: struct<dependencies: struct<dependency: array<struct<groupId: string, artifactId: string, version: string, scope: string>>>>>"""
 
 
 def pom_coordinates(docs: DataFrame) -> dict[str, DataFrame]:
     """docs (gav, xml): poms (own and parent coordinates), properties, dependencies, managed; documents that aren't POMs give nothing."""
-    plain = F.regexp_replace("xml", r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    rows = docs.filter(F.col("xml").rlike(r"<project[\s>]")).select("gav", F.from_xml(plain, _POM, {"rowTag": "project"}).alias("p"), F.regexp_extract(plain, r"(?s)<properties>(.*?)</properties>", 1).alias("props"))
-    pairs = F.regexp_extract_all("props", F.lit(r"(?s)<([\w.-]+)>(.*?)</"), F.lit(0))
-    props = rows.select("gav", F.explode(pairs).alias("x")).select("gav", F.regexp_extract("x", r"(?s)^<([\w.-]+)>", 1).alias("key"), F.trim(F.regexp_extract("x", r"(?s)>(.*?)</$", 1)).alias("value"))
+    plain = F.regexp_replace(F.regexp_replace("xml", r"(?s)<!--.*?-->", ""), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
+    rows = docs.select("gav", plain.alias("xml")).filter(F.col("xml").rlike(r"<project[\s>]")).select("gav", F.from_xml("xml", _POM, {"rowTag": "project"}).alias("p"))
+    props = rows.select("gav", F.explode("p.properties").alias("key", "value")).withColumn("value", F.trim(F.coalesce("value", F.lit(""))))
     parent = F.when(F.col("p.parent.artifactId").isNotNull(), F.concat_ws(":", "p.parent.groupId", "p.parent.artifactId", "p.parent.version"))
     dep = lambda c: rows.select("gav", F.posexplode(c).alias("pos", "d")).select("gav", F.col("pos").cast("bigint").alias("pos"), F.concat_ws(":", "d.groupId", "d.artifactId").alias("ga"), "d.version", "d.scope")
     return {

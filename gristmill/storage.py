@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,11 +10,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in local runs, the warehouse."""
+    """The cluster's checkpoint folder. Where none is set, the warehouse stands in for it on one machine alone: elsewhere it may be a folder of the driver's own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("executors need a folder that all of them share: set spark.checkpoint.dir")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+def opened(path: str):
+    """pyarrow's file system of a path or URI, and the path on it."""
+    from pyarrow import fs
+
+    if re.match(r"(?!file:)\w[\w+.-]*://", path):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

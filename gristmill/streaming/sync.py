@@ -11,7 +11,12 @@ a batch that fails leaves no trace, and one that is run again is not applied twi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+import re
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import dedupe
@@ -23,6 +28,24 @@ CHANGES = "name string, batch_id bigint, rev string, doc string, deleted_seq str
 MANIFEST = "batch_id bigint, last_seq string, folders array<struct<path: string, rows: bigint>>, input bigint, requested bigint, fetched bigint, updated bigint, skipped bigint, deleted bigint"
 
 
+#: Failures that another try may mend: time-outs and connections, and answers but for those of a wrong or forbidden request.
+LASTING_STATUS = ("400", "401", "403", "404")
+TRANSIENT = r"(?i)time[d ]*-? ?out|connection|unreachable|reset by peer|temporar|name resolution|urlopen error|\bHTTP(?: Error)? \d{3}\b"
+
+
+class Retryable(RuntimeError):
+    """A batch that may go through when it is tried again."""
+
+
+class Fatal(RuntimeError):
+    """A batch that can't go through as it is."""
+
+
+def retryable(message: Column) -> Column:
+    status = F.regexp_extract(message, r"\bHTTP(?: Error)? (\d{3})\b", 1)
+    return F.coalesce(message.rlike(TRANSIENT) & ~status.isin(*LASTING_STATUS), F.lit(False))
+
+
 def change_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, whole: bool = True) -> DataFrame:
     """Landed feed pages, one JSON document a file (a line, if not `whole`); Spark's checkpoint is the place in the feed."""
     return spark.readStream.schema("doc string").option("wholetext", whole).option("maxFilesPerTrigger", files_per_batch).text(folder).withColumnRenamed("value", "doc")
@@ -98,12 +121,19 @@ class Index:
         return packages, latest(changes, "rev", "deleted_seq", "reason").filter("reason IS NOT NULL")
 
     def apply(self, pages: DataFrame, batch_id: int, documents: DataFrame) -> None:
-        """One micro-batch of feed pages; raises if any fetch failed, with nothing written. Pages without events leave the token."""
+        """One micro-batch of feed pages (doc), see `apply_events`."""
+        self.apply_events(read_change_feed(pages.withColumn("batch_id", F.lit(batch_id)), "doc"), batch_id, documents)
+
+    def apply_events(self, events: DataFrame, batch_id: int, documents: DataFrame) -> None:
+        """One micro-batch of events (name, page, pos, seq, rev, deleted, last_seq); raises if any fetch failed, with nothing written. A batch without events leaves the token.
+
+        What raises is `Fatal` if one of the failures is of the kind that another try won't mend.
+        """
         last = self.last()
         if last is not None and last["batch_id"] >= batch_id:
             return
         folders = list(last["folders"]) if last else []
-        events = read_change_feed(pages.withColumn("batch_id", F.lit(batch_id)), "doc").persist()
+        events = events.persist()
         token = events.agg(F.max_by("last_seq", F.struct("page", "pos"))).first()[0] or (last["last_seq"] if last else None)
         # revisions are looked up for the names of the batch alone, without documents
         stored = self._read(folders).select("name", "batch_id", "rev", "reason").join(events.select("name").distinct(), "name", "left_semi")
@@ -111,7 +141,8 @@ class Index:
         try:
             counts = batch_counts(events, decided).first()
             if counts["errors"]:
-                raise RuntimeError(f"{counts['errors']} documents could not be fetched; batch {batch_id} is left for another try")
+                lasting = decided.filter("action = 'error'").join(documents.select("name", F.col("error").alias("why")), "name").filter(~retryable(F.col("why"))).count()
+                raise (Fatal if lasting else Retryable)(f"{counts['errors']} documents could not be fetched; batch {batch_id} is left for another try")
             rows = counts["updated"] + counts["deleted"]
             if rows:
                 records, gone = split(decided)
@@ -150,3 +181,66 @@ def follow(spark: SparkSession, feed: str, base: str, documents, checkpoint: str
     index = Index(spark, base)
     writer = change_stream(spark, feed, files_per_batch, whole).writeStream.foreachBatch(lambda pages, i: index.apply(pages, i, documents())).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
+
+
+OUTCOME = "poll bigint, outcome string, batch_id bigint, last_seq string, fetched bigint, updated bigint, skipped bigint, deleted bigint, message string"
+
+
+def sync_once(spark: SparkSession, stream: DataFrame, index: Index, documents: Callable[[], DataFrame], checkpoint: str) -> dict:
+    """What one poll of a stream of events brings: its outcome (advanced, idle, transient, fatal) and its counts.
+
+    A query that was stopped, or failed, goes on from its checkpoint: the batch that
+    it left is run again with the same events, and not applied twice.
+    """
+    before = index.last()
+    numbered = lambda events: events.withColumns({"pos": F.monotonically_increasing_id(), "page": F.lit(0).cast("long")})
+    failed: list[Exception] = []
+
+    def batch(events: DataFrame, i: int) -> None:
+        try:
+            index.apply_events(numbered(events), i, documents())
+        except Exception as e:
+            failed.append(e)
+            raise
+
+    message = None
+    try:
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    except StreamingQueryException as e:
+        message = str(failed[-1] if failed else e)
+    after = index.last()
+    moved = after is not None and (before is None or after["batch_id"] > before["batch_id"])
+    counts = {c: after[c] if moved else 0 for c in ("fetched", "updated", "skipped", "deleted")}
+    if message is not None:
+        passing = re.search(TRANSIENT, message) is not None and not re.search(rf"HTTP(?: Error)? (?:{'|'.join(LASTING_STATUS)})\b", message)
+        passing = isinstance(failed[-1], Retryable) or (passing and not isinstance(failed[-1], Fatal)) if failed else passing
+        outcome = "transient" if passing else "fatal"
+    else:
+        outcome = "advanced" if any(counts[c] for c in ("updated", "skipped", "deleted")) else "idle"
+    return {"outcome": outcome, "batch_id": after["batch_id"] if after else None, "last_seq": after["last_seq"] if after else None, **counts, "message": message}
+
+
+def follow_tokens(
+    spark: SparkSession, source: str, base: str, documents: Callable[[], DataFrame], checkpoint: str, since: str | None = None, limit: int = 1000,
+    polls: int | None = None, poll: float = 30.0, idle: float = 60.0, wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Polls a feed registered by `feed.register` on and on (or so many times); its log, with the counts of each poll.
+
+    After a batch it waits for `poll` seconds, after an idle poll or a failure that may
+    pass for `idle` seconds. A lasting failure ends it with what failed; the log is
+    kept beside the index in any case. `since` counts for a first run alone.
+    """
+    index, log = Index(spark, base), f"{base}/follow-log"
+    options = {"limit": str(limit)} | ({"since": since} if since is not None else {})
+    n = 0
+    while polls is None or n < polls:
+        n += 1
+        stream = spark.readStream.format(source).options(**options).load()
+        found = sync_once(spark, stream, index, documents, checkpoint)
+        row = (n, *(found[c] for c in ("outcome", "batch_id", "last_seq", "fetched", "updated", "skipped", "deleted", "message")))
+        spark.createDataFrame([row], OUTCOME).coalesce(1).write.mode("append").json(log)
+        if found["outcome"] == "fatal":
+            raise Fatal(found["message"])
+        if polls is None or n < polls:
+            wait(poll if found["outcome"] == "advanced" else idle)
+    return spark.read.schema(OUTCOME).json(log)

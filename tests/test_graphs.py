@@ -20,12 +20,33 @@ def test_deep_chain(spark):
     assert {(r.node, r.depth) for r in G.min_depth(edges, roots).collect()} == {(i, i) for i in range(81)}
 
 
-def test_closure_on_a_cycle(spark):
-    edges = _edges(spark, [(0, 1), (1, 2), (2, 0), (5, 6)])
-    with pytest.raises(ValueError, match="cycle"):
-        G.closure(edges, spark.createDataFrame([(0,)], "root bigint"))
-    assert G.closure(edges, spark.createDataFrame([(0,)], "root bigint"), max_level=5).count() == 5
-    assert G.closure(edges, spark.createDataFrame([(5,)], "root bigint")).count() == 1
+def test_closure_on_a_cycle(spark, monkeypatch):
+    monkeypatch.setattr(G, "LOOK_FOR_CYCLES", 8)
+    # 10 to 12 without cycles: all levels; 0, 1, 2 in a ring, 3 behind it, 20 alone with a loop
+    pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (0, 4), (10, 11), (11, 12), (10, 12), (10, 13), (13, 0), (20, 20), (13, 12)]
+    edges, roots = _edges(spark, pairs), spark.createDataFrame([(0,), (10,), (20,), (3,)], "root bigint")
+    got = sorted((r.version_from, r.version_to, r.dep_level) for r in G.closure(edges, roots).collect())
+    assert got == [(0, 0, 3), (0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 1), (3, 4, 1), (10, 0, 2), (10, 1, 3), (10, 2, 4), (10, 3, 5), (10, 4, 3), (10, 11, 1), (10, 12, 1), (10, 12, 2), (10, 13, 1), (20, 20, 1)]
+    parents = {(r.version_from, r.version_to, r.version_parent, r.dep_level) for r in G.closure(edges, roots, parents=True).collect()}
+    assert {p[:2] + p[3:] for p in parents} == set(got) and {p for p in parents if p[:2] == (10, 12)} == {(10, 12, 10, 1), (10, 12, 11, 2), (10, 12, 13, 2)}
+    assert G.closure(edges, roots.filter("root = 0"), max_level=5).filter("version_to = 0").count() == 1
+
+
+def test_strong_components(spark):
+    import random
+
+    rnd = random.Random(7)
+    pairs = {(rnd.randrange(24), rnd.randrange(24)) for _ in range(32)}
+    reach = {a: {a} for a in range(24)}
+    for _ in range(24):
+        for a, b in pairs:
+            for own in reach.values():
+                if a in own:
+                    own.add(b)
+    on_cycle = {a for a in reach if any(a in reach[b] for x, b in pairs if x == a)}
+    want = {a: min(b for b in reach if b in reach[a] and a in reach[b]) for a in on_cycle}
+    assert {r.node: r.component for r in G.strong_components(_edges(spark, sorted(pairs))).collect()} == want
+    assert G.strong_components(_edges(spark, [(1, 2), (2, 3)])).isEmpty()
 
 
 def test_cycles_of_any_length(spark):
@@ -44,11 +65,12 @@ def test_peer_groups(spark):
 
 def test_poms(spark):
     poms = spark.createDataFrame([(f"p{i}", f"p{i - 1}" if i else None) for i in range(42)], "gav string, parent string")
-    props = [("p0", "k", "v"), ("p0", "chain0", "end"), *(("p0", f"chain{i}", f"<${{chain{i - 1}}}>") for i in range(1, 9)), ("p0", "self", "a${self}${self}"), ("p0", "x", "${y}"), ("p0", "y", "${x}"), ("p41", "k", "own"), ("p0", "uses", "${k}-${none}")]
+    props = [("p0", "k", "v"), ("p0", "chain0", "end"), *(("p0", f"chain{i}", f"<${{chain{i - 1}}}>") for i in range(1, 9)), ("p0", "self", "a${self}${self}"), ("p0", "x", "${y}"), ("p0", "y", "${x}"), ("p41", "k", "own"), ("p0", "uses", "${k}-${none}"), ("p0", "long", "x" * 70_000 + "${k}"), ("p0", "longer", "${long}${long}"), ("p0", "needs", "${k}${x}")]
     got = {(r.gav, r.key): r.value for r in G.effective_poms(poms, spark.createDataFrame(props, "gav string, key string, value string")).collect()}
     assert sum(k == "k" for _, k in got) == 42 and got["p41", "uses"] == "own-${none}" and got["p40", "uses"] == "v-${none}"
     assert got["p7", "chain8"] == "<" * 8 + "end" + ">" * 8
     assert got["p0", "self"] == "a${self}${self}" and got["p0", "x"] == "${y}"
+    assert got["p3", "long"] == "x" * 70_000 + "v" and got["p41", "longer"] == ("x" * 70_000 + "own") * 2 and got["p0", "needs"] == "${k}${x}"
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "gav string, parent string")
     with pytest.raises(Exception, match="its own parent"):
         G.effective_poms(loop, spark.createDataFrame(props, "gav string, key string, value string"))
@@ -84,7 +106,7 @@ def test_closure_follows_the_chosen_version(spark):
     assert states == {"a": "limit"}
 
 
-@pytest.mark.parametrize("ecosystem, spec, other, picked, state", [("pip", ">=1,<2", "==2.0.0", {"1.5.0", "2.0.0"}, "conflict"), ("cargo", "1", "=2.0.0", {"1.5.0", "2.0.0"}, "ok"), ("go", "1.0.0", "2.0.0", {"1.0.0", "2.0.0"}, "ok")])
+@pytest.mark.parametrize("ecosystem, spec, other, picked, state", [("pip", ">=1,<2", "==2.0.0", {None}, "conflict"), ("cargo", "1", "=2.0.0", {"1.5.0", "2.0.0"}, "ok"), ("go", "1.0.0", "2.0.0", {"1.0.0", "2.0.0"}, "ok")])
 def test_closure_by_ecosystem(spark, ecosystem, spec, other, picked, state):
     versions = [("a", "1.0.0", False, False), ("b", "1.0.0", False, False), ("b", "1.5.0", False, False), ("b", "1.9.0", False, True), ("b", "2.0.0", False, False), ("c", "1.0.0", False, False)]
     deps = [("a", "1.0.0", "b", spec), ("a", "1.0.0", "c", "1.0.0" if ecosystem == "go" else "==1.0.0" if ecosystem == "pip" else "1"), ("c", "1.0.0", "b", other)]
