@@ -174,7 +174,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     found = scratch.written(found, "contaminated-texts")
     scratch.drop(windows, hits, runs)
 
-    out = rows.join(found, "key", "left")
+    # texts without hits stay where they are; where results are too many to broadcast, copies of one text are dealt over salts
+    size = found.agg(F.sum(F.size("spans") + F.size("found"))).first()[0] or 0
+    if size <= BROADCAST_HITS:
+        out = rows.join(F.broadcast(found), "key", "left")
+    else:
+        rows = rows.withColumn("salt", F.spark_partition_id() % SALTS)
+        out = rows.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"], "left")
     place = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(columns)} | {text: F.col("text").alias(text)}
     return out.select(
         *(place[c] for c in docs.columns if c in place),
