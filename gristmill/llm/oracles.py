@@ -141,6 +141,61 @@ SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, coalesce(copy_of, d.doc_i
 FROM {source} d LEFT JOIN groups USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN copies USING (doc_id)"""
 
 
+def _repair_sql() -> str:
+    way = lambda x, cost, edit, line: f"struct_pack(c := {x}.c + {cost}, t := {x}.t || '{edit}', r := {x}.r || {line})"
+    said = lambda role: f"{role} || ':' || text || chr(10)"
+    put = {r: f"'{r}:' || chr(10)" for r in ("user", "assistant")}
+    one = lambda x, r: way(x, 2, "I", put[r])
+    two = lambda x: f"struct_pack(c := {x}.c + 4, t := {x}.t || 'II', r := {x}.r || {put['user']} || {put['assistant']})"
+    # z: nothing so far, s: system, u: user, a: assistant last; with what may be inserted
+    inserted = f"""z, s, list_min([u, {one('z', 'user')}, {one('s', 'user')}, {one('a', 'user')}]) AS u, list_min([a, {one('u', 'assistant')}, {two('z')}, {two('s')}]) AS a"""
+    drop = lambda x: way(x, 3, "D", "''")
+    kept = lambda x, role: f"CASE WHEN NOT gone AND initial = '{role}' THEN {way(x, 'late', 'K', said('role'))} ELSE none END"
+    named = lambda x, role: f"CASE WHEN NOT gone THEN {way(x, '2 + late', 'R', said(repr(role)))} ELSE none END"
+    both = lambda x, role: f"{kept(x, role[0])}, {named(x, role)}"
+    none = "struct_pack(c := CAST(1000000000 AS BIGINT), t := '', r := '')"
+    return f"""
+WITH RECURSIVE crc(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS codes FROM crc WHERE k = 8),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS codes_of FROM conversations),
+marked AS (SELECT keyed.*, xor(list_reduce(codes_of, lambda c, x: xor(c >> 8, codes[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS k FROM keyed, crcs),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM marked WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS ending FROM damaged),
+judged AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM placed),
+turns AS (SELECT conv_id, n, role, text, initial, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late FROM judged),
+ways(conv_id, n, z, s, u, a) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), struct_pack(c := CAST(0 AS BIGINT), t := '', r := ''), {none}, {none}, {none} FROM turns
+    UNION ALL
+    SELECT conv_id, n, {drop('z')}, list_min([{drop('s')}, {kept('z', 's')}]), list_min([{drop('u')}, {both('z', 'user')}, {both('s', 'user')}, {both('a', 'user')}]), list_min([{drop('a')}, {both('u', 'assistant')}])
+    FROM (SELECT w.conv_id, w.n + 1 AS n, w.z, w.s, w.u, w.a, {none} AS none, t.role, t.text, t.initial, t.gone, t.late FROM (SELECT conv_id, n, {inserted} FROM ways) w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.n + 1)),
+best AS (SELECT conv_id, list_min([z, a]) AS b FROM (SELECT conv_id, {inserted} FROM ways w WHERE n = (SELECT max(n) FROM turns t WHERE t.conv_id IS NOT DISTINCT FROM w.conv_id))),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.t, '') AS audit, sha256(coalesce(substr(b.r, 1, length(b.r) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
+def _resampling_sql(seed: int = 42, buckets: int = 10_000, percent: int = 5, least: int = 20) -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = " UNION ALL ".join(f"SELECT {{0}}, array_to_string(w[i:i + {k - 1}], ' ') AS f FROM (SELECT {{0}}, w, unnest(range(1, len(w) - {k - 2})) AS i FROM {{1}})" for k in (1, 2, 3))
+    return f"""
+WITH RECURSIVE crc(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS codes FROM crc WHERE k = 8),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+items AS (SELECT {words} AS w FROM benchmark),
+raw AS MATERIALIZED (SELECT r, f, count(*) AS n FROM ({runs.format("r", "docs")}) GROUP BY r, f),
+goal AS MATERIALIZED (SELECT f, count(*) AS n FROM ({runs.format("1 AS one", "items").replace("SELECT 1 AS one, array", "SELECT array").replace("(SELECT 1 AS one, w", "(SELECT w")}) GROUP BY f),
+hexes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM raw UNION SELECT f FROM goal)),
+hashed AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))), lambda c, x: xor(c >> 8, codes[(xor(c, x) & 255) + 1])), 4294967295) % {buckets} AS b FROM hexes, crcs),
+s AS (SELECT b, CAST(sum(n) AS BIGINT) AS n FROM raw JOIN hashed USING (f) GROUP BY b), t AS (SELECT b, CAST(sum(n) AS BIGINT) AS n FROM goal JOIN hashed USING (f) GROUP BY b),
+sums AS (SELECT coalesce((SELECT CAST(sum(n) AS BIGINT) FROM s), 0) AS s, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM t), 0) AS t),
+gains AS (SELECT s.b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (sums.s + {buckets}) AS DOUBLE) / CAST((s.n + 1) * (sums.t + {buckets}) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), sums),
+weighed AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM raw JOIN hashed USING (f) JOIN gains USING (b) GROUP BY r),
+scored AS (SELECT d.r, doc_id, len(w) >= {least} AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM docs d LEFT JOIN weighed USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+
 ORACLES = {
     "op1_license_scan": _license_sql(),
     "op3_ngram_jaccard_join": near_duplicates_sql(),
@@ -149,4 +204,6 @@ ORACLES = {
     "op7_quality_rules": quality_sql(),
     "op9_decontaminate": decontamination_sql(),
     "op10_mix_sources": mixing_sql(),
+    "op11_conversation_repair": _repair_sql(),
+    "op13_importance_resampling": _resampling_sql(),
 }
