@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import versions as V
 from ..functions.markers import compile_marker, marker_holds, specifier_holds
-from ..functions.ranges import may_fit, nested_ranges, range_bounds, range_test
+from ..functions.ranges import nested_ranges, range_bounds, range_test
 from ..storage import written
 
 
@@ -15,6 +15,37 @@ from ..storage import written
 ALIAS = r"^npm:(.*)@([^@]*)$"
 
 
+def best_in_ranges(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """rows (pkg, spec, range), versions (pkg, version, deprecated, v: parsed): pkg, spec, best: the version in range that is best by (not deprecated, version).
+
+    An alternative allows the releases between its highest lower and its lowest upper
+    bound. Upper bounds stand among the versions of their package in order, and see
+    the last version, and the last that isn't deprecated, before them: no spec meets
+    each version. Prereleases are only allowed where a comparator names one of the
+    same major.minor.patch, and are joined by these.
+    """
+    alternatives = rows.select("pkg", "spec", F.explode("range").alias("a"))
+    at = lambda c, tie: F.struct(F.lit(0).alias("open"), c["key"].alias("key"), tie.alias("tie"))
+    sides = lambda ops, closed: F.transform(F.filter("a", lambda c: c["op"].isin(*ops)), lambda c: at(c, F.when(c["op"].isin(*closed), 2).otherwise(0)))
+    everything = F.struct(F.lit(1).alias("open"), F.array().cast("array<string>").alias("key"), F.lit(0).alias("tie"))
+    asked = alternatives.select("pkg", "spec", F.array_max(sides((">=", ">", "="), (">",))).alias("low"), F.coalesce(F.array_min(sides(("<", "<=", "="), ("<=", "="))), everything).alias("place"))
+    place = F.struct(F.lit(0).alias("open"), F.col("v.key").alias("key"), F.lit(1).alias("tie"))
+    known = versions.filter("v.pre IS NULL").select("pkg", place.alias("place"), F.struct(place.alias("place"), "version").alias("last"), "deprecated")
+    known = known.withColumn("live", F.when(~F.col("deprecated"), F.col("last"))).drop("deprecated")
+    sofar = Window.partitionBy("pkg").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    seen = known.unionByName(asked, allowMissingColumns=True).withColumns({c: F.last(c, True).over(sofar) for c in ("last", "live")}).filter("spec IS NOT NULL")
+    inside = lambda c: F.col(c).isNotNull() & F.coalesce(F.col(f"{c}.place") > F.col("low"), F.lit(True))
+    chosen = lambda c, live: F.struct(F.lit(live).alias("live"), F.col(f"{c}.place.key").alias("key"), F.col(f"{c}.version").alias("version"))
+    found = seen.select("pkg", "spec", F.when(inside("live"), chosen("live", True)).when(inside("last"), chosen("last", False)).alias("best"))
+    # nothing comes before a prerelease of 0, which only ends ranges
+    names = alternatives.select("pkg", "spec", "a", F.explode(F.filter("a", lambda c: c["pre"].isNotNull() & ~((c["op"] == "<") & (c["pre"] == "0")))).alias("c"))
+    number = ("major", "minor", "patch")
+    early = versions.filter("v.pre IS NOT NULL").select("pkg", "version", "deprecated", "v", *(F.col(f"v.{x}").alias(x) for x in number))
+    named = names.select("pkg", "spec", "a", *(F.col(f"c.{x}").alias(x) for x in number)).distinct().join(early, ["pkg", *number]).filter(range_test(F.array("a"), F.col("v")))
+    named = named.select("pkg", "spec", F.struct((~F.col("deprecated")).alias("live"), F.col("v.key").alias("key"), "version").alias("best"))
+    return found.filter("best IS NOT NULL").unionByName(named).groupBy("pkg", "spec").agg(F.max("best").alias("best")).select("pkg", "spec", F.col("best.version").alias("best"))
+
+
 def best_match_npm(wanted: DataFrame, versions: DataFrame, tags: DataFrame, compatible: Column | None = None) -> DataFrame:
     """pkg, spec, target, version, via for each distinct (pkg, spec); version null where nothing fits.
 
@@ -37,12 +68,11 @@ def best_match_npm(wanted: DataFrame, versions: DataFrame, tags: DataFrame, comp
     fits_latest = range_test(F.col("range"), V.semver(F.col("latest")))
     rows = rows.withColumn("early", F.when(F.col("tagged").isNotNull(), F.col("tagged")).when(fits_latest, F.col("latest")))
     rows = rows.withColumn("via", F.when(F.col("tagged").isNotNull(), "tag").when(F.col("early").isNotNull(), "latest"))
-    rows = written(rows.select("pkg", "spec", "early", "via", "range", "low", "high", "pre"), "wanted-specs")
-    open_rows = rows.filter("early IS NULL AND range IS NOT NULL").select("pkg", "spec", "range", "low", "high", "pre")
+    rows = written(rows.select("pkg", "spec", "early", "via", "range"), "wanted-specs")
+    open_rows = rows.filter("early IS NULL AND range IS NOT NULL").select("pkg", "spec", "range")
     # a version is parsed once, however many specs of its package are open
     parsed = versions.join(open_rows.select("pkg").distinct(), "pkg", "left_semi").select("pkg", "version", F.coalesce("deprecated", F.lit(False)).alias("deprecated"), V.semver(F.col("version")).alias("v"))
-    fits = open_rows.join(parsed.filter("v.valid"), "pkg").filter(may_fit(F.col("v")) & range_test(F.col("range"), F.col("v")))
-    best = fits.groupBy("pkg", "spec").agg(F.max_by("version", F.struct(~F.col("deprecated"), F.col("v.key"))).alias("best"))
+    best = best_in_ranges(open_rows.select("pkg", "spec", "range"), parsed.filter("v.valid"))
     out = rows.join(best, ["pkg", "spec"], "left")
     out = out.select("pkg", "spec", F.coalesce("early", "best").alias("version"), F.coalesce("via", F.when(F.col("best").isNotNull(), "range")).alias("via"))
     if compatible is not None:

@@ -57,3 +57,27 @@ def test_bounds(spark):
         "^1.2.3-beta.2": {">=1.2.3-beta.2", "<2.0.0-0"}, "~1": {">=1.0.0", "<2.0.0-0"}, "1.2 - 3.4": {">=1.2.0", "<3.5.0-0"}, ">=0.0.0": {"*0.0.0"},
         "^0.0.x": {"<0.1.0-0"}, ">* || 1.0.0": {"=1.0.0"}, ">*": {"<0.0.0-0"}, "1.0.0 junk 1.0.0": {"=1.0.0"},
     }
+
+
+def test_best_in_ranges_is_the_best_of_those_that_fit(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gristmill.functions import versions as V
+    from gristmill.functions.ranges import nested_ranges, range_bounds, range_test
+    from gristmill.operators import matching as M
+
+    rnd = random.Random(3)
+    number = lambda: f"{rnd.randrange(3)}.{rnd.randrange(3)}.{rnd.randrange(3)}" + rnd.choice(["", "", "", "-0", "-rc.1", "-rc.2", "-alpha"])
+    versions = [(p, v, rnd.random() < 0.3) for p in "abcd" for v in {number() for _ in range(rnd.choice([1, 5, 30]))}]
+    one = lambda: rnd.choice(["^", "~", ">=", "<", "<=", ">", "="]) + number()
+    texts = {" ".join(one() for _ in range(rnd.randint(1, 3))) for _ in range(60)} | {f"{one()} || {one()}" for _ in range(30)} | {"*", "1.x", "x || 1", "1.0 - 2.0.0-rc.2", "<0.0.0", "2.0.0 - 1", ">=1.1.1-rc.1 <1.1.1", "^0.0.1-alpha"}
+    specs = spark.createDataFrame([(p, t) for p in "abcde" for t in sorted(texts)], "pkg string, spec string")
+    ranges = nested_ranges(range_bounds(specs)).select("spec", "range")
+    parsed = spark.createDataFrame(versions, "pkg string, version string, deprecated boolean").withColumn("v", V.semver(F.col("version")))
+    rows = specs.join(ranges, "spec")
+    got = {(r.pkg, r.spec): r.best for r in M.best_in_ranges(rows, parsed).collect()}
+    fits = rows.join(parsed, "pkg").filter(range_test(F.col("range"), F.col("v"))).groupBy("pkg", "spec").agg(F.max_by("version", F.struct(~F.col("deprecated"), F.col("v.key"))).alias("best"))
+    want = {(r.pkg, r.spec): r.best for r in fits.collect()}
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {} and len(got) > 40
