@@ -52,15 +52,21 @@ def t7_batch_progress(f):
     return S.batch_counts(events, decided)
 
 
+#: Pages of a landed file at most; a file is written by one task, as the feed is read in order.
+_PAGES = 20_000
+
+
 def _land(f) -> str:
-    """A feed folder: pages of 100 events, one a line, in eight files that land one after the other in the feed's order."""
+    """A feed folder: pages of 100 events, one a line, in eight files or more that land one after the other in the feed's order, each with its pages in order."""
     item = F.to_json(F.struct(F.col("seq").cast("string").alias("seq"), F.col("name").alias("id"), F.array(F.struct("rev")).alias("changes"), F.when(F.col("deleted"), True).alias("deleted")))
     per = f.fx_change.groupBy(F.expr("seq div 100").alias("page")).agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"), F.max("seq").alias("last"))
     doc = F.concat(F.lit('{"results": ['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit('], "last_seq": "'), F.col("last"), F.lit('-x"}'))
     pages, feed = written(per.select("page", doc.alias("doc")), "feed-pages"), _folder(f, "feed")
-    size = (pages.agg(F.max("page")).first()[0] or 0) // 8 + 1
-    for i in range(8):
-        pages.filter(F.expr(f"page div {size}") == i).select("doc").write.mode("append").text(feed)
+    last = pages.agg(F.max("page")).first()[0] or 0
+    size = min(last // 8 + 1, _PAGES)
+    for i in range(max(8, last // size + 1)):
+        own = pages.filter(F.col("page").between(i * size, i * size + size - 1))
+        own.repartition(1).sortWithinPartitions("page").select("doc").write.mode("append").text(feed)
     return feed
 
 

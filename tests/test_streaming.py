@@ -100,3 +100,42 @@ def test_which_failures_may_pass(spark):
     texts = {"timed out": True, "Connection refused": True, "HTTP Error 500: x": True, "HTTP 429": True, "HTTP Error 404: x": False, "HTTP Error 401": False, "bad document": False, None: False}
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.r for r in rows.select("t", S.retryable(F.col("t")).alias("r")).collect()} == texts
+
+
+def test_folder_batches_are_read_by_ranges(tmp_path, monkeypatch):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    _land(folder, PAGES)
+    seqs = ["1-a", "2-a", "3-a", "4-a", "6-a", "7-a", "8-a"]
+    for piece in (1, FD.PIECE):
+        monkeypatch.setattr(FD, "PIECE", piece)
+        for limit in (1, 2, 3, 4, 100):
+            reader, got, offset = FD._FolderReader(FD.folder_fetch(str(folder)), FD.START, limit), [], {"since": FD.START}
+            while (end := reader.latestOffset()) != offset:
+                rows = [r for p in reader.partitions(offset, end) for r in reader.read(p)]
+                again = FD._FolderReader(FD.folder_fetch(str(folder)), FD.START, limit)  # after a restart: the same, from the token alone too
+                for start, stop in ((offset, end), ({"since": offset["since"]}, {"since": end["since"]})):
+                    assert [r for p in again.partitions(start, stop) for r in again.read(p)] == rows
+                got, offset = got + [r[1] for r in rows], end
+            assert got == seqs and offset["since"] == "8-z"
+
+
+def test_a_folder_is_passed_over_once(tmp_path, monkeypatch):
+    events = [([(f"{i}-a", f"n{i}", "1", False)], f"{i}-z") for i in range(200)]
+    (tmp_path / "all.json").write_text("".join(json.dumps({"results": [{"seq": q, "id": n} for q, n, _, _ in e], "last_seq": last}) + "\n" for e, last in events))
+    looked = []
+    monkeypatch.setattr(FD, "json", type("J", (), {"loads": staticmethod(lambda t: looked.append(1) or json.loads(t))}))
+    rows, end = FD._Reader(FD.folder_fetch(str(tmp_path)), FD.START, 1000).read({"since": FD.START})
+    assert len(list(rows)) == 200 and end == {"since": "199-z"} and len(looked) <= 400
+
+
+def test_pages_land_in_the_feeds_order(spark, sf_dir):
+    from gristmill.fixtures import Fixtures
+    from gristmill.plans.sync_queries import _land as land
+
+    wide = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(7)
+    f = Fixtures(spark, sf_dir)
+    f.events = wide
+    reader = FD._Reader(FD.folder_fetch(land(f)), FD.START, 10**9)
+    seqs = [int(r[1]) for r in reader.read({"since": FD.START})[0]]
+    assert seqs == sorted(seqs) and len(seqs) == wide.count()
