@@ -73,7 +73,7 @@ def _levels(steps: DataFrame, roots: DataFrame, parents: bool, last: int | None
     """Levels up to `last`, or to the end; None if, after `LOOK_FOR_CYCLES` of them, circles() holds."""
     keep = ["version_from", "version_to", *(["version_parent"] if parents else [])]
     out = Parts(steps.sparkSession, "levels")
-    level = roots.select(F.col("root").alias("version_from"), F.col("root").alias("version_to"))
+    level = written(roots.select(F.col("root").alias("version_from"), F.col("root").alias("version_to")), "roots")
     steps = steps.select(F.col("src").alias("version_parent"), F.col("dst").alias("version_to"))
     for depth in count(1):
         if last is not None and depth > last:
@@ -160,7 +160,9 @@ def requirement_graph_go(requires: DataFrame, go_versions: DataFrame, roots: Dat
     that a root of 1.17 or later requires directly is loaded but not expanded.
     """
     key = ["root", "path", "version"]
-    lazy = go_versions.select("path", "version", (F.col("minor") >= 17).alias("lazy"))
+    # both are joined in every round; counted, so that they are not broadcast where they are many
+    requires, roots = written(requires, "requires"), written(roots, "roots")
+    lazy = written(go_versions.select("path", "version", (F.col("minor") >= 17).alias("lazy")), "go-versions")
     start = roots.select("root", F.col("root").alias("path"), "version").join(lazy, ["path", "version"], "left")
     loaded = Parts(requires.sparkSession, "loaded-modules")
 

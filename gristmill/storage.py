@@ -31,36 +31,43 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows beyond which a written table is not broadcast: its files may be far smaller than what the driver would hold.
+BROADCAST_ROWS = 200_000
+
+
 class Parts:
     """A table that a loop writes in parts, one Parquet folder each, in the shared folder.
 
     A part is written once, with the number of its rows counted on the way, and
     outlives the executors that made it; `rows` reads all of them. `drop` deletes
-    what the loop no longer needs; parts behind a result stay.
+    what the loop no longer needs; parts behind a result stay. Tables of more than
+    `BROADCAST_ROWS` rows ask for joins without a broadcast.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
-        self.schema = None
+        self.schema, self.n = None, 0
 
     def add(self, df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
         """Writes a part; returns it as read again, and its number of rows (those where `counted` holds, if given)."""
         seen, path = Observation(), f"{self.base}/{len(self.paths):06d}"
-        df.observe(seen, F.count_if(F.lit(True) if counted is None else counted).alias("n")).write.parquet(path)
+        df.observe(seen, F.count_if(F.lit(True) if counted is None else counted).alias("n"), F.count("*").alias("all")).write.parquet(path)
         self.paths.append(path)
         self.schema = df.schema
-        return self.spark.read.schema(df.schema).parquet(path), seen.get.get("n") or 0
+        total = seen.get.get("all") or 0
+        self.n += total
+        return _joined(self.spark.read.schema(df.schema).parquet(path), total), seen.get.get("n") or 0
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+        return _joined(self.spark.read.schema(self.schema).parquet(*self.paths), self.n)
 
     def drop(self) -> None:
         delete(self.spark, self.base)
 
     def replace(self, df: DataFrame) -> tuple[DataFrame, int]:
         """Writes the next state of a table that shrinks or changes, and deletes the one before."""
-        old, self.paths = self.paths, []
+        old, self.paths, self.n = self.paths, [], 0
         self.base = f"{self.base.rsplit('-', 1)[0]}-{uuid.uuid4().hex}"
         out = self.add(df)
         for path in old:
@@ -68,6 +75,10 @@ class Parts:
         return out
 
 
+def _joined(df: DataFrame, rows: int) -> DataFrame:
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table written to the shared folder and read again: cuts the plan, and outlives the executors that made it."""
     return Parts(df.sparkSession, name).add(df)[0]

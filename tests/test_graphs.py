@@ -158,3 +158,19 @@ def test_files_by_path(spark, tmp_path):
     (tmp_path / "c.txt").write_text("# x\ng:d:4\n")
     got = sorted((r.artifact_id, r.version, r.source_line) for r in D.read_inventory_files(spark, str(tmp_path)).collect())
     assert got == [("a", "1", 1), ("b", "2", 1), ("c", "3", 2), ("d", "4", 2)]
+
+
+def test_large_steps_are_not_broadcast(spark, monkeypatch):
+    """A table of a loop that has many rows may be small as files: the count decides."""
+    from gristmill import storage
+
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 100)
+    large, small = (storage.written(spark.range(n).withColumn("x", F.lit("same")), "counted") for n in (101, 100))
+    parts = storage.Parts(spark, "counted")
+    for _ in range(2):
+        parts.add(small, F.col("id") < 0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    other = spark.range(1000).filter("id % 2 = 0")
+    for df, broadcast in ((large, False), (small, True), (parts.rows(), False)):
+        assert ("BroadcastHashJoin" in plan(other.join(df, "id", "left_anti"))) is broadcast
+        assert ("Broadcast" in plan(other.repartition(2, "id").join(df.select("id").filter("id > 1"), "id"))) is broadcast or broadcast
