@@ -149,6 +149,22 @@ def write_repository(rows: DataFrame, base: str) -> DataFrame:
     return written(files.repartition("path").mapInArrow(write, "path string, bytes bigint"), "repository-files")
 
 
+def repository_files(paths: DataFrame, base: str) -> DataFrame:
+    """path and bytes of those of paths (path) that are files below a base. Tasks look them up: a listing of all would be the driver's."""
+
+    def look(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("path", pa.string()), ("bytes", pa.int64())])
+        system, root = opened(base)
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            found = [(p, i.size) for p, i in zip(names, system.get_file_info([f"{root}/{p}" for p in names])) if i.is_file]
+            yield pa.record_batch({"path": [p for p, _ in found], "bytes": [n for _, n in found]}, schema=schema)
+
+    return paths.select("path").mapInArrow(look, "path string, bytes bigint")
+
+
 def in_order(df: DataFrame, by: str, *order: str) -> DataFrame:
     """df with `part`: ranges of (by, order), so that rows of a later part come after those of an earlier one.
 

@@ -317,6 +317,4 @@ UNION ALL SELECT concat(replace(g, '.', '/'), '/a/maven-metadata.xml'), CAST(oct
 def k6_write_repository(f):
     base = f"{shared_dir(f.spark)}/repository-{uuid.uuid4().hex}"
     rows = f.part.select(F.concat(F.lit("org.g"), F.col("p_partkey") % 5).alias("group_id"), F.lit("a").alias("artifact_id"), F.concat(F.lit("1."), F.col("p_partkey")).alias("version"), F.concat(F.lit("<project>"), "p_name", F.lit("</project>")).alias("text"))
-    T.write_repository(rows, base)
-    found = f.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    return found.select(F.regexp_extract("path", r"/repository-[0-9a-f]{32}/(.*)$", 1).alias("path"), F.col("length").alias("bytes"))
+    return T.repository_files(T.write_repository(rows, base), base)

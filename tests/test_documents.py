@@ -163,3 +163,15 @@ def test_snapshot_pointer(spark, tmp_path):
     tables.write_snapshot(spark.range(3), base, 1)
     tables.write_snapshot(spark.range(5), base, 2)
     assert tables.read_snapshot(spark, base).count() == 5
+
+
+def test_repository_files_are_looked_up_by_path(spark, tmp_path):
+    from gristmill.operators import tables as T
+
+    rows = spark.createDataFrame([("org.g", "a", "1.0", "<p/>"), ("org.g", "b", "2", "é")], "group_id string, artifact_id string, version string, text string")
+    made = T.write_repository(rows, str(tmp_path / "r"))
+    (tmp_path / "r/org/g/b/2/b-2.pom").unlink()
+    asked = made.select("path").union(spark.createDataFrame([("org/g",), ("no/where",)], "path string"))
+    found = {r.path: r.bytes for r in T.repository_files(asked, str(tmp_path / "r")).collect()}
+    want = {r.path: r.bytes for r in made.collect() if r.path != "org/g/b/2/b-2.pom"}
+    assert found == want and found["org/g/a/1.0/a-1.0.pom"] == 4
