@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges as R
 from ..functions import versions as V
 from ..operators import matching as M
+from ..storage import written
 from .registry import query
 
 
@@ -53,10 +54,10 @@ def v5_range_bounds(f):
 @query("""SELECT v.pkg, w.spec, count(*) FILTER (WHERE NOT pre AND ord >= lo AND ord < hi) AS n_fit, count(*) AS n
 FROM (SELECT DISTINCT dep AS pkg, spec FROM fx_dep) w JOIN specs s ON s.spec = w.spec JOIN ver v ON v.pkg = w.pkg GROUP BY ALL""")
 def v11_range_test(f):
-    wanted = f.fx_dep.select(F.col("dep").alias("pkg"), "spec").distinct()
+    wanted = written(f.fx_dep.select(F.col("dep").alias("pkg"), "spec").distinct(), "wanted-specs")
     ranges = R.nested_ranges(R.range_bounds(wanted))
     versions = f.fx_version.select("pkg", V.semver(F.col("version")).alias("v"))
-    rows = wanted.join(ranges, "spec").join(versions, "pkg").withColumn("fit", R.may_fit(F.col("v")) & R.range_test(F.col("range"), F.col("v")))
+    rows = wanted.join(versions, "pkg").join(ranges, "spec").withColumn("fit", R.may_fit(F.col("v")) & R.range_test(F.col("range"), F.col("v")))
     return rows.groupBy("pkg", "spec").agg(F.count_if("fit").alias("n_fit"), F.count("*").alias("n"))
 
 
