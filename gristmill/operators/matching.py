@@ -118,13 +118,18 @@ def specifier_match(pairs: DataFrame) -> DataFrame:
     """pairs (name, specifiers, version): the rows that match.
 
     Prereleases match only where a specifier names one; a requirement without
-    specifiers takes them where its name has no stable version.
+    specifiers takes them where its name has no stable version. Specifiers and a
+    version are compared once, however many names they are asked for.
     """
-    fits = pairs.filter(F.forall("specifiers", lambda s: specifier_holds(s, F.col("version"))))
-    pre = V.pep440_is_prerelease(F.col("version"))
-    stable = F.max(~pre).over(Window.partitionBy("name", "specifiers"))
-    keep = F.when(F.size("specifiers") == 0, ~pre | ~stable).otherwise(~pre | names_prerelease(F.col("specifiers")))
-    return fits.withColumn("__keep", keep).filter("__keep").drop("__keep")
+    cases = pairs.select("specifiers", "version").distinct().filter(F.forall("specifiers", lambda s: specifier_holds(s, F.col("version"))))
+    none, pre = F.size("specifiers") == 0, V.pep440_is_prerelease(F.col("version"))
+    cases = cases.withColumn("__pre", pre).filter(none | ~F.col("__pre") | names_prerelease(F.col("specifiers"))).withColumnsRenamed({"specifiers": "__s", "version": "__v"})
+    cases = written(cases, "specifier-cases")  # few: then they are broadcast, and pairs aren't shuffled
+    fits = pairs.join(cases, F.col("specifiers").eqNullSafe(F.col("__s")) & F.col("version").eqNullSafe(F.col("__v")))
+    # only where a requirement has no specifiers a name's other versions count
+    stable = F.max(~F.col("__pre")).over(Window.partitionBy("name"))
+    bare = fits.filter(none).withColumn("__stable", stable).filter(~F.col("__pre") | ~F.col("__stable"))
+    return bare.select(*pairs.columns).union(fits.filter(~none).select(*pairs.columns))
 
 
 def candidates_pip(requirements: DataFrame, versions: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

@@ -81,3 +81,16 @@ def test_best_in_ranges_is_the_best_of_those_that_fit(spark):
     fits = rows.join(parsed, "pkg").filter(range_test(F.col("range"), F.col("v"))).groupBy("pkg", "spec").agg(F.max_by("version", F.struct(~F.col("deprecated"), F.col("v.key"))).alias("best"))
     want = {(r.pkg, r.spec): r.best for r in fits.collect()}
     assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {} and len(got) > 40
+
+
+def test_specifiers_meet_a_version_once(spark):
+    from gristmill.operators import matching as M
+
+    s = "name string, specifiers array<struct<op: string, version: string>>, version string"
+    one, rc = [(">=", "1")], [(">=", "1.0rc1")]
+    rows = [("a", one, "1.0"), ("a", one, "1.0"), ("b", one, "1.0"), ("b", one, "1.1rc1"), ("b", rc, "1.1rc1"), ("a", [], "1.0"), ("a", [], "2.0rc1"), ("c", [], "2.0rc1"), ("d", [], None), ("d", one, None), ("d", one, "junk"), ("e", None, "1.0")]
+    out = M.specifier_match(spark.createDataFrame(rows, s))
+    got = sorted((r.name, str([tuple(x) for x in r.specifiers]), str(r.version)) for r in out.collect())
+    assert got == sorted((n, str(sp), str(v)) for n, sp, v in [rows[0], rows[1], rows[2], rows[4], rows[5], rows[7], rows[8]])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("specifiers" not in line.split("], [")[1] for line in plan.splitlines() if " Window [" in line)
