@@ -28,10 +28,14 @@ LOOK_FOR_CYCLES = 48
 HOPS = 3
 
 
-def _hops(level: DataFrame, follow, depth: int) -> DataFrame:
-    """The rows that `follow` reaches from a level's rows in 1, 2, ... HOPS steps, each with the least depth at which it does."""
+#: Steps that a job of `min_depth` goes where most nodes are roots.
+NEAR = 4
+
+
+def _hops(level: DataFrame, follow, depth: int, hops: int = HOPS) -> DataFrame:
+    """The rows that `follow` reaches from a level's rows in 1, 2, ... `hops` steps, each with the least depth at which it does."""
     found = []
-    for i in range(1, HOPS + 1):
+    for i in range(1, hops + 1):
         level = follow(level).distinct()
         found.append(level.withColumn("depth", F.lit(depth + i).cast("bigint")))
     keys = level.columns
@@ -39,15 +43,25 @@ def _hops(level: DataFrame, follow, depth: int) -> DataFrame:
 
 
 def min_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """edges (src, dst), roots (root): root, node, depth by shortest path; what isn't reached has no row."""
+    """edges (src, dst), roots (root): root, node, depth by shortest path; what isn't reached has no row.
+
+    Where half of the nodes or more are roots, what lies within `NEAR` steps of each
+    node is found once, before the walk: of a root that is part of its result.
+    """
     seen = Parts(edges.sparkSession, "depths")
     frontier, n = seen.add(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct())
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     follow = lambda level: level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
-    for depth in count(0, HOPS):
+    nodes, hops = edges.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct(), HOPS
+    step = lambda level, depth: _hops(level, follow, depth)
+    if 2 * n >= nodes.count():
+        near, hops = written(_hops(nodes, follow, 0, NEAR).select(F.col("root").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("steps")), "near"), NEAR
+        step = lambda level, depth: level.join(near, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg((F.min("steps") + depth).alias("depth"))
+    for depth in count(0, hops):
         if not n:
             return seen.rows()
-        new = _hops(frontier.select("root", "node"), follow, depth).join(seen.rows().select("root", "node"), ["root", "node"], "left_anti")
-        last = F.col("depth") == depth + HOPS
+        new = step(frontier.select("root", "node"), depth).join(seen.rows().select("root", "node"), ["root", "node"], "left_anti")
+        last = F.col("depth") == depth + hops
         part, n = seen.add(new, last)
         frontier = part.filter(last)
 

@@ -16,18 +16,26 @@ def node_table(nodes: DataFrame, ecosystem: str) -> DataFrame:
     return nodes.select("root", ident.alias("id"), "name", "version", F.when(F.col("depth") == 0, "root").otherwise("runtime").alias("scope"), attributes.alias("attributes"))
 
 
-def edge_table(edges: DataFrame, depths: DataFrame, ecosystem: str) -> DataFrame:
-    """edges (root, src, dst, constraint), depths (root, node, depth): distinct edges with direct or transitive.
+def edge_table(edges: DataFrame, depths: DataFrame, *ecosystems: str) -> DataFrame:
+    """edges (root, src, dst, constraint, and parent_depth where it is known), depths (root, node, depth): distinct edges with direct or transitive; `e` tells the ecosystem where there are several.
 
     cargo: direct if the parent is the root; pip: if the child's least depth is 1;
-    npm and maven: if the edge's depth in the tree, one below its parent, is 1.
+    npm and maven: if the edge's depth in the tree, one below its parent, is 1. A
+    root's direct dependencies go to its edges as a list, so that edges are shuffled
+    once, by root, whatever is grouped by it afterwards.
     """
-    rows = edges.filter("src <> dst").distinct()
-    child = depths.select("root", F.col("node").alias("dst"), F.col("depth").alias("child_depth"))
-    parent = depths.select("root", F.col("node").alias("src"), F.col("depth").alias("parent_depth"))
-    rows = rows.join(child, ["root", "dst"], "left").join(parent, ["root", "src"], "left")
-    direct = {"cargo": F.col("src") == F.col("root"), "pip": F.col("child_depth") == 1}.get(ecosystem, F.col("parent_depth") == 0)
-    return rows.select("root", "src", "dst", "constraint", F.when(direct, "direct").otherwise("transitive").alias("relation"), (F.col("parent_depth") + 1).alias("depth"))
+    rows = edges.filter("src <> dst")
+    if "parent_depth" not in edges.columns:
+        rows = rows.join(depths.select("root", F.col("node").alias("src"), F.col("depth").alias("parent_depth")), ["root", "src"], "left")
+    if "pip" in ecosystems:
+        first = depths.filter("depth = 1").groupBy("root").agg(F.collect_list("node").alias("first"))
+        rows = rows.join(first, "root", "left").withColumn("first", F.coalesce(F.array_contains("first", F.col("dst")), F.lit(False)))
+    rows = rows.distinct()
+    of = {"cargo": F.col("src") == F.col("root"), "pip": F.col("first") if "pip" in ecosystems else None}
+    relation = lambda e: F.when(of.get(e, F.col("parent_depth") == 0), "direct").otherwise("transitive")
+    rows = rows.withColumn("__e", F.explode(F.array(*(F.struct(F.lit(e).alias("e"), relation(e).alias("relation")) for e in ecosystems))))
+    out = rows.select("root", "src", "dst", "constraint", "__e.relation", (F.col("parent_depth") + 1).alias("depth"), "__e.e")
+    return out if len(ecosystems) > 1 else out.drop("e")
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:

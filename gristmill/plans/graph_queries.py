@@ -204,8 +204,8 @@ def g18_effective_poms(f):
 def _tree(f):
     depths = G.min_depth(_edges(f), _roots(f))
     nodes = R.node_table(depths.select("root", F.col("node").alias("name"), F.lit("1").alias("version"), "depth"), "pip")
-    edges = depths.select("root", F.col("node").alias("src")).join(f.fx_dep.select(F.col("pkg").alias("src"), F.col("dep").alias("dst"), F.col("spec").alias("constraint")), "src")
-    return depths, nodes, edges.select("root", "src", "dst", "constraint")
+    edges = depths.select("root", F.col("node").alias("src"), F.col("depth").alias("parent_depth")).join(f.fx_dep.select(F.col("pkg").alias("src"), F.col("dep").alias("dst"), F.col("spec").alias("constraint")), "src")
+    return depths, nodes, edges.select("root", "src", "dst", "constraint", "parent_depth")
 
 
 @query(f"WITH RECURSIVE {_DEPTHS} SELECT root, concat('pip:', CAST(node AS VARCHAR), '@1') AS id, node AS name, '1' AS version, CASE WHEN depth = 0 THEN 'root' ELSE 'runtime' END AS scope, '{{}}' AS attributes FROM depths", recursive=True)
@@ -220,7 +220,7 @@ _RELATIONS = f"{_DEPTHS}, tree AS (SELECT DISTINCT d.root, x.pkg AS src, x.dep A
 FROM tree t JOIN depths c ON c.root = t.root AND c.node = t.dst, (VALUES ('cargo'), ('pip'), ('npm')) v(e)""", recursive=True)
 def r2_edge_table(f):
     depths, _, edges = _tree(f)
-    return T.union_items(*(R.edge_table(edges, depths, e).withColumn("e", F.lit(e)) for e in ("cargo", "pip", "npm")))
+    return R.edge_table(edges, depths, "cargo", "pip", "npm")
 
 
 @query(f"""WITH RECURSIVE {_DEPTHS} SELECT root, count(*) AS node_count, count(*) FILTER (WHERE depth = 1) AS direct_nodes FROM depths GROUP BY root""", recursive=True)

@@ -174,3 +174,42 @@ def test_large_steps_are_not_broadcast(spark, monkeypatch):
     for df, broadcast in ((large, False), (small, True), (parts.rows(), False)):
         assert ("BroadcastHashJoin" in plan(other.join(df, "id", "left_anti"))) is broadcast
         assert ("Broadcast" in plan(other.repartition(2, "id").join(df.select("id").filter("id > 1"), "id"))) is broadcast or broadcast
+
+
+def test_depths_of_all_nodes_and_of_few(spark):
+    import random
+
+    rnd = random.Random(5)
+    pairs = [(i, i + 1) for i in range(12)] + [(12, 3), (40, 41), (41, 40), (50, 50)] + [(rnd.randrange(12), rnd.randrange(40, 60)) for _ in range(8)]
+    nodes = sorted({n for p in pairs for n in p})
+
+    def depths(root):
+        seen, front = {root: 0}, [root]
+        while front:
+            front = list(dict.fromkeys(d for f in front for s, d in pairs if s == f and d not in seen))
+            seen.update({d: max(seen.values()) + 1 for d in front})
+        return {(root, n, d) for n, d in seen.items()}
+
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    for roots in (nodes, [0, 40]):
+        got = G.min_depth(edges, spark.createDataFrame([(r,) for r in roots], "root long")).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == {t for r in roots for t in depths(r)}
+
+
+def test_edges_of_a_root_are_shuffled_once(spark):
+    from gristmill.operators import reports as R
+
+    edges = spark.createDataFrame([(1, 1, 2, "a"), (1, 1, 2, "a"), (1, 2, 3, "b"), (1, 1, 3, "c"), (1, 2, 2, "x"), (1, 3, 4, "d")], "root long, src long, dst long, constraint string")
+    depths = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2)], "root long, node long, depth long")
+    got = {(r.e, r.src, r.dst): (r.relation[0], r.depth) for r in R.edge_table(edges, depths, "cargo", "pip", "npm").collect()}
+    assert got == {(e, *p): (x, d) for p, d, kinds in (((1, 2), 1, "ddd"), ((1, 3), 1, "ddd"), ((2, 3), 2, "tdt"), ((3, 4), 2, "ttt")) for e, x in zip(("cargo", "pip", "npm"), kinds)}
+    assert "e" not in R.edge_table(edges, depths, "cargo").columns
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = edges.join(depths.select("root", F.col("node").alias("src"), F.col("depth").alias("parent_depth")).hint("broadcast"), ["root", "src"])
+        counts = R.edge_table(known, depths, "pip").groupBy("root").agg(F.count_if(F.col("relation") == "direct").alias("n"))
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # edges, and direct dependencies
