@@ -52,6 +52,14 @@ def test_states_of_pip(spark):
     assert {r.root: r.state for r in states.collect()} == {"r": "limit", "q": "empty"} and {r.level for r in edges.collect()} == {1}
 
 
+def test_rounds_go_on_without_settled_roots(spark, monkeypatch):
+    rounds, required = [], R._Resolution.required
+    monkeypatch.setattr(R._Resolution, "required", lambda job, state: rounds.append({r.root for r in state.select("root").distinct().collect()}) or required(job, state))
+    out, _, clash = _resolved(spark, [("a", "1"), ("r", "1")], [("r", "1", "b", ""), ("b", "1", "c", "")], [(p, "1") for p in "rabc"])
+    assert out == {"a": {"a": ["1"]}, "r": {p: ["1"] for p in "rbc"}} and not clash
+    assert rounds == [{"a", "r"}, {"r"}, {"r"}]
+
+
 def test_cargo_shares_compatible_versions(spark):
     versions = [(p, "1.0.0") for p in "rxy"] + [("a", v) for v in ("0.2.9", "0.3.1", "1.2.0", "1.3.5", "1.9.0", "2.1.0")]
     deps = [("r", "1.0.0", "x", "1"), ("r", "1.0.0", "y", "1"), ("x", "1.0.0", "a", "1.2"), ("y", "1.0.0", "a", "~1.3"), ("r", "1.0.0", "a", "2"), ("y", "1.0.0", "b", "1")]
