@@ -138,19 +138,25 @@ def candidates_pip(requirements: DataFrame, versions: DataFrame, metadata: DataF
     A candidate meets all requirements of the root on the name, each with its own
     rule for prereleases, and has a row in metadata (name, version), if given.
     Yanked versions count only where some requirement pins with ==. Newest first.
+    A set of requirements and a version are compared once, however many roots and
+    names they are asked for.
     """
-    per_root = requirements.groupBy("root", "name").agg(F.collect_set("specifiers").alias("needs"))
+    per_root = requirements.groupBy("root", "name").agg(F.array_sort(F.collect_set("specifiers")).alias("needs"))
+    held = versions.select("name", "version", F.coalesce("yanked", F.lit(False)).alias("yanked"))
+    held = held.withColumn("known", F.lit(True)) if metadata is None else held.join(metadata.select("name", "version").distinct().withColumn("known", F.lit(True)), ["name", "version"], "left")
+    joined = written(per_root.join(held, "name"), "wanted-versions")
     pre = V.pep440_is_prerelease(F.col("version"))
-    own = Window.partitionBy("root", "name")
     meets = lambda need: F.forall(need, lambda s: specifier_holds(s, F.col("version"))) & ((F.size(need) == 0) | ~F.col("pre") | names_prerelease(need))
-    joined = per_root.join(versions.select("name", "version", F.coalesce("yanked", F.lit(False)).alias("yanked"), pre.alias("pre")), "name")
-    fits = joined.filter(F.forall("needs", meets)).withColumn("stable", F.max(~F.col("pre")).over(own))
-    fits = fits.filter(~F.col("pre") | ~F.col("stable") | ~F.exists("needs", lambda need: F.size(need) == 0))
-    pinned = F.exists("needs", lambda need: F.exists(need, lambda s: s["op"] == "=="))
-    fits = fits.filter(~F.col("yanked") | pinned)
-    if metadata is not None:
-        fits = fits.join(metadata.select("name", "version"), ["name", "version"], "left_semi")
-    order = own.orderBy(V.pep440_key(F.col("version")).desc())
+    # written before they are compared: a filter would be pushed below the distinct, to each row
+    cases = written(joined.select("needs", "version").distinct(), "candidate-pairs").withColumn("pre", pre).filter(F.forall("needs", meets))
+    bare, pinned = F.exists("needs", lambda need: F.size(need) == 0), F.exists("needs", lambda need: F.exists(need, lambda s: s["op"] == "=="))
+    cases = cases.select(F.col("needs").alias("__n"), F.col("version").alias("__v"), "pre", V.pep440_key(F.col("version")).alias("key"), bare.alias("bare"), pinned.alias("pinned"))
+    cases = written(cases, "candidate-cases")  # few: then they are broadcast
+    fits = joined.join(cases, F.col("needs").eqNullSafe(F.col("__n")) & F.col("version").eqNullSafe(F.col("__v"))).select("root", "name", "version", "yanked", "known", "pre", "key", "bare", "pinned")
+    order = Window.partitionBy("root", "name").orderBy(F.col("key").desc())
+    # over the same order, so that rows are sorted once
+    stable = F.max(~F.col("pre")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    fits = fits.withColumn("stable", stable).filter((~F.col("pre") | ~F.col("stable") | ~F.col("bare")) & (~F.col("yanked") | F.col("pinned")) & F.col("known"))
     return fits.select("root", "name", "version", F.row_number().over(order).cast("bigint").alias("rank"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import ranges as R
 from gristmill.functions import versions as V
+from gristmill.operators import matching as M
 
 FITS = [
     ("1.0.0 - 2.0.0", "1.2.3"), ("^1.2.3+build", "1.2.3"), ("1.2.3 - 2.4", "2.4.9"), ("1.2 - 3", "3.9.9"), ("*", "1.2.3"), ("", "1.0.0"), (">=1.0.0", "1.1.0"),
@@ -94,3 +95,14 @@ def test_specifiers_meet_a_version_once(spark):
     assert got == sorted((n, str(sp), str(v)) for n, sp, v in [rows[0], rows[1], rows[2], rows[4], rows[5], rows[7], rows[8]])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and all("specifiers" not in line.split("], [")[1] for line in plan.splitlines() if " Window [" in line)
+
+
+def test_candidates_compare_each_case_once(spark):
+    s = "array<struct<op: string, version: string>>"
+    needs = spark.createDataFrame([(r, "a", [(">=", "1")]) for r in range(50)] + [(r, "a", []) for r in range(25)] + [(99, "b", [])], f"root int, name string, specifiers {s}")
+    versions = spark.createDataFrame([("a", "1.0", False), ("a", "2.0rc1", False), ("a", "1.5", True), ("a", "0.9", False), ("b", "1rc1", False)], "name string, version string, yanked boolean")
+    out = M.candidates_pip(needs, versions, versions.filter("version <> '9'").unionByName(versions))
+    # what is compared is read from a written table of distinct cases: no version is matched for each root again
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_" not in plan
+    assert sorted(map(tuple, out.collect())) == [(r, "a", "1.0", 1) for r in range(50)] + [(99, "b", "1rc1", 1)]
