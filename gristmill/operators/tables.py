@@ -35,6 +35,14 @@ def order_nodes(nodes: DataFrame, ecosystem: str, key: Column) -> DataFrame:
     return nodes.withColumn("position", F.row_number().over(Window.partitionBy("root").orderBy(*by)).cast("bigint"))
 
 
+def per_text(rows: DataFrame, column: str, **values: Column) -> DataFrame:
+    """Rows with values of a text column, computed once for each distinct text; rows are written, as they are read twice."""
+    rows = written(rows, "rows")
+    texts = written(rows.select(column).distinct(), "texts")
+    found = written(texts.select(F.col(column).alias("__text"), *(v.alias(k) for k, v in values.items())), "text-values")
+    return rows.join(found, F.col(column).eqNullSafe(F.col("__text"))).drop("__text")
+
+
 def claim_batch(status: DataFrame, n: int, states: tuple[str, ...] = ("undone",), offset: int = 0) -> DataFrame:
     """The n lowest ids in one of the states, after `offset` others."""
     return status.filter(F.col("status").isin(*states)).orderBy("version_id").offset(offset).limit(n)

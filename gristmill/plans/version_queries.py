@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges as R
 from ..functions import versions as V
 from ..operators import matching as M
+from ..operators import tables as T
 from ..storage import written
 from .registry import query
 
@@ -168,9 +169,11 @@ SELECT v.pkg AS name, v.version AS num, version_id, version_id IS NULL AS error
 def j4_attach_ids(f):
     v = V.semver(F.col("version"))
     order = ((v["major"] * 100 + v["minor"]) * 100 + v["patch"]) * 100 + F.coalesce(F.regexp_extract("version", r"-rc\.(\d+)$", 1).try_cast("bigint"), F.lit(99))
-    ids = f.fx_version.filter("pkg % 7 <> 0").select(F.col("pkg").alias("name"), F.col("version").alias("num"), (F.col("pkg") * 1000 + order).alias("version_id"))
-    ids = ids.union(ids.withColumn("version_id", F.col("version_id") + 1))
-    out = M.attach_ids(f.fx_version.select(F.col("pkg").alias("name"), F.col("version").alias("num")), ids)
+    rows = T.per_text(f.fx_version.select("pkg", "version"), "version", ord=order)
+    ids = rows.filter("pkg % 7 <> 0").select(F.col("pkg").alias("name"), F.col("version").alias("num"), (F.col("pkg") * 1000 + F.col("ord")).alias("version_id"))
+    # each id and the one after it, of rows that are grouped once
+    ids = ids.select("name", "num", F.explode(F.array(F.col("version_id"), F.col("version_id") + 1)).alias("version_id"))
+    out = M.attach_ids(rows.select(F.col("pkg").alias("name"), F.col("version").alias("num")), ids)
     return out.withColumn("error", F.col("version_id").isNull())
 
 
