@@ -227,8 +227,12 @@ SELECT root, version, 'go', CAST(row_number() OVER (PARTITION BY root ORDER BY d
 def w4_order_nodes_edges(f):
     v = V.semver(F.col("version"))
     order = ((v["major"] * 100 + v["minor"]) * 100 + v["patch"]) * 100 + F.coalesce(F.regexp_extract("version", r"-rc\.(\d+)$", 1).try_cast("bigint"), F.lit(99))
-    nodes = f.fx_version.withColumn("ord", order).select(F.col("pkg").alias("root"), "version", v["key"].alias("key"), (F.col("pkg") % 7 + F.col("ord") % 3).alias("name"), (F.col("ord") % 4).alias("depth"))
-    return T.union_items(*(T.order_nodes(nodes, e, F.col("key")).withColumn("eco", F.lit(e)) for e in ("pip", "go"))).select("root", "version", "eco", "position")
+    parsed = T.per_text(f.fx_version.select("pkg", "version"), "version", key=v["key"], ord=order)
+    nodes = parsed.select(F.col("pkg").alias("root"), "version", "key", (F.col("pkg") % 7 + F.col("ord") % 3).alias("name"), (F.col("ord") % 4).alias("depth"))
+    # both orders of the same rows: they are shuffled once
+    for e in ("pip", "go"):
+        nodes = T.order_nodes(nodes, e, F.col("key")).withColumnRenamed("position", e)
+    return nodes.select("root", "version", F.inline(F.array(*(F.struct(F.lit(e).alias("eco"), F.col(e).alias("position")) for e in ("pip", "go")))))
 
 
 @query("""WITH c AS (SELECT o_custkey AS version_id, (row_number() OVER (ORDER BY o_custkey) - 1) // 50 AS batch FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F')
