@@ -276,12 +276,13 @@ def pick_artifact(files: DataFrame) -> DataFrame:
     python, platform = (F.regexp_extract("filename", r"-([^-]+)-([^-]+)-([^-]+)\.whl$", i) for i in (1, 3))
     sdist = F.col("filename").rlike(r"\.(tar\.gz|zip|tar\.bz2|tgz)$")
     here = (F.when(platform == "any", 0).when(platform.contains("linux"), 1).otherwise(2)) + F.when(python.rlike(r"(^|\.)(py3|cp3\d*)"), 0).otherwise(3)
-    rank = F.when(wheel, F.struct(F.lit(0), here)).when(F.col("filename").endswith(".tar.gz"), F.struct(F.lit(1), F.lit(0))).when(sdist, F.struct(F.lit(2), F.lit(0)))
-    rows = files.withColumn("rank", rank).filter("rank IS NOT NULL")
+    # wheels by fit, then source archives; sorted are the rank as a number and the one digest, not its map
+    rank = F.when(wheel, here).when(F.col("filename").endswith(".tar.gz"), 10).when(sdist, 11)
+    digest = F.coalesce(F.try_element_at("digests", F.lit("sha256")), F.try_element_at(F.map_values("digests"), F.lit(1)))
+    rows = files.select("name", "version", "filename", rank.alias("rank"), digest.alias("hash")).filter("rank IS NOT NULL")
     first = Window.partitionBy("name", "version").orderBy("rank", "filename")
     rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1")
-    digest = F.coalesce(F.try_element_at("digests", F.lit("sha256")), F.try_element_at(F.map_values("digests"), F.lit(1)))
-    return rows.select("name", "version", "filename", F.when(wheel, "wheel").otherwise("sdist").alias("kind"), digest.alias("hash"))
+    return rows.select("name", "version", "filename", F.when(wheel, "wheel").otherwise("sdist").alias("kind"), "hash")
 
 
 def worklist_status(events: DataFrame, restart: bool = False) -> DataFrame:

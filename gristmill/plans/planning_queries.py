@@ -172,7 +172,7 @@ def p18_pick_artifact(f):
     wheels = F.when(F.col("deprecated"), F.array(F.lit("n-1-py2-none-any.whl"), F.lit("n-1-py3-none-manylinux_x.whl"))).otherwise(F.array(F.lit("n-1-py3-none-win32.whl"), F.lit("n-1-py3-none-any.whl")))
     names = F.concat(F.array(F.lit("n-1.exe"), F.lit("n-1.zip"), F.lit("n-1.tar.gz")), F.when(F.col("yanked"), F.array().cast("array<string>")).otherwise(wheels))
     digests = F.when(F.col("pkg") % 2 == 0, F.create_map(F.lit("md5"), F.lit("m"), F.lit("sha256"), F.lit("s"))).otherwise(F.create_map(F.lit("md5"), F.lit("m")))
-    return P.pick_artifact(f.fx_version.select(F.col("pkg").alias("name"), "version", F.explode(names).alias("filename"), digests.alias("digests")))
+    return P.pick_artifact(f.dealt().fx_version.select(F.col("pkg").alias("name"), "version", F.explode(names).alias("filename"), digests.alias("digests")))
 
 
 @query("""SELECT o_custkey AS version_id, CASE s WHEN 'P' THEN 'undone' WHEN 'F' THEN 'done' ELSE 'fail' END AS status, s <> 'F' AS selectable FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1)""")
@@ -218,7 +218,7 @@ def w2_latest_state(f):
 
 @query("SELECT * FROM (SELECT pkg AS name, version, CAST(row_number() OVER (PARTITION BY pkg ORDER BY ord DESC) AS BIGINT) AS rank FROM ver) WHERE rank <= 5")
 def w3_top_versions(f):
-    return T.top_versions(_keyed(f).select("name", "version", "key"), 5, F.col("key")).drop("key")
+    return T.top_versions(_keyed(f.dealt()).select("name", "version", "key"), 5, F.col("key")).drop("key")
 
 
 @query("""WITH n AS (SELECT pkg AS root, ord, version, pkg % 7 + ord % 3 AS name, ord % 4 AS depth FROM ver)

@@ -140,7 +140,7 @@ def s12_read_change_feed(f):
 @query("""SELECT pkg AS name, version, yanked, CASE pkg % 3 WHEN 2 THEN 'only' ELSE 'a|b' END AS requires FROM fx_version""")
 def s13_index_lookup(f):
     text = F.when(F.col("pkg") % 3 == 0, '["a", "b"]').when(F.col("pkg") % 3 == 1, "['a', 'b']").otherwise("only")
-    index = f.fx_version.select(F.col("pkg").alias("name"), "version", F.when(F.col("yanked"), True).alias("yanked"), text.alias("dependency"))
+    index = f.dealt().fx_version.select(F.col("pkg").alias("name"), "version", F.when(F.col("yanked"), True).alias("yanked"), text.alias("dependency"))
     wanted = f.part.select(F.col("p_partkey").alias("name"))
     out = D.index_lookup(index, wanted, ["name"])
     return out.select("name", "version", "yanked", F.array_join("requires_dist", "|").alias("requires"))
