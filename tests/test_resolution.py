@@ -134,3 +134,17 @@ def test_mediation_prunes_what_loses(spark):
     assert got == {("r", "1", 0, None, True), ("a", "1", 1, "r", True), ("b", "2", 1, "r", True), ("u", "1", 1, "r", True), ("b", "1", 2, "a", False), ("c", "9", 2, "a", True), ("d", "1", 2, "a", True), ("d", "2", 2, "b", False), ("e", "1", 3, "c", True), ("r", "5", 3, "d", False)}
     filled = R.fill_versions(deps.limit(1).withColumn("dep_version", F.lit("${v}.${w}")), spark.createDataFrame([("r:1", "v", "3")], "gav string, key string, value string")).first()
     assert filled.dep_version == "3.${w}"
+
+
+def test_walk_follows_only_versions_that_are_named(spark, monkeypatch):
+    from gristmill.operators import resolution
+
+    kept, real = {}, resolution.written
+    monkeypatch.setattr(resolution, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    deps = [("a", "1", "b", "1", 1)] + [("b", str(i), "c", "1", 1) for i in range(1, 40)] + [("d", "1", "c", "1", 1)]
+    roots = spark.createDataFrame([("a", "1")], "root string, version string")
+    managed = spark.createDataFrame([("a", "c", "7"), ("a", "b", "9")], "root string, ga string, version string")
+    tree = resolution.mediated_closure(roots, spark.createDataFrame(deps, "ga string, version string, dep string, dep_version string, pos int"), managed)
+    assert sorted((r["depth"], r["ga"], r["version"]) for r in tree.collect()) == [(0, "a", "1"), (1, "b", "1"), (2, "c", "7")]
+    # of 39 versions of b, the declared one and the managed one
+    assert kept["declared"].count() == 3
