@@ -148,3 +148,16 @@ def test_walk_follows_only_versions_that_are_named(spark, monkeypatch):
     assert sorted((r["depth"], r["ga"], r["version"]) for r in tree.collect()) == [(0, "a", "1"), (1, "b", "1"), (2, "c", "7")]
     # of 39 versions of b, the declared one and the managed one
     assert kept["declared"].count() == 3
+
+
+def test_closure_keeps_only_versions_that_are_come_to(spark, monkeypatch):
+    from gristmill.operators import graphs
+
+    kept, real = {}, graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    versions = spark.createDataFrame([(p, f"1.0.{i}", False) for p in "abc" for i in range(40)], "pkg string, version string, deprecated boolean")
+    deps = spark.createDataFrame([(p, f"1.0.{i}", d, "^1.0.0") for p, d in ("ab", "bc") for i in range(40)], "pkg string, version string, dep string, spec string")
+    tags = spark.createDataFrame([(p, "latest", "1.0.39") for p in "abc"], "pkg string, tag string, version string")
+    edges = graphs.highest_match_closure(spark.createDataFrame([("a", "1.0.5")], "root string, version string"), deps, versions, tags)[0]
+    assert sorted((r["pkg"], r["pkg_version"], r["dep"], r["version"], r["level"]) for r in edges.collect()) == [("a", "1.0.5", "b", "1.0.39", 1), ("b", "1.0.39", "c", "1.0.39", 2)]
+    assert kept["resolved-dependencies"].count() == 2
