@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import versions as V
 from ..functions.ranges import nested_ranges, range_bounds, range_test
-from ..storage import Parts, written
+from ..storage import BROADCAST_ROWS, Dealt, Parts, written
 from . import matching as M
 from .resolution import candidates, resolve
 
@@ -344,35 +344,64 @@ def collation_key(name: Column) -> Column:
     return F.translate(plain, COLLATION, "".join(chr(0x100 + i) for i in range(len(COLLATION))))
 
 
+#: Of `dedupe_tree_edges`: roots and edges for each bucket of trees, and rows of a level in a bucket up to which they are hashed, and not sorted, to look up what is known.
+ROOTS_A_BUCKET, EDGES_A_BUCKET, HASHED_ROWS = 1 << 15, 1 << 18, 1 << 20
+
+
+#: Places in a root's level stay below this.
+MOST_PLACES = 1 << 63
+
+
 def dedupe_tree_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges (src, dst, kind, and name, valid, alias_target where there are): tree edges of each root breadth first, with the first visit of a node and `deduped` later ones.
 
     Siblings go by the collation of their names (the edge's `name`, by default its
     target's). Edges that aren't valid are left out. A node is expanded where it is
     met first, by level, then by the place of its parent, then by name.
+
+    Names are compared once, among siblings; a place is the parent's, times the most
+    siblings, plus the place among these. Rows of a level are shuffled once, by root
+    and target, into the buckets of the levels before, which stay where they are.
+    Where a level stands at few nodes, however many roots it has, their edges are
+    broadcast; else it is shuffled once more, by node.
     """
+    spark = edges.sparkSession
     has = lambda c, other: F.col(c) if c in edges.columns else other
     steps = edges.filter(F.coalesce(has("valid", F.lit(True)), F.lit(False)) & F.col("dst").isNotNull())
-    name = has("name", F.col("dst")).cast("string")
-    steps = steps.select("src", "dst", "kind", F.struct(collation_key(name).alias("key"), name.alias("name"), "kind").alias("by"), has("alias_target", F.lit(None).cast("string")).alias("alias_target"))
-    spark = edges.sparkSession
-    seen, tree = Parts(spark, "visited"), Parts(spark, "tree-edges")
-    frontier, n = seen.add(roots.select("root", F.col("root").alias("node"), F.lit(1).cast("bigint").alias("place")))
-    for level in count(1):
-        rows = frontier.join(steps, F.col("node") == F.col("src")).select("root", "src", "dst", "kind", "place", "by", "alias_target")
-        old = seen.rows().select("root", F.col("node").alias("dst"), F.lit(True).alias("old"))
-        rows = rows.join(old, ["root", "dst"], "left")
-        # places within the level of a root's tree, and which of a node's visits is the first
-        rows = rows.withColumn("next", F.row_number().over(Window.partitionBy("root").orderBy("place", "by", "dst")).cast("bigint"))
-        first = F.min("next").over(Window.partitionBy("root", "dst"))
-        rows, n = tree.add(rows.select("root", "src", "dst", "kind", F.lit(level).cast("bigint").alias("level"), (F.coalesce("old", F.lit(False)) | (F.col("next") > first)).alias("deduped"), "alias_target", "next"))
-        if not n:
-            break
-        frontier, n = seen.add(rows.filter("NOT deduped").select("root", F.col("dst").alias("node"), F.col("next").alias("place")))
-        if not n:
-            break
-    seen.drop()
-    return tree.rows().select("root", "src", "dst", "kind", "level", "deduped", (F.col("kind") == "peer").alias("peer"), F.col("alias_target").isNotNull().alias("alias"))
+    name, alias = has("name", F.col("dst")).cast("string"), has("alias_target", F.lit(None).cast("string")).isNotNull()
+    siblings = Window.partitionBy("src").orderBy(collation_key(name), name, "kind", "dst", alias)
+    steps = steps.select("src", "dst", "kind", alias.alias("alias"), (F.row_number().over(siblings) - 1).cast("bigint").alias("nth"))
+    steps, n_edges = Parts(spark, "steps").add(steps)
+    width = (steps.agg(F.max("nth")).first()[0] or 0) + 1
+    start = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("place")).filter("root IS NOT NULL").distinct()
+    level, n = Parts(spark, "roots").add(start)
+    follow, k, top = steps, n_edges, 0
+    buckets = max(spark.sparkContext.defaultParallelism, n // ROOTS_A_BUCKET, n_edges // EDGES_A_BUCKET)
+    tree = Dealt(spark, "tree_edges", ("root", "dst"), buckets)
+    try:
+        for depth in count(1):
+            if (top + 1) * width >= MOST_PLACES:  # numbered anew, without gaps
+                level = written(level.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("place")).cast("bigint") - 1), "places")
+                top = level.agg(F.max("place")).first()[0] or 0
+            near = F.broadcast(follow) if k <= BROADCAST_ROWS else follow
+            rows = level.join(near, F.col("node") == F.col("src")).select("root", "src", "dst", "kind", "alias", (F.col("place") * width + F.col("nth")).alias("place"))
+            top = (top + 1) * width - 1
+            again = (F.row_number().over(Window.partitionBy("root", "dst").orderBy("place")) > 1) | (F.col("dst") == F.col("root"))
+            rows = rows.repartition(buckets, "root", "dst").withColumn("deduped", again)
+            if depth > 1:
+                old = tree.rows().filter("NOT deduped").select("root", "dst", F.lit(True).alias("old"))
+                how = "shuffle_hash" if n * width <= HASHED_ROWS * buckets else "merge"
+                rows = rows.hint(how).join(old, ["root", "dst"], "left").withColumn("deduped", F.col("deduped") | F.col("old").isNotNull())
+            tree.add(rows.select("root", "src", "dst", "kind", "alias", "place", F.lit(depth).cast("bigint").alias("level"), "deduped"), ("level", "deduped"))
+            level = tree.files().filter((F.col("level") == depth) & ~F.col("deduped")).select("root", F.col("dst").alias("node"), "place")
+            n = level.count()  # from the files' footers
+            if not n:
+                break
+            # edges of what any root may come to with the next level
+            follow, k = Parts(spark, "steps-of-level").add(steps.join(follow.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+    finally:
+        tree.forget()
+    return tree.files().select("root", "src", "dst", "kind", "level", "deduped", (F.col("kind") == "peer").alias("peer"), "alias")
 
 
 def mediate_nearest(tree: DataFrame) -> DataFrame:

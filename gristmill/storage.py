@@ -75,6 +75,33 @@ class Parts:
         return out
 
 
+class Dealt:
+    """A table that a loop appends to, kept in `n` buckets by `keys`: joins by these keys read what is there without a shuffle.
+
+    It is known to the session until `forget`; its files stay in the shared folder, behind a result.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keys: tuple[str, ...], n: int):
+        self.spark, self.keys, self.n = spark, keys, n
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.base = f"{shared_dir(spark)}/{self.name}"
+        self.schema = None
+
+    def add(self, df: DataFrame, apart: tuple[str, ...]) -> None:
+        """Appends rows that are dealt by the keys already, in a folder for each value of `apart`."""
+        self.schema = df.schema
+        df.write.format("parquet").mode("append").bucketBy(self.n, *self.keys).partitionBy(*apart).option("path", self.base).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def files(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.base)
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def _joined(df: DataFrame, rows: int) -> DataFrame:
     return df.hint("merge") if rows > BROADCAST_ROWS else df
 

@@ -86,6 +86,54 @@ def test_tree_edges_in_the_order_of_names(spark):
     assert [r.n for r in keyed] == ["_x", "@s/b", "9lives", "alpha", "alphabet", "Alpha", "x" * 30 + "1", "x" * 30 + "2", "Zeta"]
 
 
+def _tree(edges, roots, up=None):
+    """Trees of edges (src, dst, kind) as the reference walks them: (root, src, dst, kind, level, deduped)."""
+    found = []
+    for root in roots:
+        seen, queue = {root: 0}, [root]
+        for node in queue:
+            for src, dst, kind in sorted((e for e in edges if e[0] == node), key=lambda e: (str(e[1]), e[2])):
+                found.append((root, src, dst, kind, seen[src] + 1, dst in seen))
+                if dst not in seen:
+                    seen[dst] = seen[src] + 1
+                    queue.append(dst)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("hashed, broadcast, places", [(1 << 20, 200_000, 1 << 63), (0, 0, 1 << 63), (1 << 20, 0, 40)])
+def test_trees_of_graphs_with_cycles(spark, monkeypatch, hashed, broadcast, places):
+    import random
+
+    monkeypatch.setattr(G, "HASHED_ROWS", hashed)
+    monkeypatch.setattr(G, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(G, "MOST_PLACES", places)
+    rnd = random.Random(5)
+    pairs = {(rnd.randrange(10, 50), rnd.randrange(10, 50), rnd.choice(["peer", "runtime"])) for _ in range(90)} | {(i, i + 1, "runtime") for i in range(50, 60)} | {(50, 50, "peer")}
+    roots = [*range(10, 60, 3), 99]
+    edges = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint, kind string")
+    got = G.dedupe_tree_edges(edges, spark.createDataFrame([(r,) for r in roots + roots[:2]], "root bigint"))
+    assert sorted((r.root, r.src, r.dst, r.kind, r.level, r.deduped) for r in got.collect()) == _tree(pairs, roots)
+    assert not spark.catalog.listTables()
+    assert G.dedupe_tree_edges(edges.limit(0), got.select("root")).isEmpty() and G.dedupe_tree_edges(edges, got.select("root").limit(0)).isEmpty()
+
+
+def test_known_nodes_of_trees_stay_where_they_are(spark, monkeypatch):
+    # what a level looks up is read in the buckets that it is in: of a later level only its own rows are shuffled
+    from gristmill import storage
+
+    plans, write = [], storage.Dealt.add
+
+    def add(self, df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, *more)
+
+    monkeypatch.setattr(storage.Dealt, "add", add)
+    edges = _edges(spark, [(i, i // d) for i in range(64) for d in (2, 3) if i >= d]).withColumn("kind", F.lit("runtime"))
+    G.dedupe_tree_edges(edges, edges.select(F.col("src").alias("root"))).count()
+    assert len(plans) > 3 and all(p.count("Exchange hashpartitioning") == 1 for p in plans)
+    assert all("Bucketed: true" in p or "bucketed" in p.lower() for p in plans[1:])
+
+
 def _closed(spark, deps, versions, root, ecosystem, **more):
     deps = spark.createDataFrame(deps, "pkg string, version string, dep string, spec string")
     versions = spark.createDataFrame(versions, "pkg string, version string, deprecated boolean, yanked boolean")
