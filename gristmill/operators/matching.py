@@ -121,7 +121,8 @@ def specifier_match(pairs: DataFrame) -> DataFrame:
     specifiers takes them where its name has no stable version. Specifiers and a
     version are compared once, however many names they are asked for.
     """
-    cases = pairs.select("specifiers", "version").distinct().filter(F.forall("specifiers", lambda s: specifier_holds(s, F.col("version"))))
+    # written before they are compared: a filter would be pushed below the distinct, to each row
+    cases = written(pairs.select("specifiers", "version").distinct(), "specifier-pairs").filter(F.forall("specifiers", lambda s: specifier_holds(s, F.col("version"))))
     none, pre = F.size("specifiers") == 0, V.pep440_is_prerelease(F.col("version"))
     cases = cases.withColumn("__pre", pre).filter(none | ~F.col("__pre") | names_prerelease(F.col("specifiers"))).withColumnsRenamed({"specifiers": "__s", "version": "__v"})
     cases = written(cases, "specifier-cases")  # few: then they are broadcast, and pairs aren't shuffled

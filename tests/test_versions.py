@@ -97,6 +97,18 @@ def test_specifiers_meet_a_version_once(spark):
     assert "Window" in plan and all("specifiers" not in line.split("], [")[1] for line in plan.splitlines() if " Window [" in line)
 
 
+def test_specifiers_are_compared_after_the_distinct(spark, monkeypatch):
+    from gristmill.operators import matching as M
+
+    plans, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    rows = [(n, [(">=", "1")], v) for n in "abc" for v in ("1.0", "0.9")]
+    out = M.specifier_match(spark.createDataFrame(rows, "name string, specifiers array<struct<op: string, version: string>>, version string"))
+    assert sorted(r.name + r.version for r in out.collect()) == ["a1.0", "b1.0", "c1.0"]
+    # no plan that parses a version has the distinct, below which its filter would go
+    assert any("regexp_" in p for p in plans) and not any("regexp_" in p and "Aggregate" in p for p in plans)
+
+
 def test_candidates_compare_each_case_once(spark):
     s = "array<struct<op: string, version: string>>"
     needs = spark.createDataFrame([(r, "a", [(">=", "1")]) for r in range(50)] + [(r, "a", []) for r in range(25)] + [(99, "b", [])], f"root int, name string, specifiers {s}")
