@@ -261,3 +261,60 @@ def test_edges_of_a_root_are_shuffled_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2  # edges, and direct dependencies
+
+
+def _many(monkeypatch, heights=64):
+    """What nodes reach goes by height, in graphs of any size."""
+    monkeypatch.setattr(G, "MANY_EDGES", 0)
+    monkeypatch.setattr(G, "MOST_HEIGHTS", heights)
+    monkeypatch.setattr(G, "_low", lambda counts: 0)
+
+
+@pytest.mark.parametrize("heights", [64, 3])
+def test_depths_by_height(spark, monkeypatch, heights):
+    import random
+
+    rnd = random.Random(11)
+    # ways down without cycles, a ring that some lead to, and a node alone
+    pairs = sorted({(a, b) for a, b in ((rnd.randrange(1, 40), rnd.randrange(40)) for _ in range(70)) if a > b} | {(50, 51), (51, 50), (30, 50), (52, 30), (51, 3)})
+    nodes = sorted({n for p in pairs for n in p} | {99})
+    edges, roots = _edges(spark, pairs), spark.createDataFrame([(r,) for r in nodes], "root bigint")
+    want = sorted(map(tuple, G.min_depth(edges, roots).collect()))
+    _many(monkeypatch, heights)
+    assert sorted(map(tuple, G.min_depth(edges, roots).collect())) == want and {t[0] for t in want} == set(nodes)
+    some = [r for r in nodes if r % 4]
+    assert sorted(map(tuple, G.min_depth(edges, roots.filter("root % 4 > 0")).collect())) == [t for t in want if t[0] in some]
+
+
+def test_what_is_reached_is_shuffled_once_a_height(spark, monkeypatch):
+    _many(monkeypatch)
+    plans, add = [], G.Dealt.add
+    monkeypatch.setattr(G.Dealt, "add", lambda self, df, apart: plans.append(df._jdf.queryExecution().executedPlan().toString()) or add(self, df, apart))
+    edges = _edges(spark, [(i, i // d) for i in range(2, 40) for d in (2, 3) if i >= d])
+    depths = G.min_depth(edges, spark.range(1, 40).select(F.col("id").alias("root")))
+    # a level: its nodes by name, its edges by target, and their union by root; what lies below is read in its buckets
+    assert len(plans) == 6 and all(p.count("FileScan parquet spark_catalog") == 1 and "Bucketed: true" in p for p in plans[1:])
+    # grouped by root, it isn't shuffled again
+    assert "Exchange hashpartitioning" not in depths.groupBy("root").count()._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("more_left", [True, False])
+def test_exclusive_dependencies_from_the_smaller_side(spark, monkeypatch, more_left):
+    import random
+
+    rnd = random.Random(3 + more_left)
+    # chains that one edge from outside breaks, and a ring
+    pairs = {(i, i + 1) for i in range(12)} | {(20, 21), (21, 22), (22, 20), (22, 5 if more_left else 23)} | {(rnd.randrange(8), rnd.randrange(8, 16)) for _ in range(8)} | ({(30, 11)} if more_left else {(30 + i, i) for i in range(12)})
+    reach = lambda r: (lambda grow: grow(grow, {r}))(lambda grow, s: s if (t := s | {d for a, d in pairs if a in s}) == s else grow(grow, t))
+    want = set()
+    for r in sorted({n for p in pairs for n in p}):
+        own = reach(r)
+        while out := {d for a, d in pairs if d in own and d != r and a not in own}:
+            own -= out
+        want |= {(r, d) for d in own}
+    nodes = spark.createDataFrame([(n,) for n in sorted({n for p in pairs for n in p})], "node bigint")
+    joined, by = [], G.Parts.replace
+    monkeypatch.setattr(G.Parts, "replace", lambda self, df: joined.append(self.base.rsplit("/", 1)[1].rsplit("-", 1)[0]) or by(self, df))
+    got = list(map(tuple, G.exclusive_dependencies(_edges(spark, sorted(pairs)), nodes).collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "exclusive" in joined
