@@ -119,7 +119,10 @@ def _depths_by_height(edges: DataFrame, roots: DataFrame) -> DataFrame:
     low, zero = _low(counts), F.lit(0).cast("bigint")
     buckets = max(spark.sparkContext.defaultParallelism, sum(counts) // NODES_A_BUCKET)
     reach = Dealt(spark, "depths_by_root", ("root",), buckets)
-    first = heights.filter(F.col("height") <= low).select(F.col("node").alias("root"))
+    placed, edged = heights.select(F.col("node").alias("root")), edges.select(F.col("src").alias("root")).distinct()
+    others = written(roots.join(placed, "root", "left_anti").join(edged.withColumn("edged", F.lit(True)), "root", "left"), "other-roots")
+    # what no edge leads on from, or to, is by itself
+    first = heights.filter(F.col("height") <= low).select(F.col("node").alias("root")).union(others.filter("edged IS NULL").select("root"))
     below = written(heights.filter(F.col("height") <= low).select(F.col("node").alias("src")).join(edges, "src"), "low-edges")
     reach.add(_walk(below, first, True).repartition(buckets, "root").withColumn("height", F.lit(low)), ("height",))
     for h in range(low + 1, len(counts)):
@@ -132,8 +135,8 @@ def _depths_by_height(edges: DataFrame, roots: DataFrame) -> DataFrame:
     found = reach.rows().select("root", "node", "depth")
     if not heights.join(roots, F.col("node") == F.col("root"), "left_anti").isEmpty():
         found = found.join(roots.hint("shuffle_hash"), "root", "left_semi")
-    rest, n = Parts(spark, "other-roots").add(roots.join(heights.select(F.col("node").alias("root")), "root", "left_anti"))
-    return found.union(_walk(edges, rest, False)) if n else found
+    rest = others.filter("edged").select("root")
+    return found if rest.isEmpty() else found.union(_walk(edges, rest, False))
 
 
 def closure(edges: DataFrame, roots: DataFrame, parents: bool = False, max_level: int | None = None) -> DataFrame:
@@ -242,11 +245,40 @@ def requirement_graph_go(requires: DataFrame, go_versions: DataFrame, roots: Dat
     Nodes are all reachable (path, version), edges the requirement lists of loaded
     modules; a root drops requirements on itself. A module of go 1.17 or later
     that a root of 1.17 or later requires directly is loaded but not expanded.
+    Where half of the paths or more are roots, and there are `MANY_EDGES`, paths go
+    by height, see `_modules_by_height`; other roots are walked from.
     """
-    key = ["root", "path", "version"]
     # both are joined in every round; counted, so that they are not broadcast where they are many
-    requires, roots = written(requires, "requires"), written(roots, "roots")
+    spark = requires.sparkSession
+    requires, n_requires = Parts(spark, "requires").add(requires.select("path", "version", "dep", "dep_version").distinct())
+    roots, n_roots = Parts(spark, "roots").add(roots.select("root", "version").distinct())
     lazy = written(go_versions.select("path", "version", (F.col("minor") >= 17).alias("lazy")), "go-versions")
+    own = lambda rows: rows.select("root", F.col("root").alias("path"), "version")
+
+    def of(modules: DataFrame) -> DataFrame:
+        # modules and requirements are distinct, and so are these
+        return modules.join(requires, ["path", "version"]).filter(F.col("dep") != F.col("root")).select("root", "path", "version", "dep", "dep_version")
+
+    if n_requires < MANY_EDGES or 2 * n_roots < requires.select("path").distinct().count():
+        edges = written(of(_modules_by_walk(requires, lazy, roots)), "requirement-edges")
+        return own(roots).union(edges.select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"))).distinct(), edges
+    below, rest, buckets = _modules_by_height(requires, lazy, roots)
+    others = not rest.isEmpty()
+    good = roots.join(rest, ["root", "version"], "left_anti") if others else roots
+    modules = below.filter("loaded").select("root", "path", "version").union(own(good))
+    # dealt by root as what is below, so that what groups nodes by root goes on in place
+    nodes = below.select("root", "path", "version").union(own(good).repartition(buckets, "root"))
+    edges = of(modules)
+    if others:
+        more = written(of(_modules_by_walk(requires, lazy, rest)), "requirement-edges")
+        nodes = nodes.union(own(rest).union(more.select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"))).distinct())
+        edges = edges.union(more)
+    return nodes, edges
+
+
+def _modules_by_walk(requires: DataFrame, lazy: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, path, version of what each root loads, see `requirement_graph_go`."""
+    key = ["root", "path", "version"]
     start = roots.select("root", F.col("root").alias("path"), "version").join(lazy, ["path", "version"], "left")
     loaded = Parts(requires.sparkSession, "loaded-modules")
 
@@ -269,16 +301,78 @@ def requirement_graph_go(requires: DataFrame, go_versions: DataFrame, roots: Dat
         last = F.col("depth") == depth + HOPS
         part, n = loaded.add(new.select(*key, F.lit(True).alias("expand"), "depth", F.lit(False).alias("root_lazy")), last)
         frontier = part.filter(last)
-    modules = loaded.rows().select(*key).distinct()
-    edges = written(modules.join(requires, ["path", "version"]).filter(F.col("dep") != F.col("root")).select(*key, "dep", "dep_version").distinct(), "requirement-edges")
-    nodes = roots.select("root", F.col("root").alias("path"), "version").union(edges.select("root", F.col("dep").alias("path"), F.col("dep_version").alias("version"))).distinct()
-    return nodes, edges
+    return loaded.rows().select(*key).distinct()
+
+
+def _modules_by_height(requires: DataFrame, lazy: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """root, path, version, loaded of what lies below each root; the roots (root, version) that lead to a cycle of paths, are too high, or have several versions; and in how many buckets the first is dealt by root.
+
+    Versions of a path that require the same are one class, `nth`, and what is below
+    a class is what it requires and what is below that. A lazy root has a class of
+    its own, -nth: its lazy requirements have nothing below them (class 0), but what
+    they require, which isn't loaded by it. Heights are those of paths, so that no
+    root comes to its own path again.
+    """
+    spark = requires.sparkSession
+    heights, counts = _heights(written(requires.select(F.col("path").alias("src"), F.col("dep").alias("dst")).distinct(), "paths"))
+    named = requires.select(F.col("dep").alias("path"), F.col("dep_version").alias("version")).union(roots.select("root", "version")).distinct()
+    lists = requires.join(named, ["path", "version"], "left_semi").groupBy("path", "version").agg(F.array_sort(F.collect_set(F.struct("dep", "dep_version"))).alias("needs"))
+    nth = F.dense_rank().over(Window.partitionBy("path").orderBy("needs"))
+    classes = written(lists.join(heights.select(F.col("node").alias("path"), "height"), "path").select("path", "version", "height", nth.alias("nth")).join(lazy, ["path", "version"], "left").withColumn("lazy", F.coalesce("lazy", F.lit(False))), "module-classes")
+    rest = requires.select(F.col("path").alias("root")).distinct().join(heights.select(F.col("node").alias("root")), "root", "left_anti")
+    # roots of several versions have one result, and are walked from too
+    rest = rest.union(roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"))
+    rest = written(roots.join(rest, "root", "left_semi"), "other-roots")
+    found = roots.join(rest, ["root", "version"], "left_anti")
+    asked = written(found.join(classes.withColumnRenamed("path", "root"), ["root", "version"]).select("root", "version", F.when(F.col("lazy"), -F.col("nth")).otherwise(F.col("nth")).alias("nth")), "root-classes")
+    one = classes.groupBy("path", "nth", "height").agg(F.min("version").alias("version"))
+    needs = one.join(requires, ["path", "version"]).drop("version").join(classes.select(F.col("path").alias("dep"), F.col("version").alias("dep_version"), F.col("nth").alias("of")), ["dep", "dep_version"], "left")
+    lazies = lazy.filter("lazy").select(F.col("path").alias("dep"), F.col("version").alias("dep_version"), F.lit(True).alias("unexpanded"))
+    needs = written(needs.na.fill(0, ["of"]).join(lazies.distinct(), ["dep", "dep_version"], "left").select("path", "nth", "height", "dep", "dep_version", "of", F.coalesce("unexpanded", F.lit(False)).alias("unexpanded")), "class-requirements")
+    lazily = needs.join(asked.filter("nth < 0").select(F.col("root").alias("path"), (-F.col("nth")).alias("nth")).distinct(), ["path", "nth"])
+    over = lazily.filter("unexpanded AND of > 0").select("path", "nth", "height", F.col("dep").alias("src"), F.col("of").alias("via"))
+    over = over.join(needs.select(F.col("path").alias("src"), F.col("nth").alias("via"), "dep", "dep_version"), ["src", "via"])
+    rows = needs.select("path", "nth", "height", "dep", "dep_version", "of", F.lit(True).alias("loaded"))
+    rows = rows.union(lazily.select("path", -F.col("nth"), "height", "dep", "dep_version", F.when(F.col("unexpanded"), 0).otherwise(F.col("of")), F.lit(True)))
+    rows = rows.union(over.select("path", -F.col("nth"), "height", "dep", "dep_version", F.lit(0), F.lit(False)))
+    wanted = asked.select(F.col("root").alias("path"), "nth").union(needs.select("dep", "of")).distinct()
+    steps = written(rows.join(wanted, ["path", "nth"], "left_semi"), "steps")
+    low, key = _low(counts), ["root", "nth", "path", "version"]
+    buckets = max(spark.sparkContext.defaultParallelism, sum(counts) // NODES_A_BUCKET)
+    below = Dealt(spark, "modules_below", ("root",), buckets)
+
+    def add(rows: DataFrame, h: int) -> None:
+        below.add(rows.repartition(buckets, "root").groupBy(*key).agg(F.max("loaded").alias("loaded")).withColumn("height", F.lit(h)), ("height",))
+
+    # classes of low paths are walked from together
+    flat = written(steps.filter(F.col("height") <= low), "low-steps")
+    ends = [F.struct(F.col(a).alias("path"), F.col(b).cast("int").alias("nth")).alias(c) for a, b, c in (("path", "nth", "src"), ("dep", "of", "dst"))]
+    walked = _walk(written(flat.select(*ends).distinct(), "low-classes"), flat.select(ends[0].alias("root")).distinct(), True)
+    walked = walked.select(F.col("root.path").alias("root"), F.col("root.nth").alias("nth"), F.col("node.path").alias("src"), F.col("node.nth").alias("via"))
+    walked = walked.join(flat.select(F.col("path").alias("src"), F.col("nth").alias("via"), "dep", "dep_version", "loaded"), ["src", "via"])
+    add(walked.select("root", "nth", F.col("dep").alias("path"), F.col("dep_version").alias("version"), "loaded"), low)
+    # classes are compared as ranges, so that joins are by path alone, as the buckets are
+    for h in range(low + 1, len(counts)):
+        level = steps.filter(F.col("height") == h).select(F.col("path").alias("src"), F.col("nth").alias("own"), "dep", "dep_version", "of", "loaded")
+        known = below.rows().filter(F.col("height") < h).select(F.col("root").alias("dep"), "nth", "path", "version")
+        far = known.join(level.filter("of > 0").select("src", "own", "dep", "of").hint("shuffle_hash"), "dep").filter(F.col("nth").between(F.col("of"), F.col("of")))
+        direct = level.select(F.col("src").alias("root"), F.col("own").alias("nth"), F.col("dep").alias("path"), F.col("dep_version").alias("version"), "loaded")
+        add(far.select(F.col("src").alias("root"), F.col("own").alias("nth"), "path", "version", F.lit(True).alias("loaded")).union(direct), h)
+    own = asked.select("root", F.col("nth").alias("own")).hint("shuffle_hash")
+    out = below.rows().join(own, "root").filter(F.col("nth").between(F.col("own"), F.col("own"))).select("root", "path", "version", "loaded")
+    return out, rest, buckets
 
 
 def build_list_go(nodes: DataFrame, key) -> DataFrame:
-    """nodes (root, path, version): the highest version of each path, the root first."""
-    best = nodes.groupBy("root", "path").agg(F.max_by("version", key).alias("version"))
+    """nodes (root, path, version): the highest version of each path, the root first. `key` is that of a version, and made once for each."""
+    texts, n = Parts(nodes.sparkSession, "version-texts").add(nodes.select("version").distinct())
     order = Window.partitionBy("root").orderBy(F.col("path") != F.col("root"), "path")
+    if n > BROADCAST_ROWS:
+        best = nodes.groupBy("root", "path").agg(F.max_by("version", key).alias("version"))
+    else:
+        # places of the few versions, which are numbers, and so compared without a sort
+        ranks = F.broadcast(written(texts.withColumn("key", key).select("version", F.row_number().over(Window.orderBy("key", "version")).alias("rank")), "version-ranks"))
+        best = nodes.join(ranks, "version", "left").groupBy("root", "path").agg(F.max("rank").alias("rank")).join(ranks, "rank", "left").select("root", "path", "version")
     return best.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.functions import versions as V
 from gristmill.operators import graphs as G
 from gristmill.operators import matching as M
 from gristmill.sources import documents as D
@@ -318,3 +319,28 @@ def test_exclusive_dependencies_from_the_smaller_side(spark, monkeypatch, more_l
     got = list(map(tuple, G.exclusive_dependencies(_edges(spark, sorted(pairs)), nodes).collect()))
     assert len(got) == len(set(got)) and set(got) == want
     assert "exclusive" in joined
+
+
+@pytest.mark.parametrize("heights", [64, 3])
+def test_modules_by_height(spark, monkeypatch, heights):
+    import random
+
+    rnd = random.Random(heights)
+    of = lambda p: f"v1.{rnd.randrange(3)}.0"
+    # ways down, where some versions of a path require the same; a ring of paths, and roots that lead to it; 90 requires nothing, and nothing requires 91
+    rows = {(p, f"v1.{v}.0", d, of(d)) for p in range(1, 30) for d in {rnd.randrange(p) for _ in range(2)} for v in range(rnd.randrange(1, 4))}
+    rows |= {(p, f"v1.{v}.0", p // 2, "v1.0.0") for p in range(2, 30) for v in range(3)} | {(40, "v1.0.0", 41, "v1.1.0"), (41, "v1.1.0", 40, "v1.2.0"), (40, "v1.2.0", 7, "v1.0.0"), (42, "v1.0.0", 40, "v1.0.0"), (42, "v1.0.0", 90, "v1.0.0")}
+    requires = spark.createDataFrame(sorted(rows), "path bigint, version string, dep bigint, dep_version string")
+    named = sorted({r[:2] for r in rows} | {r[2:] for r in rows} | {(91, "v1.0.0")})
+    versions = spark.createDataFrame([(p, v, 17 if p % 3 == 0 or p == 7 else 16) for p, v in named], "path bigint, version string, minor int")
+    roots = spark.createDataFrame(sorted({p: (p, v) for p, v in named if p != 41 or v == "v1.1.0"}.values()) + [(95, "v1.0.0"), (9, "v1.0.0")], "root bigint, version string")
+    want = [sorted(map(tuple, df.collect())) for df in G.requirement_graph_go(requires, versions, roots)]
+    best = sorted(map(tuple, G.build_list_go(spark.createDataFrame(want[0], "root bigint, path bigint, version string"), V.go_key(F.col("version"))).collect()))
+    _many(monkeypatch, heights)
+    nodes, edges = G.requirement_graph_go(requires, versions, roots)
+    assert [sorted(map(tuple, df.collect())) for df in (nodes, edges)] == want and len(want[1]) > 300
+    built = G.build_list_go(nodes, V.go_key(F.col("version")))
+    assert sorted(map(tuple, built.collect())) == best
+    # versions are parsed once for each text, and edges need no distinct
+    assert "regexp_" not in built._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in edges.filter("root < 30").select("root")._jdf.queryExecution().optimizedPlan().toString() or heights < 64
