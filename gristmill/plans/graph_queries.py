@@ -227,9 +227,11 @@ def r2_edge_table(f):
 def r3_graph_document(f):
     depths, nodes, edges = _tree(f)
     docs = R.graph_document(nodes, R.edge_table(edges, depths, "pip"))
-    d = F.from_json("document", "struct<nodes: array<struct<id: string, scope: string>>, edges: array<struct<src: bigint, dst: bigint, relation: string>>>")
-    direct = F.size(F.array_distinct(F.transform(F.filter(d["edges"], lambda e: e["relation"] == "direct"), lambda e: e["dst"])))
-    return docs.select("root", F.size(d["nodes"]).cast("bigint").alias("node_count"), direct.cast("bigint").alias("direct_nodes"))
+    # read once for both counts, and no more of it than they need
+    d = F.from_json("document", "struct<nodes: array<struct<scope: string>>, edges: array<struct<dst: bigint, relation: string>>>")
+    read = docs.select("root", d.alias("d")).select("root", F.col("d.nodes").alias("nodes"), F.col("d.edges").alias("edges"))
+    direct = F.size(F.array_distinct(F.transform(F.filter("edges", lambda e: e["relation"] == "direct"), lambda e: e["dst"])))
+    return read.select("root", F.size("nodes").cast("bigint").alias("node_count"), direct.cast("bigint").alias("direct_nodes"))
 
 
 @query(f"""WITH RECURSIVE {_RELATIONS}, n AS (SELECT root, count(*) AS node_count FROM depths GROUP BY root), e AS (SELECT t.root, count(*) AS edge_count, count(*) FILTER (WHERE c.depth = 1) AS direct_dependency_count FROM tree t JOIN depths c ON c.root = t.root AND c.node = t.dst GROUP BY t.root)

@@ -28,3 +28,8 @@ def test_pieces_of_lineitem_are_bounded(spark, sf_dir, same, duck, monkeypatch):
         found = plans.QUERIES[name](spark, sf_dir)
         assert found.rdd.getNumPartitions() >= 40
         same(found, duck, plans.ORACLES[name])
+
+
+def test_graph_documents_are_read_once(spark, sf_dir):
+    plan = plans.QUERIES["r3_graph_document"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
